@@ -1,0 +1,3 @@
+"""Registered queries."""
+
+from __future__ import annotations
