@@ -86,8 +86,8 @@ def confidence_weight(itype, dwell) -> Column:
 
 def confidence_weight_sql(itype: str, dwell: str) -> str:
     cases = " ".join(f"WHEN {itype} = '{k}' THEN {v}" for k, v in K.CONFIDENCE_WEIGHTS.items())
-    return (f"greatest(CASE WHEN {itype} = 'view' AND coalesce({dwell}, 0) > 60 THEN 3.0 "
-            f"{cases} ELSE 1.0 END, 0.0)")
+    return (f"CAST(greatest(CASE WHEN {itype} = 'view' AND coalesce({dwell}, 0) > 60 THEN 3.0 "
+            f"{cases} ELSE 1.0 END, 0.0) AS DOUBLE)")
 
 
 def training_label(itype, dwell) -> Column:
@@ -98,8 +98,8 @@ def training_label(itype, dwell) -> Column:
 
 def training_label_sql(itype: str, dwell: str) -> str:
     strong = ", ".join(f"'{x}'" for x in K.STRONG_POSITIVE_TYPES)
-    return (f"CASE WHEN {itype} IN ({strong}) THEN 1.0 "
-            f"WHEN coalesce({dwell}, 0) > 60 THEN 1.0 ELSE 0.7 END")
+    return (f"CAST(CASE WHEN {itype} IN ({strong}) THEN 1.0 "
+            f"WHEN coalesce({dwell}, 0) > 60 THEN 1.0 ELSE 0.7 END AS DOUBLE)")
 
 
 def combined_rating(rich, avg, n, max_weight=0.65, min_samples=10,
@@ -129,7 +129,7 @@ def literal_match_sql(text: str, fields: list[str], tags: str | None = None) ->
     t = f"lower(regexp_replace(substr({text}, 1, 512), '^[{WS}]+|[{WS}]+$', '', 'g'))"
     hits = [f"coalesce(contains(lower({f}), {t}), false)" for f in fields]
     if tags:
-        hits.append(f"coalesce(len(list_filter({tags}, x -> contains(lower(x), {t}))) > 0, false)")
+        hits.append(f"coalesce(len(list_filter({tags}, lambda x: contains(lower(x), {t}))) > 0, false)")
     return f"({t} = '' OR " + " OR ".join(hits) + ")"
 
 
@@ -202,3 +202,12 @@ def item_card(df, score=None):
     if score is not None:
         out = out.withColumn("search_score", score)
     return out
+
+
+def ts_str(col) -> Column:
+    """Timestamp as fixed-format text (microseconds) for result tables."""
+    return F.date_format(_c(col), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def ts_str_sql(expr: str) -> str:
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f')"

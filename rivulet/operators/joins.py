@@ -20,8 +20,11 @@ def enrich_interactions(inter: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def interactions_with_items(inter: DataFrame, items: DataFrame) -> DataFrame:
-    """Inner join: only interactions whose item is known."""
-    return inter.join(items, "item_id", "inner")
+    """Inner join: only interactions whose item is known (item columns
+    carried with an ``item_`` prefix where names clash)."""
+    it = items.select("item_id", "title", "category", "content_type", "tags",
+                      F.col("rating").alias("item_rating"), "view_count", "publish_ts")
+    return inter.join(it, "item_id", "inner")
 
 
 def interactions_with_users(inter: DataFrame, users: DataFrame) -> DataFrame:
@@ -98,3 +101,15 @@ def similar_items(items: DataFrame, k: int = 10) -> DataFrame:
     return rank_within(pairs, ["item_id"],
                        [F.col("sim_rating").desc(), F.col("sim_views").desc(), F.col("sim_id").asc()],
                        k, "rank")
+
+
+def title_duplicates(items: DataFrame) -> DataFrame:
+    """Merge map (source_id -> target_id): every item points at the first
+    item (numeric id order) carrying exactly the same title."""
+    # Aggregate (partial, map-side) rather than a window: a boiler-plate
+    # title shared by a third of the catalogue never lands in one task.
+    first = items.groupBy("title").agg(
+        F.min_by("item_id", F.col("item_id").cast("long")).alias("target_id"))
+    return (items.select("item_id", "title").join(first, "title")
+            .filter(F.col("item_id") != F.col("target_id"))
+            .select(F.col("item_id").alias("source_id"), "target_id"))
