@@ -277,3 +277,53 @@ def hybrid_score_q(spark, sf):
     th = SE.text_search(spark, q, items, 20)
     r = SE.hybrid_score(vec, th, 0.65, 0.35, 10)
     return r.select("query_id", "item_id", "hybrid", "rank")
+
+
+# ------------------------------------------------------------------ intents
+
+from ..operators import intents as IN  # noqa: E402
+
+_I, _T, _H = IN.classify_intent_sql("text")
+
+INTENT_Q = [("iq", """
+  SELECT query_id, text FROM part_queries
+  UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations""")]
+
+
+def intent_queries(spark, sf):
+    conv = raw(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+                                                  "text")
+    return B.part_queries(spark, sf).select("query_id", "text").unionByName(conv)
+
+
+@register("classify_intent", "2.10", B.with_ctes("part_queries", extra=INTENT_Q) + f"""
+SELECT query_id, {_I} AS intent, {_T} AS target, {_H} AS type_hint FROM iq""")
+def classify_intent_q(spark, sf):
+    return IN.classify_intent(intent_queries(spark, sf)).select("query_id", "intent", "target", "type_hint")
+
+
+@register("content_type_hint", "2.10", B.with_ctes("part_queries", extra=INTENT_Q) + f"""
+SELECT {_H} AS type_hint, count(*) AS n FROM iq GROUP BY 1""")
+def content_type_hint_q(spark, sf):
+    return IN.classify_intent(intent_queries(spark, sf)).groupBy("type_hint").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("route_trending", "2.10", B.with_ctes("items", "part_queries", extra=[("c", f"""
+  SELECT query_id, "limit", content_type, {_I} AS intent, {_T} AS target FROM part_queries""")]) + f"""
+SELECT q.query_id, 'trending' AS intent, i.item_id, CAST(0.9 AS DOUBLE) AS search_score,
+       CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY i.view_count DESC, i.rating DESC, i.item_id) AS BIGINT) AS rank
+FROM c q JOIN items i ON {literal_match_sql('q.target', ['i.title', 'i.description', 'i.category'], 'i.tags')}
+WHERE q.intent = 'trending' AND (q.content_type IS NULL OR i.content_type = q.content_type)
+QUALIFY rank <= q."limit\"""")
+def route_trending_q(spark, sf):
+    c = IN.classify_intent(B.part_queries(spark, sf)).filter(F.col("intent") == "trending")
+    return IN.route_trending(spark, c, B.items(spark, sf))
+
+
+@register("answer_queries", "2.10")
+def answer_queries_q(spark, sf):
+    """Every intent route over the part-name and conversation queries."""
+    q = intent_queries(spark, sf).select("query_id", F.lit(None).cast("string").alias("user_id"), "text",
+                                         F.lit(None).cast("string").alias("content_type"),
+                                         F.lit(10).alias("limit"))
+    return IN.answer_queries(spark, q, B.items(spark, sf))
