@@ -1,3 +1,235 @@
-"""Registered queries."""
+"""Registered queries: profiles, features, candidates and recommenders."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import norm_title_sql
+from ..operators import recommend as RC
+from ..operators.joins import similar_items
+from ..operators.windows import covisitation_edges, recent_interactions
+from ..sources import binding as B
+from .registry import register
+
+PROFILE_CTES = [("prof", """
+  SELECT user_id, count(*) AS interaction_count,
+         coalesce(avg(dwell_seconds) FILTER (WHERE dwell_seconds > 0), 0.0) AS avg_dwell_time,
+         coalesce(avg(rating), 0.0) AS avg_rating
+  FROM interactions GROUP BY user_id"""), ("pr", """
+  SELECT p.*, coalesce(u.country, 'US') AS country, coalesce(u.device, 'web') AS device,
+         coalesce(u.age_group, '25-34') AS age_group
+  FROM prof p LEFT JOIN users u ON p.user_id = u.user_id"""), ("cats", """
+  SELECT i.user_id, it.category, count(*) AS n FROM interactions i JOIN items it ON i.item_id = it.item_id
+  GROUP BY i.user_id, it.category"""), ("types", """
+  SELECT i.user_id, it.content_type, count(*) AS n FROM interactions i JOIN items it ON i.item_id = it.item_id
+  GROUP BY i.user_id, it.content_type"""), ("tagc", """
+  SELECT user_id, tag, count(*) AS n FROM (
+    SELECT i.user_id, unnest(it.tags) AS tag FROM interactions i JOIN items it ON i.item_id = it.item_id)
+  GROUP BY user_id, tag""")]
+
+
+def _profiles(spark, sf):
+    return RC.user_profiles(B.interactions(spark, sf), B.users(spark, sf), B.items(spark, sf))
+
+
+@register("user_profiles", "2.5", B.with_ctes("interactions", "items", "users", extra=PROFILE_CTES) + """
+SELECT pr.user_id, pr.interaction_count, round(pr.avg_dwell_time, 6) AS avg_dwell_time,
+       round(pr.avg_rating, 6) AS avg_rating, pr.country, pr.device, pr.age_group,
+       (SELECT count(*) FROM cats c WHERE c.user_id = pr.user_id) AS n_categories,
+       (SELECT count(*) FROM types t WHERE t.user_id = pr.user_id) AS n_types,
+       (SELECT coalesce(sum(n), 0) FROM tagc g WHERE g.user_id = pr.user_id) AS n_tag_uses
+FROM pr""")
+def user_profiles_q(spark, sf):
+    p = _profiles(spark, sf)
+    nc = p["categories"].groupBy("user_id").agg(F.count(F.lit(1)).alias("n_categories"))
+    nt = p["types"].groupBy("user_id").agg(F.count(F.lit(1)).alias("n_types"))
+    ng = p["tags"].groupBy("user_id").agg(F.sum("n").alias("n_tag_uses"))
+    out = p["profile"].join(nc, "user_id", "left").join(nt, "user_id", "left").join(ng, "user_id", "left")
+    return out.select("user_id", "interaction_count", F.round("avg_dwell_time", 6).alias("avg_dwell_time"),
+                      F.round("avg_rating", 6).alias("avg_rating"), "country", "device", "age_group",
+                      F.coalesce("n_categories", F.lit(0)).alias("n_categories"),
+                      F.coalesce("n_types", F.lit(0)).alias("n_types"),
+                      F.coalesce("n_tag_uses", F.lit(0)).cast("long").alias("n_tag_uses"))
+
+
+def _feature_sql() -> str:
+    ic = "CAST(coalesce(pr.interaction_count, 0) AS DOUBLE)"
+    den = f"greatest({ic}, 1.0)"
+    views = "CAST(coalesce(it.view_count, 0) AS DOUBLE)"
+    asof = "(SELECT max(timestamp) FROM interactions)"
+    hours = f"((epoch_us({asof}) - epoch_us(coalesce(it.publish_ts, {asof}))) / 3.6e9)"
+    dwell = "CAST(coalesce(p.dwell_seconds, 0) AS DOUBLE)"
+    rating = "coalesce(it.rating, 0.0)"
+    lv = f"ln(1 + {views})"
+    fresh = f"(1.0 / (1.0 + {hours} / 720.0))"
+    cat = f"(coalesce(c.n, 0) / {den})"
+    age = "coalesce(pr.age_group, '25-34')"
+    dev = "coalesce(pr.device, 'web')"
+    cols = [ic, "coalesce(pr.avg_dwell_time, 0.0)", "coalesce(pr.avg_rating, 0.0)", rating, lv,
+            f"ln(1 + greatest({hours}, 0.0))", cat, dwell, fresh, f"{cat} * {rating}", f"ln(1 + {dwell}) * {lv}",
+            f"coalesce(t.n, 0) / {den}", f"coalesce(g.tag_sum, 0) / {den}", f"{lv} * {fresh}", f"ln(1 + {ic})"]
+    cols += [f"CASE WHEN it.content_type = '{x}' THEN 1.0 ELSE 0.0 END" for x in RC.K.CONTENT_TYPES]
+    cols += [f"CASE WHEN {age} = '{x}' THEN 1.0 ELSE 0.0 END" for x in RC.K.AGE_BUCKETS]
+    cols += [f"CASE WHEN {dev} = '{x}' THEN 1.0 ELSE 0.0 END" for x in RC.K.DEVICE_BUCKETS]
+    sel = ",\n       ".join(f"round(CAST({c} AS DOUBLE), 6) AS {n}" for c, n in zip(cols, RC.FEATURES))
+    return B.with_ctes("interactions", "items", "users", "event_interactions", extra=PROFILE_CTES + [
+        ("pairs", "SELECT interaction_id AS pair_id, user_id, item_id, dwell_seconds FROM event_interactions"),
+        ("tg", """
+  SELECT x.user_id, x.item_id, sum(tc.n) AS tag_sum FROM (
+    SELECT d.user_id, d.item_id, unnest(it.tags) AS tag
+    FROM (SELECT DISTINCT user_id, item_id FROM pairs) d JOIN items it ON d.item_id = it.item_id) x
+  JOIN tagc tc ON x.user_id = tc.user_id AND x.tag = tc.tag GROUP BY x.user_id, x.item_id""")]) + f"""
+SELECT p.pair_id, p.user_id, p.item_id,
+       {sel}
+FROM pairs p LEFT JOIN items it ON p.item_id = it.item_id LEFT JOIN pr ON p.user_id = pr.user_id
+LEFT JOIN cats c ON c.user_id = p.user_id AND c.category = it.category
+LEFT JOIN types t ON t.user_id = p.user_id AND t.content_type = it.content_type
+LEFT JOIN tg g ON g.user_id = p.user_id AND g.item_id = p.item_id"""
+
+
+@register("features", "2.11", _feature_sql())
+def features_q(spark, sf):
+    inter = B.interactions(spark, sf)
+    pairs = B.event_interactions(spark, sf).select(F.col("interaction_id").alias("pair_id"), "user_id",
+                                                   "item_id", "dwell_seconds")
+    f = RC.features(pairs, _profiles(spark, sf), B.items(spark, sf), B.as_of(inter), keep=["pair_id"])
+    return f.select("pair_id", "user_id", "item_id", *[F.round(c, 6).alias(c) for c in RC.FEATURES])
+
+
+@register("recommend_control", "2.11", B.with_ctes("interactions", "items", "users") + f"""
+, pop AS (SELECT item_id, title, {norm_title_sql('title')} AS nt,
+                 row_number() OVER (ORDER BY view_count DESC, rating DESC, item_id) AS prank
+          FROM items QUALIFY prank <= 30)
+, seen AS (SELECT user_id, item_id FROM interactions
+           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, seq_a, seq_b, seq_c, seq_d) <= 500)
+, c AS (SELECT u.user_id, p.* FROM users u CROSS JOIN pop p
+        WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id))
+, d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, nt ORDER BY prank) = 1)
+SELECT user_id, item_id, title, CAST(row_number() OVER (PARTITION BY user_id ORDER BY prank) AS BIGINT) AS rec_rank,
+       'popularity_based' AS algorithm
+FROM d QUALIFY rec_rank <= 10""".replace("\n, pop AS", ", pop AS", 1))
+def recommend_control_q(spark, sf):
+    return RC.recommend_control(spark, B.users(spark, sf), B.interactions(spark, sf), B.items(spark, sf), 10)
+
+
+@register("item_page", "2.11", B.with_ctes("items", extra=[("keys", """
+  SELECT item_id, 'cat:' || category AS key FROM items
+  UNION SELECT item_id, 'tag:' || unnest(tags) AS key FROM items"""), ("pairs", """
+  SELECT DISTINCT a.item_id, b.item_id AS sim_id FROM keys a JOIN keys b ON a.key = b.key AND a.item_id <> b.item_id"""),
+    ("sim", """
+  SELECT p.item_id, p.sim_id, row_number() OVER (PARTITION BY p.item_id ORDER BY it.rating DESC, it.view_count DESC,
+         p.sim_id) AS rank
+  FROM pairs p JOIN items it ON it.item_id = p.sim_id QUALIFY rank <= 10""")]) + """
+SELECT i.item_id, i.title, i.category, i.content_type,
+       (SELECT string_agg(sim_id, ',' ORDER BY rank) FROM sim s WHERE s.item_id = i.item_id) AS similar
+FROM items i""")
+def item_page_q(spark, sf):
+    items = B.items(spark, sf)
+    p = RC.item_page(items, similar_items(items, 10))
+    return p.select("item_id", "title", "category", "content_type",
+                    F.array_join(F.transform("similar", lambda x: x["sim_id"]), ",").alias("similar"))
+
+
+@register("profile_page", "2.11", B.with_ctes("users", "interactions", "items") + """
+, st AS (SELECT i.user_id, count(*) AS total_interactions, round(avg(i.dwell_seconds), 6) AS avg_dwell_time,
+                round(avg(i.rating), 6) AS avg_rating
+         FROM interactions i GROUP BY i.user_id)
+, rc AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id
+                ORDER BY timestamp DESC, seq_a, seq_b, seq_c, seq_d) AS rank FROM interactions QUALIFY rank <= 20)
+SELECT u.user_id, u.country, u.device, u.age_group, coalesce(st.total_interactions, 0) AS total_interactions,
+       st.avg_dwell_time, st.avg_rating,
+       (SELECT string_agg(item_id, ',' ORDER BY rank) FROM rc WHERE rc.user_id = u.user_id) AS recent
+FROM users u LEFT JOIN st ON u.user_id = st.user_id""".replace("\n, st AS", ", st AS", 1))
+def profile_page_q(spark, sf):
+    inter = B.interactions(spark, sf)
+    stats = inter.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_interactions"),
+                                         F.round(F.avg("dwell_seconds"), 6).alias("avg_dwell_time"),
+                                         F.round(F.avg("rating"), 6).alias("avg_rating"))
+    rec = recent_interactions(inter, B.items(spark, sf), 20)
+    p = RC.profile_page(B.users(spark, sf).select("user_id", "country", "device", "age_group"), stats, rec)
+    return p.select("user_id", "country", "device", "age_group",
+                    F.coalesce("total_interactions", F.lit(0)).alias("total_interactions"),
+                    "avg_dwell_time", "avg_rating",
+                    F.when(F.size("recent") > 0, F.array_join(F.transform("recent", lambda x: x["item_id"]), ","))
+                    .alias("recent"))
+
+
+# ----------------------------------------------------------- model-based (R)
+
+_MODELS: dict = {}
+
+
+def trained(spark, sf):
+    """Ranker and factor model for a test folder (trained once per process)."""
+    key = sf
+    if key not in _MODELS:
+        inter = B.interactions(spark, sf)
+        users, items = B.users(spark, sf), B.items(spark, sf)
+        prof = _profiles(spark, sf)
+        train = RC.training_set(spark, inter, users, items, prof, B.as_of(inter), 42)
+        model = RC.fit_ranker(train)
+        factors = RC.fit_factors(inter)
+        _MODELS[key] = (model, factors)
+    return _MODELS[key]
+
+
+@register("training_set", "2.11")
+def training_set_q(spark, sf):
+    inter = B.interactions(spark, sf)
+    return RC.training_set(spark, inter, B.users(spark, sf), B.items(spark, sf), _profiles(spark, sf),
+                           B.as_of(inter), 42)
+
+
+@register("candidates", "2.11")
+def candidates_q(spark, sf):
+    inter = B.interactions(spark, sf)
+    items = B.items(spark, sf)
+    return RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), None, 500)
+
+
+@register("rank_candidates", "2.11")
+def rank_candidates_q(spark, sf):
+    model, _ = trained(spark, sf)
+    inter = B.interactions(spark, sf)
+    items = B.items(spark, sf)
+    cands = RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), None, 50)
+    return RC.rank_candidates(cands, _profiles(spark, sf), items, model, B.as_of(inter))
+
+
+@register("fit_factors", "2.11")
+def fit_factors_q(spark, sf):
+    _, factors = trained(spark, sf)
+    return factors.itemFactors.select(F.col("id").alias("item"), F.size("features").alias("rank"))
+
+
+@register("factor_scores", "2.11")
+def factor_scores_q(spark, sf):
+    _, factors = trained(spark, sf)
+    pairs = B.event_interactions(spark, sf).select("user_id", "item_id").distinct()
+    return RC.factor_scores(pairs, factors)
+
+
+def _recommend(spark, sf, n=10):
+    model, factors = trained(spark, sf)
+    inter = B.interactions(spark, sf)
+    users, items = B.users(spark, sf), B.items(spark, sf)
+    return RC.recommend(spark, users, inter, items, _profiles(spark, sf), model, factors,
+                        covisitation_edges(inter), None, B.as_of(inter), n)
+
+
+@register("recommend", "2.11")
+def recommend_q(spark, sf):
+    return _recommend(spark, sf).select("user_id", "item_id", "rec_rank", "score", "algorithm")
+
+
+@register("blend_scores", "2.11")
+def blend_scores_q(spark, sf):
+    return _recommend(spark, sf, 500).select("user_id", "item_id", "ml_score", "factor_score", "score")
+
+
+@register("recommend_by_arm", "2.11")
+def recommend_by_arm_q(spark, sf):
+    from ..operators.experiments import assign_buckets
+    users = B.users(spark, sf)
+    ctl = RC.recommend_control(spark, users, B.interactions(spark, sf), B.items(spark, sf), 10)
+    return RC.recommend_by_arm(spark, assign_buckets(users, B.EXPERIMENT), _recommend(spark, sf), ctl)
