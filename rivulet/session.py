@@ -43,12 +43,25 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply required SQL settings to an existing session (idempotent)."""
+    """Apply required SQL settings to an existing session (idempotent) and
+    make the package's functions travel with the tasks that use them."""
     for key, value in _REQUIRED.items():
         spark.conf.set(key, value)
+    ship_package()
     return spark
 
 
+def ship_package() -> None:
+    """Pickle functions of this package by value, so Python workers (local
+    or remote) run pandas UDFs without the package being installed there."""
+    import rivulet
+    from pyspark import cloudpickle
+    try:
+        cloudpickle.register_pickle_by_value(rivulet)
+    except ValueError:  # already registered
+        pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
