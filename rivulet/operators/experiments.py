@@ -99,11 +99,12 @@ def ab_significance(df: DataFrame, n1="control_requests", c1="control_interactio
     """Two-proportion z-test as columns: z_score, p_value, is_significant,
     lift_pct, control_ctr, treatment_ctr, status (unrounded values)."""
     N1, C1, N2, C2 = (F.col(x).cast("double") for x in (n1, c1, n2, c2))
-    p1, p2 = C1 / N1, C2 / N2
-    pool = (C1 + C2) / (N1 + N2)
-    var = pool * (F.lit(1.0) - pool) * (F.lit(1.0) / N1 + F.lit(1.0) / N2)
+    div = F.try_divide  # ANSI mode: a zero divisor gives null, not an error
+    p1, p2 = div(C1, N1), div(C2, N2)
+    pool = div(C1 + C2, N1 + N2)
+    var = pool * (F.lit(1.0) - pool) * (div(F.lit(1.0), N1) + div(F.lit(1.0), N2))
     se = F.sqrt(var)
-    z = (p2 - p1) / se
+    z = div(p2 - p1, se)
     p = F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.abs(z)))
     few = (F.col(n1) < 5) | (F.col(n2) < 5)
     above = pool > 1.0
@@ -116,7 +117,7 @@ def ab_significance(df: DataFrame, n1="control_requests", c1="control_interactio
         F.when(ok & flat, F.lit(0.0)).when(ok, z).alias("z_score"),
         F.when(ok & flat, F.lit(1.0)).when(ok, p).alias("p_value"),
         (ok & ~flat & (p < 0.05)).alias("is_significant"),
-        F.when(ok & flat, F.lit(0.0)).when(ok & (p1 > 0), (p2 - p1) / p1 * 100.0).alias("lift_pct"),
+        F.when(ok & flat, F.lit(0.0)).when(ok & (p1 > 0), div(p2 - p1, p1) * 100.0).alias("lift_pct"),
         F.when(ok & ~flat, p1 * 100.0).alias("control_ctr"),
         F.when(ok & ~flat, p2 * 100.0).alias("treatment_ctr"),
         status.alias("status"))

@@ -87,7 +87,7 @@ def features(pairs: DataFrame, prof: dict[str, DataFrame], items: DataFrame, as_
     dwell = F.coalesce(F.col("dwell_seconds"), F.lit(0)).cast("double")
     rating = F.coalesce(F.col("item_rating"), F.lit(0.0))
     log_views = F.log1p(views)
-    fresh = F.lit(1.0) / (F.lit(1.0) + hours / F.lit(720.0))
+    fresh = F.try_divide(F.lit(1.0), F.lit(1.0) + hours / F.lit(720.0))
     cat_aff = F.coalesce(F.col("cat_n"), F.lit(0)) / denom
     age = F.coalesce(F.col("age_group"), F.lit(K.DEFAULT_AGE_GROUP))
     dev = F.coalesce(F.col("device"), F.lit(K.DEFAULT_DEVICE))

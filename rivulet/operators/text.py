@@ -190,7 +190,7 @@ def dense_cosine_topk(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k
     v = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
     rows = v.select("id", F.sequence(F.lit(0), F.size("v") - 1).alias("idx"),
-                    F.transform("v", lambda x: x / norm).alias("val"))
+                    F.transform("v", lambda x: F.try_divide(x, norm)).alias("val"))
     n_blocks = _blocks_for(vectors.count(), block_rows)
     out = knn_all_pairs(rows, dim, k, n_blocks, True, None)
     return out.select(F.col("id").alias(id_col), F.col("other").alias("neighbour"), "similarity", "rank")

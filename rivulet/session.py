@@ -23,7 +23,7 @@ _REQUIRED = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "rivulet") -> SparkSession:
+                  app_name: str = "rivulet", checkpoint: str | None = None) -> SparkSession:
     """Local session for tests and the bench (UI off, AQE on, UTC)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -34,6 +34,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", os.environ.get("RIVULET_DRIVER_MEMORY", "16g"))
                .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024)))
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     for key, value in _REQUIRED.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -63,17 +65,22 @@ def ship_package() -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts and stream state.
 
-    Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there).  Only when it is unset, as in local tests, a fresh scratch
-    folder is created and registered.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    Uses ``spark.checkpoint.dir`` as the cluster sets it (or a directory
+    already registered on the context).  Only when neither exists, as in
+    local tests, a fresh scratch folder is registered."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="rivulet-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        current = sc.getConf().get("spark.checkpoint.dir", None)
+        if not current:
+            try:
+                current = spark.conf.get("spark.checkpoint.dir")
+            except Exception:  # noqa: BLE001 - unset
+                current = None
+        if not current:
+            current = tempfile.mkdtemp(prefix="rivulet-ckpt-")
+        sc.setCheckpointDir(current)
+        current = sc.getCheckpointDir() or current
     return current
