@@ -37,7 +37,10 @@ YOUTUBE_CATEGORIES = {"1": "Film", "2": "Autos", "10": "Music", "15": "Pets", "1
                       "26": "How-To", "27": "Education", "28": "Science", "29": "Nonprofits"}
 TMDB_IMAGE_BASE = "https://image.tmdb.org/t/p/w500"
 OPENLIBRARY_COVER = "https://covers.openlibrary.org/b/id/{}-M.jpg"
-EMPTY = F.array().cast("array<string>")
+
+
+def _empty() -> F.Column:
+    return F.array().cast("array<string>")
 
 
 # ------------------------------------------------------------ seeded fills
@@ -131,7 +134,7 @@ def _movie_fields(df: DataFrame, title_col: str, genres_col: str) -> DataFrame:
 
 def _movie_items(m: DataFrame, prefix: str, seed: int, views_hi: int) -> DataFrame:
     key = F.col("mid")
-    cat = code_lookup(F.element_at("genres", 1), K.GENRE_CATEGORY, "Drama")
+    cat = code_lookup(F.try_element_at("genres", F.lit(1)), K.GENRE_CATEGORY, "Drama")
     desc = F.concat(F.lit("Year: "), F.col("year"), F.lit(". Genres: "), F.array_join("genres", ", "), F.lit("."))
     pub = F.coalesce(F.make_timestamp(F.col("year").cast("int"), F.lit(6), F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
                      F.make_timestamp(F.lit(2000), F.lit(6), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
@@ -260,7 +263,7 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def _genre_strings(col: str) -> F.Column:
     """Genres given as strings or as {description} objects."""
     arr = F.from_json(F.col(col), "array<string>")
-    return F.filter(F.transform(F.coalesce(arr, EMPTY), lambda x: F.when(
+    return F.filter(F.transform(F.coalesce(arr, _empty()), lambda x: F.when(
         F.trim(x).startswith("{"), F.coalesce(F.get_json_object(x, "$.description"), F.lit(""))).otherwise(x)),
         lambda x: x.isNotNull())
 
@@ -274,7 +277,7 @@ def steam_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "20
     name = F.trim(F.coalesce(F.when(F.col("name") != "", F.col("name")), F.col("app_name"), F.lit("")))
     g = g.withColumn("nm", name).filter(F.col("nm") != "").withColumn("gs", _genre_strings("genres"))
     key = F.coalesce(F.col("id"), F.col("nm"))
-    cat = F.coalesce(F.element_at("gs", 1), seeded_pick(key, STEAM_GENRES, seed, "genre"))
+    cat = F.coalesce(F.try_element_at("gs", F.lit(1)), seeded_pick(key, STEAM_GENRES, seed, "genre"))
     tags = F.when(F.size("gs") > 0, F.slice("gs", 1, 5)).otherwise(F.array(cat))
     price = F.coalesce(F.col("price"), F.col("original_price"), F.lit(""))
     free = F.lower(price).contains("free") | (price.try_cast("double") == 0)
@@ -302,7 +305,7 @@ def amazon_tables(spark: SparkSession, path: str, seed: int = 42, as_of: str = "
     valid = r.filter((F.col("asin") != "") & (F.col("t") != ""))
     first = first_per_key(valid, ["asin"], ["_pos"])
     cats = F.from_json("category", "array<string>")
-    cat = F.when(cats.isNotNull(), F.coalesce(F.element_at(cats, -1), F.lit("Electronics"))) \
+    cat = F.when(cats.isNotNull(), F.coalesce(F.try_element_at(cats, F.lit(-1)), F.lit("Electronics"))) \
            .otherwise(F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("Electronics")))
     cat = F.when(cat.isin(*AMAZON_CATEGORIES), cat).otherwise(F.lit("Electronics"))
     score = F.coalesce(F.col("overall").try_cast("double"), F.lit(3.0))
@@ -345,7 +348,7 @@ def _tmdb(spark, path, prefix, ctype, title_field, table, seed, as_of):
     key = F.col("id").cast("string")
     poster = F.coalesce(F.col("poster_path"), F.lit(""))
     return m.select(*_item(F.concat(F.lit(prefix), key), F.coalesce(F.col(title_field), F.lit("Unknown")), ctype,
-                           F.coalesce(F.element_at(genres, 1), F.lit("Drama")), genres,
+                           F.coalesce(F.try_element_at(genres, F.lit(1)), F.lit("Drama")), genres,
                            F.coalesce(F.col("overview"), F.lit("")),
                            F.when(poster != "", F.concat(F.lit(TMDB_IMAGE_BASE), poster)).otherwise(F.lit("")),
                            F.round(F.coalesce(F.col("vote_average"), F.lit(0.0)) / 2, 1),
@@ -379,7 +382,7 @@ def rawg_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "202
                     F.coalesce(F.col("metacritic").cast("string"), F.lit("N/A")), F.lit(". Platforms: "), plats)
     key = F.col("id").cast("string")
     return g.select(*_item(F.concat(F.lit("rawg_"), key), F.coalesce("name", F.lit("Unknown")), "game",
-                           F.coalesce(F.element_at(genres, 1), F.lit("Action")), F.concat(genres, tags), desc,
+                           F.coalesce(F.try_element_at(genres, F.lit(1)), F.lit("Action")), F.concat(genres, tags), desc,
                            F.coalesce("background_image", F.lit("")), F.round(F.coalesce("rating", F.lit(0.0)), 1),
                            F.coalesce("ratings_count", F.lit(0)), past_date(key, seed, "pub", as_of, 365 * 3)))
 
@@ -474,7 +477,7 @@ def lastfm_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "2
                  "music", genre, F.array(artist, genre, F.lit("Music")),
                  F.concat(F.lit("Artist: "), artist, F.lit(". Listeners: "), F.coalesce("listeners", F.lit("N/A")),
                           F.lit(". Play count: "), F.coalesce("playcount", F.lit("N/A"))),
-                 F.coalesce(F.element_at("image", -1)["#text"], F.lit("")),
+                 F.coalesce(F.try_element_at("image", F.lit(-1))["#text"], F.lit("")),
                  seeded_fill(key, 3.5, 5.0, seed, "rating", 1),
                  F.coalesce(F.col("listeners").try_cast("long"), F.lit(0)),
                  past_date(key, seed, "pub", as_of, 365 * 3), seeded_fill(key, 120, 360, seed, "duration"))
@@ -493,7 +496,7 @@ def spotify_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "
             T.StructField("album_type", T.StringType()), T.StructField("release_date", T.StringType()),
             T.StructField("total_tracks", T.LongType())])))]))])
     a = spark.read.schema(schema).json(path).select("market", F.explode("albums.items").alias("a")).select("market", "a.*")
-    artist = F.coalesce(F.element_at("artists", 1)["name"], F.lit("Unknown"))
+    artist = F.coalesce(F.try_element_at("artists", F.lit(1))["name"], F.lit("Unknown"))
     key = F.coalesce("id", F.concat_ws("|", "market", "name"))
     genre = seeded_pick(key, MUSIC_GENRES, seed, "genre")
     return a.select(*_item(F.concat(F.lit("spotify_"), key), F.concat(F.coalesce("name", F.lit("Unknown")),
@@ -502,7 +505,7 @@ def spotify_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "
                            F.concat(F.lit("Artist: "), artist, F.lit(". Released: "),
                                     F.coalesce("release_date", F.lit("N/A")), F.lit(". Tracks: "),
                                     F.coalesce(F.col("total_tracks").cast("string"), F.lit("?"))),
-                           F.coalesce(F.element_at("images", 1)["url"], F.lit("")),
+                           F.coalesce(F.try_element_at("images", F.lit(1))["url"], F.lit("")),
                            seeded_fill(key, 3.0, 5.0, seed, "rating", 1), seeded_fill(key, 1000, 5_000_000, seed, "views"),
                            past_date(key, seed, "pub", as_of, 365 * 3), seeded_fill(key, 180, 3600, seed, "duration")))
 
