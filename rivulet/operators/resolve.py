@@ -3,21 +3,15 @@
 Similarity is the token-sort ratio: words sorted and re-joined, then
 ``100 * 2 * LCS / (len a + len b)`` on characters.
 
-Exact blocking.  For ratio >= t (t' = t / 100) the longest common
-subsequence L satisfies 2L >= t'(la + lb).  Along the LCS alignment, the
-L - 1 adjacent matched pairs of ``a`` form shared bigrams unless an unmatched
-character of ``a`` or ``b`` falls between them, so at least
-3L - la - lb - 1 >= (1.5 t' - 1)(la + lb) - 1 shared bigram occurrences
-remain, and la + lb >= 2 la / (2 - t'); this gives a lower bound tau on
-the shared bigram occurrences valid for every partner.  By the prefix-filter lemma, two strings
-that match share a bigram among their first |B| - tau + 1 bigrams in a
-global rarest-first order, so each string indexes only that prefix: the
-most frequent bigrams (the hot keys) are exactly the ones left out.
-Strings for which the bound gives no guarantee (shorter than ``min_len(t)``)
-are matched by an equi-join on each partner length their length band
-allows.  Bigram occurrences are made distinct tokens (bigram, ordinal), so
-the bound needs no division by repeat counts.  Candidates are verified with
-the exact ratio.
+Exact blocking (segment filter).  ratio >= t' means the insert/delete
+distance d = la + lb - 2L is at most (1 - t')(la + lb) <= 2 (1 - t') la / t'
+for every feasible partner.  Cutting a key into d_max + 1 segments, one
+segment survives every alignment unchanged and appears in the partner as a
+substring starting within d_max positions, so joining segments to
+substrings of the same text on equality finds every match; candidates are
+verified with the exact ratio (bit-parallel LCS, vectorised per batch).
+Only distinct keys take part, so a boiler-plate title repeated by a third of
+the rows is one key.
 """
 
 from __future__ import annotations
@@ -56,6 +50,42 @@ def lcs_len(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
+def _masks(a: str) -> dict[str, int]:
+    m: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        m[ch] = m.get(ch, 0) | (1 << i)
+    return m
+
+
+def _lcs_with(masks: dict[str, int], la: int, b: str) -> int:
+    full = (1 << la) - 1
+    v = full
+    for ch in b:
+        u = v & masks.get(ch, 0)
+        v = ((v + u) | (v - u)) & full
+    return la - bin(v).count("1")
+
+
+def ratio_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratios for many pairs; the masks of each distinct left string are
+    built once per batch."""
+    cache: dict[str, dict[str, int]] = {}
+    out = []
+    for x, y in zip(a, b):
+        x, y = x or "", y or ""
+        if not x and not y:
+            out.append(100.0)
+            continue
+        if not x or not y:
+            out.append(0.0)
+            continue
+        m = cache.get(x)
+        if m is None:
+            m = cache[x] = _masks(x)
+        out.append(200.0 * _lcs_with(m, len(x), y) / (len(x) + len(y)))
+    return pd.Series(out)
+
+
 def ratio(a: str, b: str) -> float:
     """100 * 2 * LCS / (len a + len b); two empty strings score 100."""
     if not a and not b:
@@ -75,7 +105,7 @@ def ratio_udf(a, b) -> F.Column:
     if "ratio" not in _UDF:
         @F.pandas_udf("double")
         def _ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-            return pd.Series([ratio(u or "", v or "") for u, v in zip(x, y)])
+            return ratio_batch(x, y)
         _UDF["ratio"] = _ratio
     return _UDF["ratio"](F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
@@ -87,63 +117,76 @@ def token_sort_similarity(a, b) -> F.Column:
 
 # ------------------------------------------------------------ similarity join
 
-def _coef(t: float) -> float:
+def max_edits(t: float) -> float:
+    """Insert/delete edits allowed per character of a key: ratio >= t'
+    means d = la + lb - 2L <= (1 - t')(la + lb), and lb <= la (2 - t') / t',
+    so d <= 2 (1 - t') la / t'."""
     tp = t / 100.0
-    return (1.5 * tp - 1.0) * 2.0 / (2.0 - tp)
+    return 2.0 * (1.0 - tp) / tp
 
 
-def min_len(t: float) -> int:
-    """Shortest length for which the bigram guarantee holds (>= 1 shared)."""
-    c = _coef(t)
-    if c <= 0:
-        return 10 ** 9
-    return max(2, math.ceil(2.0 / c))
+def _seg_bounds(n: F.Column, kk: F.Column, i: F.Column):
+    """Start (0-based) and length of segment i of n characters in kk+1 parts."""
+    parts = kk + 1
+    st = F.floor(i * n / parts)
+    en = F.floor((i + 1) * n / parts)
+    return st, en - st
 
 
-def _bigrams(s: F.Column) -> F.Column:
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, 2))
+def _parallelism(df: DataFrame) -> int:
+    """Task count for CPU-heavy stages: twice the cluster's cores."""
+    return max(2, df.sparkSession.sparkContext.defaultParallelism * 2)
 
 
-def similar_keys(keys: DataFrame, t: float) -> DataFrame:
+def similar_keys(keys: DataFrame, t: float, min_seg: int = 2) -> DataFrame:
     """(ka, kb, score) for distinct token-sorted keys ka < kb with ratio >= t.
 
-    ``keys`` has one column ``k`` (distinct).  Works at the key level, so a
-    key repeated by many rows costs one key, never pairs of rows."""
-    keys = keys.select("k").distinct().withColumn("len", F.length("k"))
-    c, ml = _coef(t), min_len(t)
+    Exact segment filter (pigeonhole, as in PassJoin): a key with at most
+    k = floor(c * len) edits to any feasible partner is cut into k + 1
+    segments; every edit touches at most one segment, so one segment occurs
+    unchanged in the partner, shifted by at most k positions.  Segments are
+    joined to the partners' substrings of the same text, then verified.
+    Keys whose segments would be shorter than ``min_seg`` meet every key of
+    a compatible length instead (an equi-join per allowed length).  Works on
+    distinct keys, so a key repeated by many rows costs one key."""
+    par = _parallelism(keys)
+    # explicit partition counts: AQE would otherwise coalesce the small key
+    # set into one task, and everything it fans out into would follow
+    keys = keys.select("k").distinct().repartition(par).withColumn("len", F.length("k"))
+    c = max_edits(t)
     tp = t / 100.0
-    long_k = keys.filter(F.col("len") >= F.lit(max(ml, 2)))
-    # bigram occurrences as a set of (bigram, ordinal) tokens, so that the
-    # set overlap equals the multiset overlap sum_g min(count_a, count_b)
-    grams = long_k.select("k", "len", F.posexplode(_bigrams(F.col("k"))).alias("p", "g"))
-    occ = Window.partitionBy("k", "g").orderBy("p")
-    tok = grams.select("k", "len", F.concat(F.col("g"), F.lit("\u0001"),
-                                            F.row_number().over(occ).cast("string")).alias("g"))
-    gdf = tok.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    tau = F.greatest(F.lit(1), F.ceil(F.lit(c) * F.col("len") - 1.0)).cast("long")
-    ranked = tok.join(gdf, "g").withColumn("tau", tau).withColumn("nb", F.col("len") - 1)
-    w = Window.partitionBy("k").orderBy(F.col("df").asc(), F.col("g").asc())
-    prefix = (ranked.withColumn("r", F.row_number().over(w))
-              .filter(F.col("r") <= F.col("nb") - F.col("tau") + 1).select("k", "len", "g"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (a.join(b, F.col("a.g") == F.col("b.g"))
-            .filter((F.col("a.k") < F.col("b.k")) &
-                    (2.0 * F.least(F.col("a.len"), F.col("b.len")) >=
-                     F.lit(tp) * (F.col("a.len") + F.col("b.len"))))
-            .select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb"), F.col("a.len").alias("la"),
-                    F.col("b.len").alias("lb")))
-    # short keys: equi-join on every partner length allowed by the length
-    # filter (only lengths below min_len(t); a small band)
-    short = keys.filter(F.col("len") < F.lit(max(ml, 2)))
+    kk = F.floor(F.lit(c) * F.col("len")).cast("int")
+    seg_ok = F.floor(F.col("len") / (kk + 1)) >= min_seg
+    long_k = keys.filter(seg_ok)
+    segs = (long_k.select("k", "len", kk.alias("kk"), F.explode(F.sequence(F.lit(0), kk)).alias("i")))
+    st, ln = _seg_bounds(F.col("len"), F.col("kk"), F.col("i"))
+    segs = segs.select("k", "len", "kk", st.cast("int").alias("sa"),
+                       F.substring("k", (st + 1).cast("int"), ln.cast("int")).alias("g"))
+    # substrings of every key at the segment lengths its partners may use
+    lmin = F.ceil(F.col("len") * F.lit(tp / (2.0 - tp)))
+    smin = F.greatest(F.lit(min_seg), F.floor(lmin / (F.lit(c) * lmin + 1))).cast("int")
+    smax = F.lit(int(math.ceil(1.0 / c))).cast("int")
+    subs = keys.select("k", "len", F.explode(F.sequence(smin, F.greatest(smin, smax))).alias("w"))
+    subs = subs.filter(F.col("w") <= F.col("len")).select(
+        "k", "len", "w", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("w"))).alias("sb"))
+    subs = subs.select(F.col("k").alias("kb"), F.col("len").alias("lb"), "sb",
+                       F.substring("kb", (F.col("sb") + 1).cast("int"), F.col("w")).alias("g"))
+    cand = (segs.join(subs, "g")
+            .filter((F.col("k") != F.col("kb")) & (F.abs(F.col("sb") - F.col("sa")) <= F.col("kk")) &
+                    (2.0 * F.least(F.col("len"), F.col("lb")) >= F.lit(tp) * (F.col("len") + F.col("lb"))))
+            .select(F.least("k", "kb").alias("ka"), F.greatest("k", "kb").alias("kb")))
+    # short keys: equi-join on every partner length allowed by the length filter
+    short = keys.filter(~seg_ok)
     lo = F.ceil(F.col("len") * F.lit(tp / (2.0 - tp)))
     hi = F.floor(F.col("len") * F.lit((2.0 - tp) / tp))
-    sa = short.select(F.col("k").alias("k1"), F.col("len").alias("l1"),
-                      F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("l2"))
+    sa = short.select(F.col("k").alias("k1"), F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("l2"))
     sb = keys.select(F.col("k").alias("k2"), F.col("len").alias("l2"))
     sc = sa.join(sb, "l2").filter(F.col("k1") != F.col("k2"))
-    short_c = sc.select(F.least("k1", "k2").alias("ka"), F.greatest("k1", "k2").alias("kb"),
-                        F.lit(0).alias("la"), F.lit(0).alias("lb"))
-    pairs = cand.unionByName(short_c).select("ka", "kb").distinct()
+    short_c = sc.select(F.least("k1", "k2").alias("ka"), F.greatest("k1", "k2").alias("kb"))
+    # co-locate and sort candidates by left key so each Arrow batch reuses
+    # the bit masks of its left strings
+    pairs = (cand.unionByName(short_c).distinct()
+             .repartition(par, "ka").sortWithinPartitions("ka"))
     return pairs.withColumn("score", ratio_udf("ka", "kb")).filter(F.col("score") >= t)
 
 
@@ -187,15 +230,17 @@ def greedy_keep(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max_rou
     Each round is a pair of joins; lineage is cut with a reliable
     checkpoint in the shared checkpoint folder."""
     checkpoint_dir(spark)
+    edges = _cut(edges.select("l_id", "r_id"))  # computed once, used twice below
     o = nodes.select("id", "ord")
     e = (edges.select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
          .unionByName(edges.select(F.col("r_id").alias("u"), F.col("l_id").alias("v")))
          .join(o.select(F.col("id").alias("u"), F.col("ord").alias("ou")), "u")
          .join(o.select(F.col("id").alias("v"), F.col("ord").alias("ov")), "v")
-         .filter(F.col("ou") < F.col("ov")).select("u", "v").distinct().checkpoint())
+         .filter(F.col("ou") < F.col("ov")).select("u", "v").distinct())
+    e = _cut(e)
     state = nodes.select("id", "ord", F.when(F.col("pre_kept"), "kept").otherwise("undecided").alias("st"))
     # neighbours of pre-kept nodes are dropped (unless pre-kept themselves)
-    state = _drop_neighbours(state, e, "kept").checkpoint()
+    state = _cut(_drop_neighbours(state, e, "kept"))
     for _ in range(max_rounds):
         if state.filter(F.col("st") == "undecided").limit(1).count() == 0:
             break
@@ -206,10 +251,19 @@ def greedy_keep(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max_rou
                  .withColumn("st", F.when((F.col("st") == "undecided") & F.col("blocked").isNull(), "new")
                              .otherwise(F.col("st"))).drop("blocked"))
         state = _drop_neighbours(state, e, "new")
-        state = state.withColumn("st", F.when(F.col("st") == "new", "kept").otherwise(F.col("st"))).checkpoint()
+        state = _cut(state.withColumn("st", F.when(F.col("st") == "new", "kept").otherwise(F.col("st"))))
     return state.select("id", "ord", (F.col("st") == "kept").alias("kept"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (shared folder) of a persisted frame: computed
+    once, lineage cut, memory released."""
+    df = df.persist()
+    out = df.checkpoint()
+    df.unpersist()
+    return out
+
+
 def _drop_neighbours(state: DataFrame, e: DataFrame, src: str) -> DataFrame:
     srcs = state.filter(F.col("st") == src).select(F.col("id").alias("u"))
     hit = (e.join(srcs, "u").select(F.col("v").alias("id"))
