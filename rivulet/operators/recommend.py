@@ -340,3 +340,35 @@ def profile_page(users: DataFrame, stats: DataFrame, recent: DataFrame) -> DataF
     """User row + interaction stats + recent items (rank, item id) + total."""
     r = recent.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("recent"))
     return users.join(stats, "user_id", "left").join(r, "user_id", "left")
+
+
+def retrain(spark: SparkSession, inter: DataFrame, users: DataFrame, items: DataFrame, as_of,
+            seed: int = 42, out_path: str | None = None, **ranker_params) -> dict:
+    """One batch job rebuilding every artifact in order: item tf-idf
+    vectors, user profiles, co-visitation edges, training set, ranker
+    (persisted to a versioned folder) and latent factors."""
+    import os
+    import uuid
+
+    from ..session import checkpoint_dir
+    from .search import item_text
+    from .text import fit_tfidf, tfidf_vectors
+    from .windows import covisitation_edges
+    docs = items.select("item_id", F.concat_ws(" ", item_text(items), F.col("category")).alias("text"))
+    vocab = fit_tfidf(spark, docs, "item_id", "text", 1000)
+    vectors = tfidf_vectors(spark, docs, "item_id", "text", vocab)
+    prof = user_profiles(inter, users, items)
+    covis = covisitation_edges(inter)
+    train = training_set(spark, inter, users, items, prof, as_of, seed)
+    model = fit_ranker(train, **ranker_params)
+    path = out_path or os.path.join(checkpoint_dir(spark), "models", f"ranker-{uuid.uuid4().hex[:12]}")
+    save_model(model, path)
+    factors = fit_factors(inter, seed=seed)
+    return {"vectors": vectors, "profiles": prof, "covisitation": covis, "training_set": train,
+            "model": model, "model_path": path, "factors": factors}
+
+
+def feature_importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """The ranker's feature importances as rows (feature, importance)."""
+    imp = model.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(FEATURES, [float(x) for x in imp])), "feature string, importance double")

@@ -305,45 +305,203 @@ def dedup_articles(spark: SparkSession, articles: DataFrame, t: float = 90.0) ->
 
 def dedup_videos(spark: SparkSession, first: DataFrame, second: DataFrame, t: float = 90.0) -> DataFrame:
     """All of ``first`` kept; ``second`` filtered greedily against both."""
-    n1 = first.select("id", "title", "ord")
-    offset = first.select(F.max("ord")).scalar()
-    n2 = second.select("id", "title", (F.col("ord") + offset + 1).alias("ord"))
+    n1 = first.select("id", "title", F.struct(F.lit(0).alias("l"), F.col("ord").alias("o")).alias("ord"))
+    n2 = second.select("id", "title", F.struct(F.lit(1).alias("l"), F.col("ord").alias("o")).alias("ord"))
     return dedup_ordered(spark, n1.unionByName(n2), t, pre_kept=first.select("id"))
 
 
 # ------------------------------------------------------------ resolvers
 
-def resolve_against(spark: SparkSession, rich: DataFrame, other: DataFrame, t: float = 88.0,
-                    links: DataFrame | None = None, year_guard: bool = True) -> DataFrame:
-    """Cascade of matches of ``other`` (id, title, year, source_key) items onto
-    ``rich`` (id, title, year, ord) items: optional bridge ids, then exact
-    normalised title (+ year when both have one), then fuzzy >= t with the
-    year guard.  Each stage runs on the rows the previous left unmatched.
-    Returns (source_id, target_id, stage)."""
-    matched = None
-    rest = other
+def _ord(df: DataFrame) -> F.Column:
+    """List order for first-wins ties: an explicit ``ord`` column, else the id."""
+    return F.col("ord") if "ord" in df.columns else F.col("item_id")
+
+
+def _first_year(title_col: F.Column, fallback: F.Column | None = None) -> F.Column:
+    y = F.regexp_extract(title_col, r"\(([0-9]{4})\)", 1)
+    y = F.when(y == "", F.lit(None)).otherwise(y)
+    return F.coalesce(y, fallback) if fallback is not None else y
+
+
+def fuzzy_stage(rich: DataFrame, other: DataFrame, t: float) -> DataFrame:
+    """Best rich match (ratio >= t, ties to the first rich row) for each
+    other row: (source_id, target_id, score)."""
+    left = other.select(F.col("item_id").alias("id"), norm_title("title").alias("key"))
+    right = rich.select(F.col("item_id").alias("id"), norm_title("title").alias("key"), _ord(rich).alias("ord"))
+    return fuzzy_best_match(left, right, t).select(F.col("l_id").alias("source_id"),
+                                                   F.col("r_id").alias("target_id"), "score")
+
+
+def absorb(rich: DataFrame, other: DataFrame, matches: DataFrame) -> DataFrame:
+    """Add the view counts of matched ``other`` items to their targets."""
+    extra = (matches.join(other.select(F.col("item_id").alias("source_id"), "view_count"), "source_id")
+             .groupBy("target_id").agg(F.sum("view_count").alias("extra")))
+    return (rich.join(extra, rich.item_id == extra.target_id, "left")
+            .withColumn("view_count", (F.col("view_count") + F.coalesce("extra", F.lit(0))).cast("long"))
+            .drop("target_id", "extra"))
+
+
+def combine_ratings(rich: DataFrame, inter: DataFrame, matches: DataFrame, max_weight: float,
+                    scale: float = 1.0) -> DataFrame:
+    """Blend each target's rating with the matched dataset ratings > 0."""
+    from ..functions.scalars import combined_rating
+    r = (inter.filter(F.col("rating") > 0).join(matches.select(F.col("source_id").alias("item_id"), "target_id"),
+                                                "item_id")
+         .groupBy("target_id").agg(F.avg(F.col("rating") / scale).alias("ds_avg"), F.count(F.lit(1)).alias("ds_n")))
+    j = rich.join(r, rich.item_id == r.target_id, "left")
+    base = F.when(F.coalesce(F.col("rating"), F.lit(0.0)) == 0.0, F.lit(3.0)).otherwise(F.col("rating"))
+    new = F.when(F.col("ds_n").isNull(), F.col("rating")).otherwise(
+        combined_rating(base, F.col("ds_avg"), F.col("ds_n"), max_weight))
+    return j.withColumn("rating", new).drop("target_id", "ds_avg", "ds_n")
+
+
+def remap(inter: DataFrame, matches: DataFrame) -> DataFrame:
+    from .joins import remap_ids
+    return remap_ids(inter, matches.select("source_id", "target_id"))
+
+
+def _unmatched(other: DataFrame, matches: DataFrame) -> DataFrame:
+    return other.join(matches.select(F.col("source_id").alias("item_id")), "item_id", "left_anti")
+
+
+def resolve_movies(spark: SparkSession, rich: DataFrame, ml_items: DataFrame, ml_inter: DataFrame,
+                   links: DataFrame | None = None, t: float = 88.0) -> dict[str, DataFrame]:
+    """Bridge ids (movieId -> tmdbId -> rich id with a numeric suffix), then
+    normalised title + year (the last rich item with a key wins), then fuzzy
+    >= t with the year guard; absorb views, combine ratings (max weight
+    0.65), re-point interactions; unmatched dataset movies are kept."""
+    from ..functions.scalars import fix_trailing_article
+    r = rich.withColumn("_yr", _first_year(F.col("title"), F.year("publish_ts").cast("string")))
+    o = ml_items.withColumn("_clean", fix_trailing_article("title")).withColumn(
+        "_yr", _first_year(F.col("_clean"), F.regexp_extract("description", r"Year: ([0-9]{4})", 1)))
+    o = o.withColumn("_yr", F.when(F.col("_yr") == "", F.lit(None)).otherwise(F.col("_yr")))
+    stages = []
+    rest = o
     if links is not None:
-        valid = links.filter(F.col("target_id").rlike(r"[0-9]$") & (F.size(F.split("target_id", "_")) >= 3))
-        m1 = (rest.join(valid, rest.source_key == valid.source_id)
-              .join(rich.select(F.col("id").alias("target_id")), "target_id")
-              .select(F.col("id").alias("source_id"), "target_id", F.lit("bridge").alias("stage")))
-        m1 = rank_within(m1, ["source_id"], ["target_id"], 1, "_r").drop("_r")
-        matched = m1
-        rest = rest.join(m1.select(F.col("source_id").alias("id")), "id", "left_anti")
-    rk = rich.select(F.col("id").alias("target_id"), norm_title("title").alias("nt"), F.col("year").alias("ry"),
-                     "ord")
-    ok = rest.select("id", norm_title("title").alias("nt"), F.col("year").alias("oy"))
-    exact = ok.join(rk, "nt").filter(F.coalesce(F.col("oy") == F.col("ry"), F.lit(True)))
-    m2 = rank_within(exact, ["id"], [F.col("ord").asc()], 1, "_r").select(
-        F.col("id").alias("source_id"), "target_id", F.lit("exact").alias("stage"))
-    matched = m2 if matched is None else matched.unionByName(m2)
-    rest = rest.join(m2.select(F.col("source_id").alias("id")), "id", "left_anti")
-    fz = fuzzy_best_match(rest.select("id", norm_title("title").alias("key")),
-                          rich.select("id", norm_title("title").alias("key"), "ord"), t)
-    fz = (fz.join(rest.select(F.col("id").alias("l_id"), F.col("year").alias("oy")), "l_id")
-          .join(rich.select(F.col("id").alias("r_id"), F.col("year").alias("ry")), "r_id"))
-    if year_guard:
-        fz = fz.filter(F.col("oy").isNull() | F.col("ry").isNull() |
-                       (F.abs(F.col("oy").cast("int") - F.col("ry").cast("int")) <= 1))
-    m3 = fz.select(F.col("l_id").alias("source_id"), F.col("r_id").alias("target_id"), F.lit("fuzzy").alias("stage"))
-    return matched.unionByName(m3)
+        parts = F.split(F.col("item_id"), "_")
+        num = F.element_at(parts, -1)
+        by_num = (rich.filter((F.size(parts) >= 3) & num.rlike("^[0-9]+$"))
+                  .select(num.alias("tmdb_id"), F.col("item_id").alias("target_id"), _ord(rich).alias("_o")))
+        by_num = by_num.groupBy("tmdb_id").agg(F.max_by("target_id", "_o").alias("target_id"))
+        src = o.select("item_id", F.element_at(F.split("item_id", "_"), -1).alias("source_id"))
+        m1 = (src.join(links.select("source_id", "tmdb_id"), "source_id").join(by_num, "tmdb_id")
+              .select(F.col("item_id").alias("source_id"), "target_id", F.lit("bridge").alias("stage")))
+        stages.append(m1)
+        rest = rest.join(m1.select(F.col("source_id").alias("item_id")), "item_id", "left_anti")
+    rk = r.filter(F.col("_yr").isNotNull()).select(norm_title("title").alias("_n"), "_yr",
+                                                   F.col("item_id").alias("target_id"), _ord(r).alias("_o"))
+    rk = rk.groupBy("_n", "_yr").agg(F.max_by("target_id", "_o").alias("target_id"))
+    m2 = (rest.filter(F.col("_yr").isNotNull()).select("item_id", norm_title("_clean").alias("_n"), "_yr")
+          .join(rk, ["_n", "_yr"]).select(F.col("item_id").alias("source_id"), "target_id",
+                                          F.lit("exact").alias("stage")))
+    stages.append(m2)
+    rest = rest.join(m2.select(F.col("source_id").alias("item_id")), "item_id", "left_anti")
+    fz = fuzzy_stage(r, rest.withColumn("title", F.col("_clean")), t)
+    fz = (fz.join(rest.select(F.col("item_id").alias("source_id"), F.col("_yr").alias("oy")), "source_id")
+          .join(r.select(F.col("item_id").alias("target_id"), F.col("_yr").alias("ry")), "target_id"))
+    guard = F.col("oy").isNull() | F.col("ry").isNull() | (F.abs(F.col("oy").cast("int") - F.col("ry").cast("int")) <= 1)
+    stages.append(fz.filter(guard).select("source_id", "target_id", F.lit("fuzzy").alias("stage")))
+    matches = stages[0]
+    for m in stages[1:]:
+        matches = matches.unionByName(m)
+    out_rich = combine_ratings(absorb(rich, ml_items, matches), ml_inter, matches, 0.65)
+    items = out_rich.unionByName(_unmatched(ml_items, matches), allowMissingColumns=True)
+    return {"items": items, "interactions": remap(ml_inter, matches), "matches": matches,
+            "year_rejected": fz.filter(~guard).select("source_id", "target_id")}
+
+
+def resolve_books(spark: SparkSession, rich: DataFrame, bx_items: DataFrame, bx_inter: DataFrame,
+                  t: float = 88.0) -> dict[str, DataFrame]:
+    """Cover from the ISBN where empty; exact normalised title (first rich
+    item), else fuzzy >= t; absorb views; ratings (1-10) halved and blended
+    with max weight 0.60; re-point interactions; unmatched books kept."""
+    isbn = F.regexp_replace("item_id", "^bx_", "")
+    bx = bx_items.withColumn("thumbnail_url", F.when(F.coalesce(F.col("thumbnail_url"), F.lit("")) == "",
+                                                     F.concat(F.lit("https://covers.openlibrary.org/b/isbn/"), isbn,
+                                                              F.lit("-M.jpg"))).otherwise(F.col("thumbnail_url")))
+    rk = (rich.select(norm_title("title").alias("_n"), F.col("item_id").alias("target_id"), _ord(rich).alias("_o"))
+          .groupBy("_n").agg(F.min_by("target_id", "_o").alias("target_id")))
+    m1 = (bx.select("item_id", norm_title("title").alias("_n")).join(rk, "_n")
+          .select(F.col("item_id").alias("source_id"), "target_id", F.lit("exact").alias("stage")))
+    rest = bx.join(m1.select(F.col("source_id").alias("item_id")), "item_id", "left_anti")
+    m2 = fuzzy_stage(rich, rest, t).select("source_id", "target_id", F.lit("fuzzy").alias("stage"))
+    matches = m1.unionByName(m2)
+    out_rich = combine_ratings(absorb(rich, bx, matches), bx_inter, matches, 0.60, scale=2.0)
+    items = out_rich.unionByName(_unmatched(bx, matches), allowMissingColumns=True)
+    return {"items": items, "interactions": remap(bx_inter, matches), "matches": matches}
+
+
+def resolve_games(spark: SparkSession, rawg: DataFrame, steam: DataFrame, t: float = 88.0) -> dict[str, DataFrame]:
+    """Fuzzy >= t; absorb views; a target description shorter than 50
+    characters is replaced in match order by non-empty matched descriptions
+    until one of 50+ characters lands (first long one, else the last)."""
+    matches = fuzzy_stage(rawg, steam, t).select("source_id", "target_id", F.lit("fuzzy").alias("stage"))
+    d = (matches.join(steam.select(F.col("item_id").alias("source_id"), F.col("description").alias("sd"),
+                                   _ord(steam).alias("so")), "source_id")
+         .filter(F.coalesce(F.col("sd"), F.lit("")) != "")
+         .groupBy("target_id").agg(
+             F.min_by(F.when(F.length("sd") >= 50, F.col("sd")), F.when(F.length("sd") >= 50, F.col("so"))).alias("first_long"),
+             F.max_by("sd", "so").alias("last_any")))
+    g = absorb(rawg, steam, matches)
+    g = g.join(d, g.item_id == d.target_id, "left")
+    g = g.withColumn("description", F.when((F.length(F.coalesce("description", F.lit(""))) < 50) &
+                                           F.col("last_any").isNotNull(),
+                                           F.coalesce("first_long", "last_any")).otherwise(F.col("description")))
+    g = g.drop("target_id", "first_long", "last_any")
+    return {"items": g.unionByName(_unmatched(steam, matches), allowMissingColumns=True), "matches": matches}
+
+
+def resolve_music(spark: SparkSession, spotify: DataFrame, lastfm: DataFrame, t: float = 80.0) -> dict[str, DataFrame]:
+    """Artist (text after the last em dash) fuzzy >= t against distinct
+    Spotify artists; the listeners go to the artist's first album; matched
+    tracks are dropped, unmatched ones kept."""
+    def artist(col):
+        has = F.col(col).contains("—")
+        return F.when(has, norm_title(F.substring_index(F.col(col), "—", -1))).otherwise(norm_title(F.col(col)))
+    sp = spotify.withColumn("_a", artist("title")).withColumn("_o", _ord(spotify))
+    first_album = sp.groupBy("_a").agg(F.min_by("item_id", "_o").alias("album_id"), F.min("_o").alias("a_ord"))
+    right = first_album.select(F.col("album_id").alias("id"), F.col("_a").alias("key"), F.col("a_ord").alias("ord"))
+    left = lastfm.select(F.col("item_id").alias("id"), artist("title").alias("key"))
+    hit = fuzzy_best_match(left, right, t).select(F.col("l_id").alias("source_id"), F.col("r_id").alias("target_id"))
+    matches = hit.withColumn("stage", F.lit("artist"))
+    out = absorb(spotify, lastfm, matches)
+    return {"items": out.unionByName(_unmatched(lastfm, matches), allowMissingColumns=True), "matches": matches}
+
+
+def resolution_summary(results: dict[str, DataFrame]) -> DataFrame:
+    """Matched / unmatched counts per resolver and stage."""
+    from functools import reduce
+    parts = [m.groupBy("stage").agg(F.count(F.lit(1)).alias("n")).withColumn("resolver", F.lit(name))
+             for name, m in results.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def build_catalogue(spark: SparkSession, src: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Resolve every domain in order, union the resolved lists (the first
+    list wins per id) and report items per type."""
+    from .aggregates import catalogue_type_report
+    from .sets import assemble_catalogue, union_all
+    mv = resolve_movies(spark, src["tmdb_movies"], src["ml_items"], src["ml_interactions"], src.get("ml_links"))
+    bk = resolve_books(spark, src["openlibrary"], src["bx_items"], src["bx_interactions"])
+    gm = resolve_games(spark, src["rawg"], src["steam"])
+    mu = resolve_music(spark, src["spotify"], src["lastfm"])
+    art = src["newsdata"].withColumn("_src", F.lit(0)).unionByName(src["newsapi"].withColumn("_src", F.lit(1)))
+    art = art.withColumn("ord", F.struct(F.col("_src"), _ord(art).alias("o")))
+    kept_art = dedup_articles(spark, art.select(F.col("item_id").alias("id"), "title", "ord"), 90.0)
+    articles = art.join(kept_art.filter("kept").select(F.col("id").alias("item_id")), "item_id", "left_semi") \
+        .drop("_src", "ord")
+    tv, yt = src["tmdb_tv"], src["youtube"]
+    kept_v = dedup_videos(spark, tv.select(F.col("item_id").alias("id"), "title", _ord(tv).alias("ord")),
+                          yt.select(F.col("item_id").alias("id"), "title", _ord(yt).alias("ord")), 90.0)
+    videos = tv.unionByName(yt).join(kept_v.filter("kept").select(F.col("id").alias("item_id")), "item_id",
+                                     "left_semi")
+    products = src["food"].unionByName(src["amazon"], allowMissingColumns=True)
+    cols = [c for c in mv["items"].columns if c != "ord"]
+    lists = [x.select(*[c for c in cols if c in x.columns]) for x in
+             (mv["items"], bk["items"], gm["items"], mu["items"], articles, videos, products)]
+    items = assemble_catalogue(lists)
+    inter = union_all([mv["interactions"], bk["interactions"], src.get("other_interactions", mv["interactions"].limit(0))])
+    summary = resolution_summary({"movies": mv["matches"], "books": bk["matches"], "games": gm["matches"],
+                                  "music": mu["matches"]})
+    return {"items": items, "interactions": inter, "report": catalogue_type_report(spark, items),
+            "summary": summary}

@@ -233,3 +233,24 @@ def recommend_by_arm_q(spark, sf):
     users = B.users(spark, sf)
     ctl = RC.recommend_control(spark, users, B.interactions(spark, sf), B.items(spark, sf), 10)
     return RC.recommend_by_arm(spark, assign_buckets(users, B.EXPERIMENT), _recommend(spark, sf), ctl)
+
+
+@register("retrain", "2.11")
+def retrain_q(spark, sf):
+    """Full retrain over the interactions; returns the ranker's feature
+    importances (model metadata, 32 rows)."""
+    inter = B.interactions(spark, sf)
+    out = RC.retrain(spark, inter, B.users(spark, sf), B.items(spark, sf), B.as_of(inter), 42)
+    return RC.feature_importances(spark, out["model"])
+
+
+@register("popularity_ranking", "2.7", B.with_ctes("items", "event_interactions") + f"""
+, c AS (SELECT DISTINCT user_id, item_id FROM event_interactions)
+SELECT c.user_id, c.item_id, CAST(0.0 AS DOUBLE) AS score,
+       CAST(row_number() OVER (PARTITION BY c.user_id ORDER BY it.view_count DESC, it.rating DESC, it.item_id)
+            AS BIGINT) AS rank
+FROM c JOIN items it ON c.item_id = it.item_id QUALIFY rank <= 50""".replace("\n, c AS", ", c AS", 1))
+def popularity_ranking_q(spark, sf):
+    from ..operators.ranking import popularity_ranking
+    c = B.event_interactions(spark, sf).select("user_id", "item_id").distinct()
+    return popularity_ranking(B.items(spark, sf), c, 50).select("user_id", "item_id", "score", "rank")

@@ -18,13 +18,9 @@ from .registry import register
 def corpus_titles(spark, sf):
     """Corpus titles in (source, doc_id) order."""
     c = B.corpus(spark, sf)
+    # a struct orders like the pair (source, doc_id) without a global window
     return c.select(F.col("doc_id").alias("id"), "title", "lang", "source",
-                    F.dense_rank().over(_order()).cast("long").alias("ord"))
-
-
-def _order():
-    from pyspark.sql import Window
-    return Window.orderBy("source", "doc_id")
+                    F.struct("source", "doc_id").alias("ord"))
 
 
 @register("token_sort_similarity", "2.12")

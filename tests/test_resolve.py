@@ -76,3 +76,74 @@ def test_fuzzy_best_match_ties_to_first(spark):
                                   "id long, key string, ord long")
     r = RS.fuzzy_best_match(left, right, 88.0).collect()
     assert [(x.l_id, x.r_id) for x in r] == [(1, 11)]
+
+
+def _items(spark, rows):
+    return spark.createDataFrame(rows, "item_id string, title string, content_type string, category string, "
+                                       "tags array<string>, description string, thumbnail_url string, "
+                                       "publish_ts timestamp, duration_seconds int, rating double, "
+                                       "view_count long")
+
+
+def _inter(spark, rows):
+    return spark.createDataFrame([(f"i{i}", u, it, "view", None, 10, r, None) for i, (u, it, r) in enumerate(rows)],
+                                 "interaction_id string, user_id string, item_id string, interaction_type string, "
+                                 "timestamp timestamp, dwell_seconds int, rating double, context string")
+
+
+def test_resolve_movies(spark):
+    import datetime as dt
+    d = dt.datetime
+    rich = _items(spark, [("tmdb_movie_155", "The Dark Knight", "movie", "Action", [], "", "", d(2008, 7, 1), None,
+                           4.7, 1000),
+                          ("tmdb_movie_27205", "Inception", "movie", "Sci-Fi", [], "", "", d(2010, 7, 1), None,
+                           4.4, 500),
+                          ("tmdb_movie_9", "Heat", "movie", "Crime", [], "", "", d(1995, 1, 1), None, 4.0, 10)])
+    ml = _items(spark, [("ml_movie_1", "Dark Knight, The", "movie", "Action", [], "Year: 2008. Genres: Action.", "",
+                         None, None, 3.0, 100),
+                        ("ml_movie_2", "Inceptionn", "movie", "Sci-Fi", [], "Year: 2010. Genres: Sci-Fi.", "", None,
+                         None, 3.0, 50),
+                        ("ml_movie_3", "Heat", "movie", "Crime", [], "Year: 1980. Genres: Crime.", "", None, None,
+                         3.0, 7),
+                        ("ml_movie_4", "Unknown Film", "movie", "Drama", [], "Year: 2001. Genres: Drama.", "", None,
+                         None, 3.0, 1)])
+    inter = _inter(spark, [("u", "ml_movie_1", 4.0)] * 12 + [("u", "ml_movie_4", 2.0)])
+    out = RS.resolve_movies(spark, rich, ml, inter)
+    m = {(r.source_id, r.target_id, r.stage) for r in out["matches"].collect()}
+    assert m == {("ml_movie_1", "tmdb_movie_155", "exact"), ("ml_movie_2", "tmdb_movie_27205", "fuzzy")}
+    assert {(r.source_id, r.target_id) for r in out["year_rejected"].collect()} == {("ml_movie_3", "tmdb_movie_9")}
+    items = {r.item_id: r for r in out["items"].collect()}
+    assert set(items) == {"tmdb_movie_155", "tmdb_movie_27205", "tmdb_movie_9", "ml_movie_3", "ml_movie_4"}
+    assert items["tmdb_movie_155"].view_count == 1100 and items["tmdb_movie_27205"].view_count == 550
+    w = min(0.65, 0.1 + 12 / 5000)
+    assert items["tmdb_movie_155"].rating == pytest.approx(round((1 - w) * 4.7 + w * 4.0, 2))
+    assert {r.item_id for r in out["interactions"].collect()} == {"tmdb_movie_155", "ml_movie_4"}
+    links = spark.createDataFrame([("4", "9")], "source_id string, tmdb_id string")
+    out2 = RS.resolve_movies(spark, rich, ml, inter, links)
+    assert ("ml_movie_4", "tmdb_movie_9", "bridge") in {(r.source_id, r.target_id, r.stage)
+                                                       for r in out2["matches"].collect()}
+
+
+def test_resolve_books_games_music(spark):
+    ol = _items(spark, [("ol_W1", "Clara Callan", "article", "Fiction", [], "", "x", None, None, 0.0, 10)])
+    bx = _items(spark, [("bx_0001", "Clara Callan", "article", "Books", [], "", "", None, None, 4.0, 5),
+                        ("bx_0002", "Other Book", "article", "Books", [], "", "", None, None, 4.0, 5)])
+    bint = _inter(spark, [("u", "bx_0001", 8.0)] * 10)
+    b = RS.resolve_books(spark, ol, bx, bint)
+    items = {r.item_id: r for r in b["items"].collect()}
+    assert set(items) == {"ol_W1", "bx_0002"} and items["ol_W1"].view_count == 15
+    assert items["bx_0002"].thumbnail_url == "https://covers.openlibrary.org/b/isbn/0002-M.jpg"
+    w = min(0.60, 0.1 + 10 / 5000)
+    assert items["ol_W1"].rating == pytest.approx(round((1 - w) * 3.0 + w * 4.0, 2))
+    rawg = _items(spark, [("rawg_1", "Half-Life 2", "game", "Action", [], "short", "", None, None, 4.5, 100)])
+    steam = _items(spark, [("steam_9", "Half Life 2", "game", "Action", [], "A long description " * 4, "", None, None,
+                            4.0, 40), ("steam_8", "Portal", "game", "Puzzle", [], "p", "", None, None, 4.0, 1)])
+    g = {r.item_id: r for r in RS.resolve_games(spark, rawg, steam)["items"].collect()}
+    assert set(g) == {"rawg_1", "steam_8"} and g["rawg_1"].view_count == 140
+    assert g["rawg_1"].description.startswith("A long description")
+    sp = _items(spark, [("spotify_a", "Album One — Eminem", "music", "Pop", [], "", "", None, None, 4.0, 100),
+                        ("spotify_b", "Album Two — Eminem", "music", "Pop", [], "", "", None, None, 4.0, 100)])
+    lf = _items(spark, [("lastfm_1", "Song — Eminemm", "music", "Pop", [], "", "", None, None, 4.0, 7),
+                        ("lastfm_2", "Song — Adele", "music", "Pop", [], "", "", None, None, 4.0, 3)])
+    mu = {r.item_id: r.view_count for r in RS.resolve_music(spark, sp, lf)["items"].collect()}
+    assert mu == {"spotify_a": 107, "spotify_b": 100, "lastfm_2": 3}
