@@ -1,8 +1,9 @@
 """Intent-routed search over a table of queries.
 
-``classify_intent`` is one ordered ``when`` chain of regular expressions
-(first hit wins) evaluated JVM-side; each route is a set-oriented job over the
-subset of queries with that intent, and ``answer_queries`` unions them.
+``classify_intent`` evaluates each pattern once (``regexp_extract``, JVM-side)
+and takes the first pattern that matched; each route is a set-oriented job
+over the subset of queries with that intent, and ``answer_queries`` unions
+them.
 """
 
 from __future__ import annotations
@@ -65,17 +66,24 @@ def normalised_query(col="text") -> F.Column:
 def classify_intent(queries: DataFrame) -> DataFrame:
     """Adds ``q`` (normalised text), ``intent``, ``target`` and ``type_hint``."""
     q = normalised_query()
-    intent, target = F.lit("general"), q
-    for name, pat in reversed(INTENT_PATTERNS):
-        hit = q.rlike("(?i)" + pat)
-        intent = F.when(hit, F.lit(name)).otherwise(intent)
-        target = F.when(hit, strip_ws(F.regexp_extract(q, "(?i)" + pat, 1))).otherwise(target)
+    # Group 1 of every pattern is non-empty exactly when the pattern
+    # matches, so one extract per pattern serves as both test and target.
+    base = queries.select("*", q.alias("q"))
+    ex = F.array(*[F.regexp_extract(F.col("q"), "(?i)" + pat, 1) for _, pat in INTENT_PATTERNS])
+    base = base.withColumn("_ex", ex).withColumn(
+        "_i", F.array_position(F.transform("_ex", lambda x: x != ""), True).cast("int"))
+    names = F.array(*[F.lit(n) for n, _ in INTENT_PATTERNS])
+    intent = F.when(F.col("_i") > 0, F.element_at(names, F.greatest(F.col("_i"), F.lit(1)))) \
+        .otherwise(F.lit("general"))
+    target = F.when(F.col("_i") > 0, strip_ws(F.element_at("_ex", F.greatest(F.col("_i"), F.lit(1))))) \
+        .otherwise(F.col("q"))
+    q = F.col("q")
     hint = F.lit(None).cast("string")
     for ctype, words in reversed(TYPE_KEYWORDS):
         hit = reduce(lambda a, b: a | b, [q.contains(w) for w in words])
         hint = F.when(hit, F.lit(ctype)).otherwise(hint)
-    return queries.select("*", q.alias("q"), intent.alias("intent"), target.alias("target"),
-                          hint.alias("type_hint"))
+    return base.select(*queries.columns, "q", intent.alias("intent"), target.alias("target"),
+                       hint.alias("type_hint"))
 
 
 def classify_intent_sql(text_expr: str) -> tuple[str, str, str]:
