@@ -236,18 +236,26 @@ def candidates(spark: SparkSession, users: DataFrame, inter: DataFrame, items: D
         parts = parts.unionByName(s3)
     cand = parts.distinct().join(seen, ["user_id", "item_id"], "left_anti")
     cand = rank_within(cand, ["user_id"], [F.col("item_id").asc()], n, "cand_rank")
-    # top-up: popular items not yet listed, in popularity order
+    # top-up: the first (n - have) popular items that are neither listed nor
+    # seen, in popularity order (fewer when some of those are excluded).
+    # The popular list has at most n rows, so it is broadcast and attached
+    # as an array; each user's exclusions inside it are at most n ids.
     top_ids = popular_list(items, n, content_type).select("item_id", F.col("rank").alias("pop_rank"))
     counts = cand.groupBy("user_id").agg(_n().alias("have"))
     need = users.select("user_id").join(counts, "user_id", "left").withColumn(
         "have", F.coalesce("have", F.lit(0))).filter(F.col("have") < n)
-    extra = (need.select("user_id", "have", F.explode(top_ids.select(F.collect_list(
-        F.struct("pop_rank", "item_id"))).scalar()).alias("p"))
-        .select("user_id", "have", "p.pop_rank", "p.item_id")
-        .join(cand.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-        .join(seen, ["user_id", "item_id"], "left_anti"))
-    extra = rank_within(extra, ["user_id"], ["pop_rank"], None, "_e").filter(F.col("_e") <= n - F.col("have"))
-    extra = extra.select("user_id", "item_id", (F.col("have") + F.col("_e")).alias("cand_rank"))
+    excl = (cand.select("user_id", "item_id").unionByName(seen)
+            .join(F.broadcast(top_ids.select("item_id")), "item_id", "left_semi")
+            .groupBy("user_id").agg(F.collect_set("item_id").alias("excl")))
+    plist = top_ids.select(F.sort_array(F.collect_list(F.struct("pop_rank", "item_id")))).scalar()
+    u = (need.join(excl, "user_id", "left")
+         .select("user_id", "have", F.coalesce("excl", F.array().cast("array<string>")).alias("excl"),
+                 plist.alias("plist")))
+    avail = F.filter("plist", lambda x: (x["pop_rank"] <= F.lit(n) - F.col("have"))
+                     & ~F.array_contains(F.col("excl"), x["item_id"]))
+    extra = (u.select("user_id", "have", F.posexplode(avail).alias("pos", "p"))
+             .select("user_id", F.col("p.item_id").alias("item_id"),
+                     (F.col("have") + F.col("pos") + 1).cast("long").alias("cand_rank")))
     return cand.unionByName(extra)
 
 
