@@ -22,7 +22,10 @@ LOG_K = 9
 #: Estimates within this many standard errors of the threshold are recounted.
 ERRORS = 5.0
 
-_LAST = F.lit((1 << 63) - 1)
+
+
+def _id(doc_id):
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
 
 
 def _hash(line):
@@ -33,7 +36,7 @@ def _hash(line):
 def line_table(docs: DataFrame, site_col: str = "source") -> DataFrame:
     """One row per line of text: key of its document, line hash, site, id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), _LAST).alias("id"),
+    lines = docs.select(_id("doc_id").alias("id"),
                         F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
                         F.xxhash64(text).alias("text_key"), F.explode(F.split(text, "\n")).alias("line"))
     return lines.where(F.trim(F.translate("line", "\t\r", "  ")) != "").select("id", "site", "text_key", _hash(F.col("line")).alias("line"))
@@ -64,7 +67,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 6, site_col: str = "sou
     own = line_table(docs, site_col).select("id", "text_key", "line").distinct()
     drop = (own.join(found, "line").where(F.col("id") != F.col("keeper"))
             .groupBy("id", "text_key").agg(F.collect_set("line").alias("_drop")))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), _LAST),
+    keyed = docs.withColumns({"_id": _id("doc_id"),
                               "_key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     joined = keyed.join(drop.withColumnRenamed("id", "_id").withColumnRenamed("text_key", "_key"), ["_id", "_key"], "left")
     lines = F.split("text", "\n")
