@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, rank_merge, transducer
+from . import exact_dedup, jaccard_trie, line_dedup, packing, rank_merge, transducer
 from .common import documents
 
 #: Boilerplate: a line on at least this many distinct sources.
@@ -19,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.ngram_components(documents(spark, sf_dir), 3, 90).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_boilerplate(documents(spark, sf_dir), MIN_SITES)
     return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"),
@@ -40,7 +44,7 @@ def op10_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op5_line_dedup, op6_best_fit_packing, op7_bpe_transducer, op10_rank_merge_counts)}
+    op2_exact_dedup, op4_ngram_jaccard, op5_line_dedup, op6_best_fit_packing, op7_bpe_transducer, op10_rank_merge_counts)}
 
 ORACLES = {
     "op2_exact_dedup": """
