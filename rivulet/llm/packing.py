@@ -41,9 +41,26 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = Memo(self.words)
+        self.stems = Memo(self.encode, 200_000)
+        self.memo = Memo(self.words, 400_000)
 
     def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words.  Case is ignored and letters never join with a mark
+        after them, so plain words are looked up in lower case without it."""
+        stems, tails = [], []
+        for w in words:
+            low, tail = w, ""
+            if w.isascii():
+                if w.isalpha():
+                    low = w.lower()
+                elif w[-1] in ".,;:!?|" and w[:-1].isalpha():
+                    low, tail = w[:-1].lower(), w[-1]
+            stems.append(low)
+            tails.append(tail)
+        known = self.stems.over({*stems, *tails} - {""})
+        return [known[s] + known[t] if t else known[s] for s, t in zip(stems, tails)]
+
+    def encode(self, words: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(words), 20_000):
             part = words[at:at + 20_000]
