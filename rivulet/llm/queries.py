@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hash_index, jaccard_trie, line_dedup, packing, rank_merge, transducer
+from . import exact_dedup, hash_index, jaccard_trie, line_dedup, ngram_lm, packing, rank_merge, transducer
 from .common import documents
 
 #: Boilerplate: a line on at least this many distinct sources.
@@ -44,12 +44,16 @@ def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_index.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op9_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.train_and_score(documents(spark, sf_dir), 10, 0)[0]
+
+
 def op10_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_merge.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op4_ngram_jaccard, op5_line_dedup, op6_best_fit_packing, op7_bpe_transducer, op8_multi_index_hashing,
+    op2_exact_dedup, op4_ngram_jaccard, op5_line_dedup, op6_best_fit_packing, op7_bpe_transducer, op8_multi_index_hashing, op9_elias_fano_lm,
     op10_rank_merge_counts)}
 
 ORACLES = {
