@@ -15,6 +15,7 @@ each; a null id stays null; an empty table gives an empty result.
 """
 
 import re
+import struct
 import zlib
 from itertools import islice
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Memo, file_bytes, materialise, prepare, worker_state
+from .rank_merge import byte_alphabet
 
 #: Separators of str.split that are ordinary characters to the tokenizer.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -41,6 +43,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.alphabet = byte_alphabet()
         self.stems = Memo(self.encode, 200_000)
         self.memo = Memo(self.words, 400_000)
 
@@ -50,7 +53,7 @@ class WordIds:
         stems, tails = [], []
         for w in words:
             low, tail = w, ""
-            if w.isascii():
+            if w.isascii() or max(w) <= "\xff":
                 if w.isalpha():
                     low = w.lower()
                 elif w[-1] in ".,;:!?|" and w[:-1].isalpha():
@@ -61,14 +64,25 @@ class WordIds:
         return [known[s] + known[t] if t else known[s] for s, t in zip(stems, tails)]
 
     def encode(self, words: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+        """Ids of words; a run of lower-case Latin letters is one pre-token
+        and goes to the library's model at once."""
+        out: list = [None] * len(words)
+        rest, tokenize, alphabet = [], self.tokenizer.model.tokenize, self.alphabet
+        for k, w in enumerate(words):
+            if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff"):
+                name = w if w.isascii() else "".join([alphabet[b] for b in w.encode()])
+                ids = [t.id for t in tokenize(name)]
+                out[k] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(k)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at:at + 20_000]
+            found = self.tokenizer.encode([words[k] for k in part], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, np.uint32)
             cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1)) * 4
             data = ids.tobytes()
-            out += [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            for k, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
+                out[k] = data[a:b]
         return out
 
     def __call__(self, text: str) -> bytes:
