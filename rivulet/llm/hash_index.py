@@ -20,8 +20,8 @@ ties go to smaller ids.
 
 Defined cases: vectors that are null, empty, zero, of another length than
 most of the sample, or that hold null or non-finite components take no part,
-neither as queries nor as candidates; null ids take no part; repeated rows
-(same id) are one candidate; an empty table gives an empty result.
+neither as queries nor as candidates; null ids take no part; of repeated rows
+(same id) the smallest vector counts; an empty table gives an empty result.
 """
 
 import numpy as np
@@ -96,9 +96,10 @@ def substring(codes: np.ndarray, i: int) -> np.ndarray:
     return ((codes >> np.uint64(WIDTH * (SUBSTRINGS - 1 - i))) & np.uint64((1 << WIDTH) - 1)).astype(np.uint16)
 
 
-def probe(codes, rows_v, row_ids, q_codes, q_v, q_ids, i: int, r: list[int], radius: int, k: int, tile: int = 256):
+def probe(codes, rows_v, row_ids, q_codes, q_v, q_ids, q_least, i: int, r: list[int], radius: int, k: int, tile: int = 64):
     """Within one shard of index i: each query's k best rows among the codes
-    within the radius that index i is the first to retrieve."""
+    within the radius that index i is the first to retrieve, and of scores
+    that the query's bound allows."""
     order = np.argsort(substring(codes, i), kind="stable")
     codes, rows_v, row_ids = codes[order], rows_v[order], row_ids[order]
     keys, starts = np.unique(substring(codes, i), return_index=True)
@@ -119,7 +120,8 @@ def probe(codes, rows_v, row_ids, q_codes, q_v, q_ids, i: int, r: list[int], rad
             q, row, differ = q[late], row[late], differ[late]
         score = np.concatenate([np.einsum("ij,ij->i", qv[q[s:s + 50_000]], rows_v[row[s:s + 50_000]])
                                 for s in range(0, max(1, len(q)), 50_000)])
-        ids = row_ids[row]
+        high = score >= q_least[at:at + tile][q]
+        q, ids, score = q[high], row_ids[row[high]], score[high]
         best = np.lexsort((ids, -score, q))
         q, ids, score = q[best], ids[best], score[best]
         first = np.searchsorted(q, np.arange(len(qi)))
@@ -128,14 +130,27 @@ def probe(codes, rows_v, row_ids, q_codes, q_v, q_ids, i: int, r: list[int], rad
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
-def _encode(rows: DataFrame, codes, query: bool) -> DataFrame:
+def _encode(rows: DataFrame, codes, query: bool, sample=None, k: int = 0) -> DataFrame:
+    """(vec_id, code, v), and for queries ``least``: the k-th best score among
+    the other rows of the sample, which no row among the k nearest is below
+    (here of 2 k, so that k are mostly found among those within the radius)."""
     def run(frames):
         for f in frames:
             v = np.array(f["v"].tolist(), np.float64).reshape(len(f), -1)
-            yield pd.DataFrame({"vec_id": f["vec_id"], "code": codes(v, query).view(np.int64),
-                                "v": [x.tobytes() for x in v]})
-
-    return rows.mapInPandas(run, "vec_id long, code long, v binary")
+            out = pd.DataFrame({"vec_id": f["vec_id"], "code": codes(v, query).view(np.int64), "v": [x.tobytes() for x in v]})
+            if query:
+                ids, vectors = sample.value
+                least = np.full(len(f), -np.inf)
+                if len(ids) > k:
+                    for at in range(0, len(f), 256):
+                        scores = v[at:at + 256] @ vectors.T
+                        scores[f["vec_id"].to_numpy()[at:at + 256, None] == ids[None, :]] = -np.inf
+                        # rounding differs between ways to add up a product
+                        least[at:at + 256] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-9 * codes.largest ** 2
+                out["least"] = least
+            yield out
+
+    return rows.mapInPandas(run, "vec_id long, code long, v binary" + ", least double" * query)
 
 
 def _search(queries: DataFrame, index: DataFrame, n_rows: int, n_queries: int, radius: int, k: int) -> DataFrame:
@@ -158,11 +173,11 @@ def _search(queries: DataFrame, index: DataFrame, n_rows: int, n_queries: int, r
             .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
             .select("i", "p", "block", "q_block", "vec_id", "code", "v"))
     reach = F.array(*[F.struct(F.lit(i).alias("i"), prefix(i).alias("own"), F.lit(r[i]).alias("r")) for i in used])
-    sent = (queries.withColumn("at", F.explode(reach)).select("vec_id", "code", "v", "at.*")
+    sent = (queries.withColumn("at", F.explode(reach)).select("vec_id", "code", "v", "least", "at.*")
             .join(F.broadcast(counts), "i").where(F.bit_count(F.col("own").bitwiseXOR(F.col("p"))) <= F.col("r"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("q_block", q_block)
             .select(F.col("i").alias("qi"), F.col("p").alias("qp"), F.col("block").alias("qb"), F.col("q_block").alias("qq"),
-                    "vec_id", "code", "v"))
+                    "vec_id", "code", "v", "least"))
 
     def run(key: tuple, some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(asked):
@@ -172,7 +187,7 @@ def _search(queries: DataFrame, index: DataFrame, n_rows: int, n_queries: int, r
             return (f["code"].to_numpy(np.int64).view(np.uint64),
                     np.frombuffer(b"".join(f["v"]), np.float64).reshape(len(f), -1), f["vec_id"].to_numpy(np.int64))
 
-        q, v, s = probe(*arrays(some), *arrays(asked), int(key[0]), r, radius, k)
+        q, v, s = probe(*arrays(some), *arrays(asked), asked["least"].to_numpy(np.float64), int(key[0]), r, radius, k)
         return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
 
     found = rows.groupBy("i", "p", "block", "q_block").cogroup(sent.groupBy("qi", "qp", "qb", "qq")).applyInPandas(run, "query_id long, vec_id long, score double")
@@ -181,25 +196,29 @@ def _search(queries: DataFrame, index: DataFrame, n_rows: int, n_queries: int, r
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            recall: float = 0.96) -> DataFrame:
+            recall: float = 0.94) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of ``vectors`` for each
     row of ``queries`` by inner product, not counting the query's own id."""
     spark = prepare(vectors)
     kind = "query_id long, rank int, vec_id long, score double"
-    valid = valid_vectors(vectors, id_col, vector_col)
-    sample = [r["v"] for r in valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()]
+    def rows(df):
+        return valid_vectors(df, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+    valid = materialise(rows(vectors), "vectors")
+    sample = [(r["vec_id"], r["v"]) for r in valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()]
     if not sample:
         return spark.createDataFrame([], kind)
-    lengths, counts = np.unique([len(v) for v in sample], return_counts=True)
+    lengths, counts = np.unique([len(v) for _, v in sample], return_counts=True)
     dim = int(lengths[np.argmax(counts)])
-    valid = valid.where(F.size("v") == dim).dropDuplicates(["vec_id"])
+    valid = valid.where(F.size("v") == dim)
     largest = valid.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    fitted = Codes(np.array([v for v in sample if len(v) == dim], np.float64), largest, k, recall)
+    ids, kept = np.array([i for i, v in sample if len(v) == dim]), np.array([v for _, v in sample if len(v) == dim], np.float64)
+    fitted = Codes(kept, largest, k, recall)
+    shared = spark.sparkContext.broadcast((ids, kept))  # FIT_ROWS vectors
     same = Window.partitionBy("v").orderBy("vec_id")
     distinct = valid.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).select("vec_id", "v")
     index = materialise(_encode(distinct, fitted, False), "index")
-    asked = valid_vectors(queries, id_col, vector_col).where(F.size("v") == dim).dropDuplicates(["vec_id"])
-    asked = materialise(_encode(asked, fitted, True), "queries")
+    asked = materialise(_encode(rows(queries).where(F.size("v") == dim), fitted, True, shared, 2 * k), "queries")
     n_rows, n_queries = index.count(), asked.count()
     found = materialise(_search(asked, index, n_rows, n_queries, fitted.radius, k), "found")
     if fitted.radius >= BITS:

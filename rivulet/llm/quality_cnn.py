@@ -13,8 +13,8 @@ every byte of every text.
 
 Defined cases: null and empty texts are one chunk of padding and get its
 score; a null id is scored and not held out; repeated rows are scored each;
-with labels of one class only, or none, every score is that class's share (or
-one half); an empty table gives an empty result; other columns are not read.
+with labels of one class only every score is that class, without labels one
+half; an empty table gives an empty result; other columns are not read.
 """
 
 import numpy as np
@@ -184,29 +184,45 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     return Network().fit([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c in sample["chunks"]], y, weight)
 
 
+def score_texts(model, texts: list) -> np.ndarray:
+    """Scores of texts (null counts as empty), some at a time."""
+    out, some, size = [np.zeros(0)], [], 0
+    for t in texts:
+        some.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(some[-1])
+        if size > 200_000:
+            out.append(model.scores(some))
+            some, size = [], 0
+    if some:
+        out.append(model.scores(some))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted (1 from ``threshold`` on) per row."""
     prepare(docs)
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "text")
     schema = rows.select("doc_id", F.lit(0.0).alias("score")).schema
 
     def run(batches):
         for batch in batches:
-            out, some, size = [], [], 0
-            for t in batch.column("text").to_pylist():
-                some.append(t.encode("utf-8", "surrogatepass"))
-                size += len(some[-1])
-                if size > 200_000:
-                    out.append(model.scores(some))
-                    some, size = [], 0
-            if some:
-                out.append(model.scores(some))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else [], pa.float64())],
-                                             names=["doc_id", "score"])
+            scores = score_texts(model, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``threshold``."""
+    prepare(docs)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(model, batch.column("text").to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     out = score(docs, train(docs, labels), threshold)
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")

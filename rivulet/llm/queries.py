@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hash_index, jaccard_trie, line_dedup, ngram_lm, packing, rank_merge, transducer
+from . import exact_dedup, hash_index, jaccard_trie, line_dedup, ngram_lm, packing, quality_cnn, rank_merge, toxicity_gbt, transducer
 from .common import documents
 
 #: Boilerplate: a line on at least this many distinct sources.
@@ -14,6 +14,18 @@ MIN_SITES = 6
 CAPACITY = 4096
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(documents(spark, sf_dir), _labels(spark, sf_dir), 0.7)
+
+
+def op3_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gbt.classify(documents(spark, sf_dir), _labels(spark, sf_dir), 0.5)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -52,9 +64,14 @@ def op10_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_merge.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_exact_dedup, op4_ngram_jaccard, op5_line_dedup, op6_best_fit_packing, op7_bpe_transducer, op8_multi_index_hashing, op9_elias_fano_lm,
-    op10_rank_merge_counts)}
+    op1_quality_cnn, op2_exact_dedup, op3_toxicity_gbt, op4_ngram_jaccard, op5_line_dedup, op6_best_fit_packing, op7_bpe_transducer, op8_multi_index_hashing, op9_elias_fano_lm,
+    op10_rank_merge_counts, pipeline)}
 
 ORACLES = {
     "op2_exact_dedup": """

@@ -307,23 +307,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     return fit(sample["text"].tolist(), y, np.array([weights[int(k)] for k in y]))
 
 
+def score_texts(model: Model | float, features: Features | None, texts: list) -> np.ndarray:
+    if features is None:
+        return np.full(len(texts), model)
+    return model.scores(np.array([features(t or "") for t in texts]).reshape(-1, len(NAMES)))
+
+
 def score(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
     """doc_id, score and predicted (1 from ``threshold`` on) per row."""
     prepare(docs)
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    if isinstance(model, float):
-        out = rows.select("doc_id", F.lit(model).alias("score"))
-    else:
-        def run(batches):
-            of = Features(model.lexicon)
-            for batch in batches:
-                x = np.array([of(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(NAMES))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(x), pa.float64())], names=["doc_id", "score"])
-
-        out = rows.mapInArrow(run, rows.select("doc_id", F.lit(0.0).alias("score")).schema)
+    rows = docs.select("doc_id", "text")
+
+    def run(batches):
+        features = None if isinstance(model, float) else Features(model.lexicon)
+        for batch in batches:
+            scores = score_texts(model, features, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+
+    out = rows.mapInArrow(run, rows.select("doc_id", F.lit(0.0).alias("score")).schema)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``."""
+    prepare(docs)
+
+    def run(batches):
+        features = None if isinstance(model, float) else Features(model.lexicon)
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(model, features, batch.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     out = score(docs, train(docs, labels), threshold)
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
