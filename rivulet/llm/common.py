@@ -70,7 +70,7 @@ class Memo:
         self.old: dict = {}
 
     def over(self, keys) -> dict:
-        """A dict holding at least all of ``keys`` (a set or a list)."""
+        """A dict holding at least all of ``keys``."""
         if len(self.young) > self.entries:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old

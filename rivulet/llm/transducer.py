@@ -64,7 +64,7 @@ def last_merges(ranks: dict[bytes, int]) -> dict[bytes, tuple[bytes, bytes]]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], last: dict[bytes, tuple[bytes, bytes]], max_arcs: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], last: dict[bytes, tuple[bytes, bytes]], max_arcs: int = 500_000):
         self.ranks, self.max_arcs = ranks, max_arcs
         self.bytes_of = {i: t for t, i in ranks.items()}
         # trie: arcs of each node by byte, and the token that ends there
@@ -119,7 +119,7 @@ class Transducer:
         key = a << 32 | b
         known = self.fitting.get(key)
         if known is None:
-            if len(self.fitting) + len(self.hope) > self.max_arcs:
+            if len(self.fitting) + len(self.hope) > 2 * self.max_arcs:
                 self.fitting, self.hope = {}, {}
             if a in self.odd or b in self.odd:
                 x, y = self.bytes_of[a], self.bytes_of[b]
