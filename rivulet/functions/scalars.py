@@ -116,9 +116,9 @@ def combined_rating(rich, avg, n, max_weight=0.65, min_samples=10,
 def literal_match(text, *fields, tags=None) -> Column:
     """Case-insensitive literal substring of ``text`` in any field or tag.
 
-    ``text`` is trimmed and cut to 512 characters; empty text matches all.
+    ``text`` is trimmed; empty text matches all.
     """
-    t = F.lower(strip_ws(F.substring(_c(text), 1, 512)))
+    t = F.lower(strip_ws(_c(text)))
     hits = [F.coalesce(F.lower(_c(f)).contains(t), F.lit(False)) for f in fields]
     if tags is not None:
         hits.append(F.coalesce(F.exists(_c(tags), lambda x: F.lower(x).contains(t)), F.lit(False)))
@@ -126,7 +126,7 @@ def literal_match(text, *fields, tags=None) -> Column:
 
 
 def literal_match_sql(text: str, fields: list[str], tags: str | None = None) -> str:
-    t = f"lower(regexp_replace(substr({text}, 1, 512), '^[{WS}]+|[{WS}]+$', '', 'g'))"
+    t = f"lower(regexp_replace({text}, '^[{WS}]+|[{WS}]+$', '', 'g'))"
     hits = [f"coalesce(contains(lower({f}), {t}), false)" for f in fields]
     if tags:
         hits.append(f"coalesce(len(list_filter({tags}, lambda x: contains(lower(x), {t}))) > 0, false)")

@@ -65,18 +65,18 @@ def system_stats(spark: SparkSession, users: DataFrame, items: DataFrame, inter:
     """The dashboard record, flat: totals, trailing activity, type count and
     the top category with its share of the 7-day interactions."""
     cats = popular_categories(inter, items, as_of, 7, 1)
-    week = _since(inter, as_of, 24 * 7)
-    day = _since(inter, as_of, 24)
-    return spark.range(1).select(
-        users.select(_count()).scalar().alias("total_users"),
-        items.select(_count()).scalar().alias("total_items"),
-        inter.select(_count()).scalar().alias("total_interactions"),
-        day.select(F.countDistinct("user_id")).scalar().alias("active_users_24h"),
-        day.select(_count()).scalar().alias("interactions_24h"),
-        items.select(F.countDistinct("content_type")).scalar().alias("content_types"),
-        cats.select("category").scalar().alias("top_category"),
-        F.round(cats.select("interaction_count").scalar()
-                / F.greatest(week.select(_count()).scalar(), F.lit(1)) * 100.0, 6).alias("top_category_pct"))
+    # one pass over the interactions, one over the items
+    at = inter.select("user_id", "timestamp", as_of.alias("_now"))
+    day = F.col("timestamp") >= F.col("_now") - F.make_interval(hours=F.lit(24))
+    week = F.col("timestamp") >= F.col("_now") - F.make_interval(hours=F.lit(24 * 7))
+    acts = at.agg(_count().alias("total_interactions"), F.countDistinct(F.when(day, F.col("user_id"))).alias("active_users_24h"),
+                  F.count_if(day).alias("interactions_24h"), F.count_if(week).alias("_week"))
+    kinds = items.agg(_count().alias("total_items"), F.countDistinct("content_type").alias("content_types"))
+    top = cats.select(F.col("category").alias("top_category"), F.col("interaction_count").alias("_top"))
+    one = users.agg(_count().alias("total_users"))
+    out = one.join(kinds, how="cross").join(acts, how="cross").join(top, how="left", on=F.lit(True))  # one row each
+    return out.select("total_users", "total_items", "total_interactions", "active_users_24h", "interactions_24h", "content_types",
+                      "top_category", F.round(F.col("_top") / F.greatest("_week", F.lit(1)) * 100.0, 6).alias("top_category_pct"))
 
 
 def user_interaction_stats(inter: DataFrame, items: DataFrame) -> DataFrame:

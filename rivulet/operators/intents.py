@@ -60,7 +60,7 @@ SCORES = {"similar_to": 0.8, "category_filter": 0.9, "educational": 0.85, "trend
 
 
 def normalised_query(col="text") -> F.Column:
-    return F.lower(strip_ws(F.substring(F.col(col), 1, 512)))
+    return F.lower(strip_ws(F.col(col)))
 
 
 def classify_intent(queries: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def classify_intent(queries: DataFrame) -> DataFrame:
 
 
 def classify_intent_sql(text_expr: str) -> tuple[str, str, str]:
-    q = f"lower(regexp_replace(substr({text_expr}, 1, 512), '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g'))"
+    q = f"lower(regexp_replace({text_expr}, '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g'))"
     intent = " ".join(f"WHEN regexp_matches({q}, '{p}', 'i') THEN '{n}'" for n, p in INTENT_PATTERNS)
     target = " ".join(
         f"WHEN regexp_matches({q}, '{p}', 'i') THEN regexp_replace(regexp_extract({q}, '{p}', 1, 'i'), "
@@ -135,7 +135,7 @@ def route_category(spark: SparkSession, c: DataFrame, items: DataFrame) -> DataF
     top = rank_within(j, ["query_id"], [F.col("view_count").desc(), F.col("rating").desc(),
                                         F.col("item_id").asc()], None).filter(F.col("rank") <= F.col("limit"))
     rest = q.join(top.select("query_id").distinct(), "query_id", "left_anti")
-    fb = SE.text_search(spark, rest, items, 100).join(rest.select("query_id", "limit"), "query_id") \
+    fb = SE.text_search(spark, rest, items, None).join(rest.select("query_id", "limit"), "query_id") \
         .filter(F.col("rank") <= F.col("limit"))
     return _scored(top, "category_filter", 0.9).unionByName(_scored(fb, "category_filter", 0.9))
 
@@ -145,7 +145,7 @@ def route_educational(spark: SparkSession, c: DataFrame, items: DataFrame) -> Da
     target; rating then views."""
     q = _as_queries(c, "target", F.lit(None).cast("string"))
     edu = items.filter(F.col("content_type").isin(*K.EDUCATIONAL_TYPES))
-    r = SE.literal_search(spark, q, edu, 100, order="rating").join(q.select("query_id", "limit"), "query_id")
+    r = SE.literal_search(spark, q, edu, None, order="rating").join(q.select("query_id", "limit"), "query_id")
     return _scored(r.filter(F.col("rank") <= F.col("limit")), "educational", 0.85)
 
 
@@ -153,7 +153,7 @@ def route_trending(spark: SparkSession, c: DataFrame, items: DataFrame) -> DataF
     """Literal match of the target (blank target: everything) under the
     request type; views then rating."""
     q = _as_queries(c, "target", F.col("content_type"))
-    r = SE.literal_search(spark, q, items, 100).join(q.select("query_id", "limit"), "query_id")
+    r = SE.literal_search(spark, q, items, None).join(q.select("query_id", "limit"), "query_id")
     return _scored(r.filter(F.col("rank") <= F.col("limit")), "trending", 0.9)
 
 
@@ -176,7 +176,7 @@ def route_recommend(spark: SparkSession, c: DataFrame, items: DataFrame, recs: D
 
 def route_general(spark: SparkSession, c: DataFrame, items: DataFrame) -> DataFrame:
     q = _as_queries(c, "q", F.col("content_type"))
-    r = SE.enhanced_search(spark, q, items, 100).join(q.select("query_id", "limit"), "query_id") \
+    r = SE.enhanced_search(spark, q, items, None).join(q.select("query_id", "limit"), "query_id") \
         .filter(F.col("rank") <= F.col("limit"))
     return r.select("query_id", F.lit("general").alias("intent"), F.col("enhanced_rank").alias("rank"),
                     "item_id", "search_score")

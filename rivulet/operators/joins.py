@@ -52,9 +52,9 @@ def remap_ids(inter: DataFrame, id_map: DataFrame) -> DataFrame:
 def bridge_join(left: DataFrame, links: DataFrame, right: DataFrame) -> DataFrame:
     """left.source_key -> links(source_id, target_id) -> right.item_id.
 
-    The target id must end in digits and have at least three ``_`` parts.
+    The target id must have at least three ``_`` parts, the last all digits.
     """
-    valid = links.filter(F.col("target_id").rlike(r"[0-9]$") &
+    valid = links.filter(F.element_at(F.split("target_id", "_"), -1).rlike(r"^[0-9]+$") &
                          (F.size(F.split("target_id", "_")) >= 3))
     j = left.join(valid, left.source_key == valid.source_id, "inner")
     r = right.select(F.col("item_id").alias("target_id"))
@@ -62,10 +62,12 @@ def bridge_join(left: DataFrame, links: DataFrame, right: DataFrame) -> DataFram
 
 
 def title_year_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Composite equi-join on normalised title and year."""
+    """Composite equi-join on normalised title and year; a title without a
+    year joins nothing."""
     lk = left.withColumn("_nt", norm_title("title")).withColumn("_yr", F.coalesce("year", title_year("title")))
     rk = right.withColumn("_nt", norm_title("title")).withColumn("_yr", F.coalesce("year", title_year("title")))
-    return lk.alias("l").join(rk.alias("r"), ["_nt", "_yr"], "inner")
+    known = (F.col("_yr").isNotNull()) & (F.col("_yr") != "")
+    return lk.filter(known).alias("l").join(rk.filter(known).alias("r"), ["_nt", "_yr"], "inner")
 
 
 def year_guard(l_year, r_year):

@@ -168,44 +168,98 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def _int_id(col):
-    """Integer id for ALS: the id itself when numeric, else a 31-bit hash."""
-    return F.coalesce(F.col(col).cast("int"), F.pmod(F.xxhash64(col), F.lit(2147483647)).cast("int"))
-
-
-def fit_factors(inter: DataFrame, rank: int = 64, seed: int = 42, max_iter: int = 10, reg: float = 0.1):
-    """Implicit-feedback latent factors of the confidence matrix (ALS with
-    rank min(64, min(users, items) - 1)); returns the model or None when
-    there are fewer than 2 users or items."""
+def dense_ids(values: DataFrame, col: str, name: str) -> DataFrame:
+    """(col, name): distinct values of ``col`` numbered from 0 without gaps.
+    Numbers are counted inside hash groups, which start where the counts of
+    the groups before them end; no group holds more than its share."""
+    groups = max(1, values.sparkSession.sparkContext.defaultParallelism * 4)
+    own = values.select(F.col(col)).where(F.col(col).isNotNull()).distinct().withColumn("_g", F.pmod(F.xxhash64(col), F.lit(groups)))
+    starts = own.groupBy("_g").agg(_n().alias("_c"))  # ``groups`` rows
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("_g", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    nth = F.row_number().over(Window.partitionBy("_g").orderBy(col)) - 1
+    return own.withColumn("_n", nth).join(starts, "_g").select(col, (F.col("_s") + F.col("_n")).cast("int").alias(name))
+
+
+class Factors:
+    """Latent vectors by user and item id: (user_id, features) and (item_id,
+    features), and what kind of factorisation made them."""
+
+    def __init__(self, users: DataFrame, items: DataFrame, rank: int, kind: str):
+        self.users, self.items, self.rank, self.kind = users, items, rank, kind
+
+
+def fit_factors(inter: DataFrame, rank: int = 64, seed: int = 42, max_iter: int = 10, reg: float = 0.1,
+                kind: str = "als") -> Factors | None:
+    """Latent factors of the confidence matrix, rank min(64, min(users,
+    items) - 1); None when there are fewer than 2 users or items.
+
+    ``svd``: the truncated singular value decomposition (user vectors u * s,
+    item vectors v), from the items' Gram matrix; needs items * items doubles
+    on the driver, so it is for catalogues of up to ``SVD_ITEMS`` items.
+    ``als``: implicit-feedback alternating least squares, for any size."""
     from .aggregates import confidence_matrix
     conf = confidence_matrix(inter)
-    dims = conf.agg(F.countDistinct("user_id").alias("u"), F.countDistinct("item_id").alias("i")).first()
-    if dims["u"] < 2 or dims["i"] < 2:
+    uid, iid = dense_ids(conf, "user_id", "u"), dense_ids(conf, "item_id", "i")
+    data = conf.join(uid, "user_id").join(iid, "item_id").select("u", "i", "confidence")
+    dims = data.agg(F.max("u").alias("u"), F.max("i").alias("i")).first()
+    if not dims["u"] or not dims["i"]:
         return None
-    k = min(rank, min(dims["u"], dims["i"]) - 1)
-    data = conf.select(_int_id("user_id").alias("u"), _int_id("item_id").alias("i"), "confidence")
+    k = min(rank, min(dims["u"], dims["i"]))
+    if kind == "svd":
+        return _svd(data, uid, iid, dims["i"] + 1, k)
     als = ALS(rank=k, maxIter=max_iter, regParam=reg, implicitPrefs=True, alpha=1.0, userCol="u", itemCol="i",
               ratingCol="confidence", seed=seed, coldStartStrategy="drop", nonnegative=False)
-    return als.fit(data)
+    model = als.fit(data)
+    vec = lambda df, ids, key, n: ids.join(df.withColumnRenamed("id", n), n).select(
+        key, F.col("features").cast("array<double>").alias("features"))
+    return Factors(vec(model.userFactors, uid, "user_id", "u"), vec(model.itemFactors, iid, "item_id", "i"), k, "als")
+
+
+#: Items whose Gram matrix the driver decomposes (a matrix of 128 MB).
+SVD_ITEMS = 4_000
+
 
+def _svd(data: DataFrame, uid: DataFrame, iid: DataFrame, n_items: int, k: int) -> Factors:
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    if n_items > SVD_ITEMS:
+        raise ValueError(f"{n_items} items: use kind='als' beyond {SVD_ITEMS}")
+    rows = data.groupBy("u").agg(F.collect_list(F.struct("i", "confidence")).alias("r")).rdd.map(
+        lambda r: IndexedRow(r["u"], Vectors.sparse(n_items, sorted((x["i"], float(x["confidence"])) for x in r["r"]))))
+    svd = IndexedRowMatrix(rows, numCols=n_items).computeSVD(k, computeU=True)
+    s = svd.s.toArray()
+    spark = data.sparkSession
+    users = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray() * s])).toDF("u int, features array<double>")
+    items = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(svd.V.toArray())], "i int, features array<double>")
+    return Factors(uid.join(users, "u").select("user_id", "features"), iid.join(items, "i").select("item_id", "features"), len(s), "svd")
 
-def factor_scores(pairs: DataFrame, model) -> DataFrame:
+
+def factor_scores(pairs: DataFrame, factors: Factors) -> DataFrame:
     """Dot product of user and item factors, min-max scaled per user over its
     candidates; unknown users or items give no row."""
-    uf = model.userFactors.select(F.col("id").alias("u"), F.col("features").alias("uf"))
-    itf = model.itemFactors.select(F.col("id").alias("i"), F.col("features").alias("itf"))
-    p = pairs.select("user_id", "item_id", _int_id("user_id").alias("u"), _int_id("item_id").alias("i"))
-    j = p.join(uf, "u").join(itf, "i")
-    dot = F.aggregate(F.zip_with("uf", "itf", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    p = pairs.select("user_id", "item_id").distinct()
+    j = (p.join(factors.users.withColumnRenamed("features", "uf"), "user_id")
+         .join(factors.items.withColumnRenamed("features", "itf"), "item_id"))
+    dot = F.aggregate(F.zip_with("uf", "itf", lambda a, b: a * b), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
     j = j.select("user_id", "item_id", dot.alias("raw"))
-    w = Window.partitionBy("user_id")
-    lo, hi = F.min("raw").over(w), F.max("raw").over(w)
-    return j.select("user_id", "item_id",
-                    F.when(hi > lo, (F.col("raw") - lo) / (hi - lo)).otherwise(F.lit(0.0)).alias("factor_score"))
+    # partial minima and maxima, then joined back: no window over a hot user
+    ends = j.groupBy("user_id").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
+    lo, hi = F.col("lo"), F.col("hi")
+    return j.join(ends, "user_id").select(
+        "user_id", "item_id", F.when(hi > lo, (F.col("raw") - lo) / (hi - lo)).otherwise(F.lit(0.0)).alias("factor_score"))
 
 
 # ------------------------------------------------------------ candidates
 
+def _seen(inter: DataFrame, exclude: DataFrame | None) -> DataFrame:
+    """Distinct (user_id, item_id) of the whole history and of ``exclude``."""
+    seen = inter.select("user_id", "item_id")
+    if exclude is not None:
+        seen = seen.unionByName(exclude.select("user_id", "item_id"))
+    return seen.distinct()
+
+
 def popular_list(items: DataFrame, k: int, content_type: str | None = None) -> DataFrame:
     from .ranking import popular_items
     return popular_items(items, k, content_type)
@@ -213,16 +267,17 @@ def popular_list(items: DataFrame, k: int, content_type: str | None = None) -> D
 
 def candidates(spark: SparkSession, users: DataFrame, inter: DataFrame, items: DataFrame,
                covis: DataFrame, similar: DataFrame | None, n: int = 500,
-               content_type: str | None = None, history: int = 500) -> DataFrame:
+               content_type: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """Per user: 20 strongest co-visited neighbours of each of the 10 newest
     items + the 100 most popular + 50 content-similar of each of the 3 newest
-    items, minus everything in the newest ``history`` interactions; first
-    ``n`` by id, topped up from the popular list."""
-    from .windows import recent_interactions
-    rec = recent_interactions(inter, items, history).select("user_id", "item_id", "rank")
-    seen = rec.select("user_id", "item_id")
+    items, minus everything the user has interacted with and what ``exclude``
+    (user_id, item_id) lists; first ``n`` by id, topped up from the popular
+    list."""
+    newest = [F.col("timestamp").desc()] + [F.col(c).asc() for c in ("seq_a", "seq_b", "seq_c", "seq_d") if c in inter.columns]
+    rec = rank_within(inter, ["user_id"], newest, 10).select("user_id", "item_id", "rank")
+    seen = _seen(inter, exclude)
     top_cov = rank_within(covis, ["item_a"], [F.col("weight").desc(), F.col("item_b").asc()], 20, "_r")
-    s1 = (rec.filter(F.col("rank") <= 10).select("user_id", F.col("item_id").alias("item_a"))
+    s1 = (rec.select("user_id", F.col("item_id").alias("item_a"))
           .join(top_cov, "item_a").select("user_id", F.col("item_b").alias("item_id")))
     pop = popular_list(items, 100, content_type)
     pop_ids = pop.select(F.collect_list("item_id")).scalar()
@@ -290,9 +345,9 @@ def dedup_top(scored: DataFrame, n: int, order) -> DataFrame:
 
 def recommend(spark: SparkSession, users: DataFrame, inter: DataFrame, items: DataFrame, prof,
               model: PipelineModel, factors_model, covis: DataFrame, similar: DataFrame | None,
-              as_of, n: int = 10, content_type: str | None = None) -> DataFrame:
+              as_of, n: int = 10, content_type: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """candidates -> rank -> type filter -> blend -> title dedup -> top n."""
-    cands = candidates(spark, users, inter, items, covis, similar, 500, content_type)
+    cands = candidates(spark, users, inter, items, covis, similar, 500, content_type, exclude)
     ranked = rank_candidates(cands, prof, items, model, as_of)
     if content_type:
         ranked = ranked.join(items.filter(F.col("content_type") == content_type).select("item_id"), "item_id")
@@ -303,15 +358,16 @@ def recommend(spark: SparkSession, users: DataFrame, inter: DataFrame, items: Da
 
 
 def recommend_control(spark: SparkSession, users: DataFrame, inter: DataFrame, items: DataFrame,
-                      n: int = 10, content_type: str | None = None, history: int = 500) -> DataFrame:
-    """Popularity arm: the 3n most popular items minus the user's history,
-    first item per normalised title, top n.  The popular list (3n rows) is
-    attached to each user as an array from a scalar subquery."""
-    from .windows import recent_interactions
+                      n: int = 10, content_type: str | None = None, exclude: DataFrame | None = None,
+                      exclude_seen: bool = True) -> DataFrame:
+    """Popularity arm: the 3n most popular items minus ``exclude`` and, unless
+    ``exclude_seen`` is off, the user's whole history; first item per
+    normalised title, top n.  The popular list (3n rows) is attached to each
+    user as an array from a scalar subquery."""
     pop = popular_list(items, 3 * n, content_type).select(
         "rank", "item_id", "title", norm_title("title").alias("nt"))
     plist = pop.select(F.sort_array(F.collect_list(F.struct("rank", "item_id", "title", "nt")))).scalar()
-    seen = (recent_interactions(inter, items, history).select("user_id", "item_id")
+    seen = (_seen(inter if exclude_seen else inter.limit(0), exclude)
             .join(pop.select("item_id"), "item_id", "left_semi")
             .groupBy("user_id").agg(F.collect_set("item_id").alias("seen")))
     u = users.select("user_id").join(seen, "user_id", "left").withColumn(

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_title
 from ..session import checkpoint_dir
+from .components import components
 from .topk import rank_within
 
 
@@ -221,40 +222,89 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
 
 # ------------------------------------------------------------ greedy dedup
 
-def greedy_keep(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+#: Links of a component that one task walks through; larger components are
+#: decided by rounds of joins.
+WALK_LINKS = 200_000
+
+
+def greedy_keep(spark: SparkSession, nodes: DataFrame, edges: DataFrame, walk_links: int = WALK_LINKS) -> DataFrame:
     """Lexicographically-first maximal independent set in ``ord`` order.
 
     nodes(id, ord, pre_kept bool), edges(l_id, r_id) undirected.  A node is
-    kept when no earlier neighbour is kept or undecided; neighbours of kept
-    nodes are dropped; pre-kept nodes are kept whatever their neighbours.
-    Each round is a pair of joins; lineage is cut with a reliable
-    checkpoint in the shared checkpoint folder."""
+    kept when no earlier neighbour is kept; pre-kept nodes are kept whatever
+    their neighbours.  Components of bounded size are walked in order, one
+    task each, as a chain of n titles needs n steps; in larger ones every
+    round of joins decides at least the first open node of each component,
+    until none is open."""
     checkpoint_dir(spark)
-    edges = _cut(edges.select("l_id", "r_id"))  # computed once, used twice below
     o = nodes.select("id", "ord")
-    e = (edges.select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
-         .unionByName(edges.select(F.col("r_id").alias("u"), F.col("l_id").alias("v")))
-         .join(o.select(F.col("id").alias("u"), F.col("ord").alias("ou")), "u")
-         .join(o.select(F.col("id").alias("v"), F.col("ord").alias("ov")), "v")
-         .filter(F.col("ou") < F.col("ov")).select("u", "v").distinct())
-    e = _cut(e)
-    state = nodes.select("id", "ord", F.when(F.col("pre_kept"), "kept").otherwise("undecided").alias("st"))
+    edges = _cut(edges.select("l_id", "r_id").where("l_id <> r_id"))
+    e = _cut(edges.select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
+             .unionByName(edges.select(F.col("r_id").alias("u"), F.col("l_id").alias("v")))
+             .join(o.select(F.col("id").alias("u"), F.col("ord").alias("ou")), "u")
+             .join(o.select(F.col("id").alias("v"), F.col("ord").alias("ov")), "v")
+             .filter(F.col("ou") < F.col("ov")).select("u", "v").distinct())
+    roots = components(e.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    owner = e.join(roots.withColumnRenamed("root", "_root"), "u", "left").withColumn("root", F.coalesce("_root", "u")).drop("_root")
+    sizes = owner.groupBy("root").agg(F.count(F.lit(1)).alias("links"))
+    small = sizes.filter(F.col("links") <= walk_links).select("root")
+    walked = _walk(owner.join(small, "root", "left_semi"), nodes)
+    state = nodes.select("id", "ord", "pre_kept").join(walked, "id", "left")
+    state = state.select("id", "ord", F.when(F.col("pre_kept"), "kept")
+                         .when(F.col("walked").isNotNull(), F.when(F.col("walked"), "kept").otherwise("dropped"))
+                         .otherwise("undecided").alias("st"))
+    state = _cut(state)
+    large = _cut(owner.join(small, "root", "left_anti").select("u", "v"))
+    if not large.limit(1).count():  # what is left has no neighbours
+        return state.select("id", "ord", (F.col("st") != "dropped").alias("kept"))
     # neighbours of pre-kept nodes are dropped (unless pre-kept themselves)
-    state = _cut(_drop_neighbours(state, e, "kept"))
-    for _ in range(max_rounds):
-        if state.filter(F.col("st") == "undecided").limit(1).count() == 0:
-            break
+    state = _cut(_drop_neighbours(state, large, "kept"))
+    while state.filter(F.col("st") == "undecided").limit(1).count():
         blockers = state.filter(F.col("st").isin("kept", "undecided")).select(F.col("id").alias("u"))
-        blocked = (e.join(blockers, "u").select(F.col("v").alias("id")).distinct()
+        blocked = (large.join(blockers, "u").select(F.col("v").alias("id")).distinct()
                    .withColumn("blocked", F.lit(True)))
         state = (state.join(blocked, "id", "left")
                  .withColumn("st", F.when((F.col("st") == "undecided") & F.col("blocked").isNull(), "new")
                              .otherwise(F.col("st"))).drop("blocked"))
-        state = _drop_neighbours(state, e, "new")
+        state = _drop_neighbours(state, large, "new")
         state = _cut(state.withColumn("st", F.when(F.col("st") == "new", "kept").otherwise(F.col("st"))))
     return state.select("id", "ord", (F.col("st") == "kept").alias("kept"))
 
 
+def _walk(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, walked) for the nodes of ``links`` (root, u, v; u before v):
+    whether each is kept when its component is walked in order."""
+    n = nodes.select(F.col("id").alias("u"), F.col("ord").alias("ou"), F.col("pre_kept").alias("pu"))
+    rows = links.join(n, "u").join(n.select(F.col("u").alias("v"), F.col("ou").alias("ov"), F.col("pu").alias("pv")), "v")
+    # ord may be a struct: number it inside the component
+    ends = (rows.select("root", F.col("u").alias("id"), F.col("ou").alias("ord"), F.col("pu").alias("pre"))
+            .unionByName(rows.select("root", F.col("v").alias("id"), F.col("ov").alias("ord"), F.col("pv").alias("pre"))).distinct())
+    ends = ends.withColumn("pos", F.row_number().over(Window.partitionBy("root").orderBy("ord")))
+    both = (ends.select("root", "id", "pos", "pre", F.lit(None).cast(nodes.schema["id"].dataType).alias("after"))
+            .unionByName(links.select("root", F.col("u").alias("id"), F.lit(None).cast("int").alias("pos"),
+                                      F.lit(None).cast("boolean").alias("pre"), F.col("v").alias("after"))))
+    kind = nodes.schema["id"].dataType.simpleString()
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["pos"].notna()].sort_values("pos")
+        near: dict = {}
+        for u, v in zip(pdf.loc[pdf["pos"].isna(), "id"], pdf.loc[pdf["pos"].isna(), "after"]):
+            near.setdefault(u, []).append(v)
+            near.setdefault(v, []).append(u)
+        dropped, kept = set(), []
+        pre = set(own.loc[own["pre"].astype(bool), "id"])
+        for u in pre:
+            dropped.update(near.get(u, ()))
+        dropped -= pre
+        for u in own["id"]:
+            kept.append(u in pre or u not in dropped)
+            if kept[-1]:
+                dropped.update(v for v in near.get(u, ()) if v not in pre)
+        return pd.DataFrame({"id": own["id"], "walked": kept})
+
+    return both.select("root", F.col("id").cast(kind), "pos", "pre", F.col("after").cast(kind)).groupBy("root").applyInPandas(walk, f"id {kind}, walked boolean")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (shared folder) of a persisted frame: computed
     once, lineage cut, memory released."""

@@ -26,19 +26,23 @@ CARD = ["item_id", "title", "content_type", "category", "description",
 
 
 def validate_requests(q: DataFrame) -> DataFrame:
-    """Trim and clamp request parameters; flag unknown content types."""
+    """Trim, cut and clamp request parameters; flag unknown content types
+    (``valid`` false: the rows to reject).  Request texts are cut here and
+    nowhere else."""
     lim = F.col("limit")
     return q.select(
         "query_id",
         F.substring(F.trim("text"), 1, 512).alias("text"),
+        F.substring(F.trim("text"), 1, 128).alias("suggest_text"),
         F.least(F.greatest(lim, F.lit(1)), F.lit(100)).alias("n"),
         F.least(lim, F.lit(100)).alias("search_limit"),
+        F.least(F.greatest(lim, F.lit(1)), F.lit(200)).alias("popular_limit"),
         F.least(F.greatest(lim, F.lit(1)), F.lit(10)).alias("suggest_limit"),
         (F.col("content_type").isNull() | F.col("content_type").isin(*K.CONTENT_TYPES)).alias("valid"))
 
 
 def query_text(col="text") -> F.Column:
-    return F.lower(strip_ws(F.substring(F.col(col), 1, 512)))
+    return F.lower(strip_ws(F.col(col)))
 
 
 # ------------------------------------------------------------ literal match
@@ -123,11 +127,12 @@ def text_search(spark: SparkSession, queries: DataFrame, items: DataFrame, k: in
     idx = index if index is not None else inverted_index(spark, items)
     scores = (query_terms(spark, queries).join(idx, "term")
               .groupBy("query_id", "item_id").agg(F.sum("tf").cast("double").alias("score")))
-    j = (scores.join(items.select(*CARD, "tags"), "item_id")
+    j = (scores.join(items.select("item_id", "content_type"), "item_id")
          .join(queries.select("query_id", F.col("content_type").alias("want_type")), "query_id")
          .filter(F.col("want_type").isNull() | (F.col("content_type") == F.col("want_type")))
-         .drop("want_type"))
-    return rank_within(j, ["query_id"], [F.col("score").desc(), F.col("item_id").asc()], k)
+         .drop("want_type", "content_type"))
+    top = rank_within(j, ["query_id"], [F.col("score").desc(), F.col("item_id").asc()], k)
+    return top.join(items.select(*CARD, "tags"), "item_id")  # only the winners carry text
 
 
 def enhanced_search(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
@@ -152,7 +157,7 @@ def suggest(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int =
     """Autocomplete: text hits first; queries without any hit fall back to
     a case-insensitive title prefix.  The prefix join is an equi-join on the
     first ``min(len, prefix_len)`` characters, then ``startswith``."""
-    q = queries.select("query_id", F.substring(strip_ws(F.col("text")), 1, 128).alias("text"),
+    q = queries.select("query_id", strip_ws(F.col("text")).alias("text"),
                        "content_type").filter(F.col("text") != "")
     kk = F.least(F.greatest(F.lit(k), F.lit(1)), F.lit(10))
     hits = text_search(spark, q, items, 10).filter(F.col("rank") <= kk).select(

@@ -35,11 +35,3 @@ def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
 
 def first_per_key(df: DataFrame, by: list, order: list) -> DataFrame:
     return rank_within(df, by, order, 1, "_rn").drop("_rn")
-
-
-def desc(c: str) -> Column:
-    return F.col(c).desc()
-
-
-def asc(c: str) -> Column:
-    return F.col(c).asc()

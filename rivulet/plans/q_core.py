@@ -55,9 +55,11 @@ def popular_categories(spark, sf):
 
 # --------------------------------------------------------------- 2.3 scalars
 
+from ..functions import constants as K  # noqa: E402
 from ..functions import scalars as S  # noqa: E402
 from ..operators import sets as SETS  # noqa: E402
 from ..operators import windows as W  # noqa: E402
+from ..sources.landed import TMDB_MOVIE_GENRE, YOUTUBE_CATEGORIES  # noqa: E402
 
 SEQ_SQL = "timestamp, seq_a, seq_b, seq_c, seq_d"
 
@@ -153,29 +155,50 @@ def sha_mod_q(spark, sf):
                     S.sha_mod("user_id", 7).alias("m7"), S.sha_mod("user_id", 1000003).alias("mbig"))
 
 
-@register("genre_category", "2.3", B.with_ctes("users") + f"""
-SELECT user_id, age_group, device,
-       CASE WHEN age_group IN ('55-64', '65+') THEN '55+' ELSE age_group END AS age_bucket_fixed,
-       CASE WHEN device = 'smart_tv' THEN 'tv' ELSE device END AS device_bucket_fixed
-FROM users""")
-def genre_category_q(spark, sf):
-    """Code tables with a default, applied as map literals."""
-    u = B.users(spark, sf)
-    ages = {"55-64": "55+", "65+": "55+"}
-    return u.select("user_id", "age_group", "device",
-                    F.coalesce(S.code_lookup("age_group", ages, None), F.col("age_group")).alias("age_bucket_fixed"),
-                    F.coalesce(S.code_lookup("device", {"smart_tv": "tv"}, None), F.col("device"))
-                    .alias("device_bucket_fixed"))
+def _case(expr: str, table: dict, default: str) -> str:
+    def lit(x):
+        return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"CASE {expr} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in table.items()) + f" ELSE {lit(default)} END"
 
 
-@register("validate_requests", "2.3", B.with_ctes("part_queries") + """
-SELECT query_id, substr(trim(text), 1, 512) AS text, least(greatest("limit", 1), 100) AS n,
-       least("limit", 100) AS search_limit, least(greatest("limit", 1), 10) AS suggest_limit,
+@register("genre_category", "2.3", f"""
+SELECT p_partkey AS item, {_case("list_extract(['Action','Comedy','Sci-Fi','Nothing'], p_partkey % 4 + 1)", K.GENRE_CATEGORY, 'Entertainment')} AS category,
+       {_case("CAST(p_size AS VARCHAR)", K.AGE_GROUP, '25-34')} AS age_group,
+       {_case("p_partkey % 60", TMDB_MOVIE_GENRE, 'Entertainment')} AS tmdb_genre,
+       {_case("CAST(p_size AS VARCHAR)", YOUTUBE_CATEGORIES, 'Entertainment')} AS youtube_category
+FROM part""")
+def genre_category_q(spark, sf):
+    """The code tables with their defaults: genres, age codes, movie genre
+    numbers and video category numbers, by codes made of the parts' keys."""
+    from ..sources.tables import raw
+    p = raw(spark, sf, "part")
+    genre = F.element_at(F.array(*[F.lit(x) for x in ("Action", "Comedy", "Sci-Fi", "Nothing")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    size = F.col("p_size").cast("string")
+    return p.select(F.col("p_partkey").alias("item"), S.code_lookup(genre, K.GENRE_CATEGORY, "Entertainment").alias("category"),
+                    S.code_lookup(size, K.AGE_GROUP, "25-34").alias("age_group"),
+                    S.code_lookup((F.col("p_partkey") % 60).cast("int"), TMDB_MOVIE_GENRE, "Entertainment").alias("tmdb_genre"),
+                    S.code_lookup(size, YOUTUBE_CATEGORIES, "Entertainment").alias("youtube_category"))
+
+
+@register("validate_requests", "2.3", """
+WITH q AS (SELECT conv_id * 1000 + turn AS query_id, text,
+                  CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN 'movie' WHEN 2 THEN 'film' ELSE 'game' END AS content_type,
+                  ([0, 7, 150, 250, -3])[conv_id % 5 + 1] AS "limit" FROM conversations)
+SELECT query_id, substr(trim(text), 1, 512) AS text, substr(trim(text), 1, 128) AS suggest_text,
+       least(greatest("limit", 1), 100) AS n, least("limit", 100) AS search_limit, least(greatest("limit", 1), 200) AS popular_limit,
+       least(greatest("limit", 1), 10) AS suggest_limit,
        content_type IS NULL OR content_type IN ('video','movie','article','product','music','podcast','course','game') AS valid
-FROM part_queries""")
+FROM q""")
 def validate_requests_q(spark, sf):
+    """Every turn as a request, with limits and types in and out of range."""
     from ..operators.search import validate_requests
-    return validate_requests(B.part_queries(spark, sf))
+    from ..sources.tables import raw
+    c = raw(spark, sf, "conversations")
+    kind = F.array(F.lit(None).cast("string"), F.lit("movie"), F.lit("film"), F.lit("game"))
+    q = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text",
+                 F.element_at(kind, (F.col("turn") % 4 + 1).cast("int")).alias("content_type"),
+                 F.element_at(F.array(*[F.lit(x) for x in (0, 7, 150, 250, -3)]), (F.col("conv_id") % 5 + 1).cast("int")).alias("limit"))
+    return validate_requests(q)
 
 
 # ------------------------------------------------------------------ 2.4 joins
@@ -336,7 +359,7 @@ def confidence_matrix_q(spark, sf):
     return c.withColumn("confidence", F.round("confidence", 6))
 
 
-@register("covisitation_edges", "2.5", B.with_ctes("interactions") + f"""
+COVIS_BODY = f"""
 , ev AS (SELECT *, lag(timestamp) OVER (PARTITION BY user_id ORDER BY {SEQ_SQL}) AS prev
          FROM interactions WHERE interaction_type IN ('view', 'click', 'like'))
 , b AS (SELECT *, CASE WHEN prev IS NULL OR epoch_us(timestamp) - epoch_us(prev) > 3600000000
@@ -345,8 +368,12 @@ def confidence_matrix_q(spark, sf):
 , p AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY {SEQ_SQL}) - 1 AS pos FROM s)
 , pairs AS (SELECT a.item_id AS item_a, b.item_id AS item_b FROM p a JOIN p b
             ON a.user_id = b.user_id AND a.session_id = b.session_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 5)
-SELECT item_a, item_b, count(*) AS weight
-FROM (SELECT item_a, item_b FROM pairs UNION ALL SELECT item_b, item_a FROM pairs) GROUP BY item_a, item_b""")
+, covis AS (SELECT item_a, item_b, count(*) AS weight
+            FROM (SELECT item_a, item_b FROM pairs UNION ALL SELECT item_b, item_a FROM pairs) GROUP BY item_a, item_b)
+"""
+
+
+@register("covisitation_edges", "2.5", B.with_ctes("interactions") + COVIS_BODY + "SELECT * FROM covis")
 def covisitation_edges_q(spark, sf):
     return W.covisitation_edges(B.interactions(spark, sf))
 
@@ -540,14 +567,16 @@ def candidate_except_q(spark, sf):
 @register("upsert", "2.2", B.with_ctes("items", "event_interactions") + """
 , upd AS (SELECT e.item_id, max(e.timestamp) AS ts, count(*) AS n FROM event_interactions e GROUP BY e.item_id)
 SELECT it.item_id, CASE WHEN u.item_id IS NOT NULL THEN it.view_count + u.n ELSE it.view_count END AS view_count
-FROM items it LEFT JOIN upd u ON it.item_id = u.item_id""".replace("\n, upd AS", ", upd AS", 1))
+FROM items it LEFT JOIN upd u ON it.item_id = u.item_id
+UNION ALL SELECT 'event_' || u.item_id, u.n FROM upd u""".replace("\n, upd AS", ", upd AS", 1))
 def upsert_q(spark, sf):
     it = B.items(spark, sf).select("item_id", "view_count", F.lit(None).cast("timestamp_ntz").alias("ts"))
     e = B.event_interactions(spark, sf)
     upd = (e.groupBy("item_id").agg(F.max("timestamp").alias("ts"), F.count(F.lit(1)).alias("n"))
-           .join(it.select("item_id", F.col("view_count").alias("v0")), "item_id")
-           .select("item_id", (F.col("v0") + F.col("n")).alias("view_count"), "ts"))
-    return SETS.upsert(it, upd, "item_id", "ts").select("item_id", F.col("view_count").cast("long"))
+           .join(it.select("item_id", F.col("view_count").alias("v0")), "item_id", "left"))
+    known = upd.where("v0 is not null").select("item_id", (F.col("v0") + F.col("n")).alias("view_count"), "ts")
+    new = upd.select(F.concat(F.lit("event_"), "item_id").alias("item_id"), F.col("n").alias("view_count"), "ts")
+    return SETS.upsert(it, known.unionByName(new), "item_id", "ts").select("item_id", F.col("view_count").cast("long"))
 
 
 @register("append_interactions", "2.2", B.with_ctes("event_interactions") + """
@@ -568,18 +597,32 @@ def append_interactions_q(spark, sf):
 @register("insert_if_absent", "2.2", B.with_ctes("experiment_events") + """
 , first AS (SELECT user_id, experiment_id, bucket FROM experiment_events
             QUALIFY row_number() OVER (PARTITION BY user_id, experiment_id ORDER BY timestamp, event_id) = 1)
-SELECT user_id, experiment_id, bucket FROM first""".replace("\n, first AS", ", first AS", 1))
+, stored AS (SELECT user_id, experiment_id, 'earlier' AS bucket FROM first WHERE CAST(user_id AS BIGINT) % 2 = 0
+             UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'exp_before', 'control' FROM customer)
+SELECT user_id, experiment_id, bucket FROM stored
+UNION ALL SELECT user_id, experiment_id, bucket FROM first WHERE CAST(user_id AS BIGINT) % 2 <> 0""".replace("\n, first AS", ", first AS", 1))
 def insert_if_absent_q(spark, sf):
+    """Half of the users were assigned earlier, to another bucket, which
+    stays; so do assignments to an earlier experiment."""
     from ..operators.topk import first_per_key
+    from ..sources.tables import raw
     ev = B.experiment_events(spark, sf)
-    first = first_per_key(ev, ["user_id", "experiment_id"], ["timestamp", "event_id"])
-    empty = first.select("user_id", "experiment_id", "bucket").limit(0)
-    return SETS.insert_if_absent(empty, first.select("user_id", "experiment_id", "bucket"))
-
-
-@register("rebuild_counters", "2.2", B.with_ctes("users", "interactions") + """
-SELECT u.user_id, CAST(coalesce(c.n, 0) AS BIGINT) AS total_interactions
-FROM users u LEFT JOIN (SELECT user_id, count(*) AS n FROM interactions GROUP BY user_id) c ON u.user_id = c.user_id""")
+    first = first_per_key(ev, ["user_id", "experiment_id"], ["timestamp", "event_id"]).select("user_id", "experiment_id", "bucket")
+    stored = (first.where(F.col("user_id").cast("long") % 2 == 0).withColumn("bucket", F.lit("earlier"))
+              .unionByName(raw(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"),
+                                                             F.lit("exp_before").alias("experiment_id"), F.lit("control").alias("bucket"))))
+    return SETS.insert_if_absent(stored, first)
+
+
+@register("rebuild_counters", "2.2", B.with_ctes("users", "items", "interactions") + """
+SELECT 'user' AS kind, u.user_id AS id, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM users u LEFT JOIN (SELECT user_id, count(*) AS n FROM interactions GROUP BY user_id) c ON u.user_id = c.user_id
+UNION ALL
+SELECT 'item', it.item_id, CAST(coalesce(v.n, 0) AS BIGINT)
+FROM items it LEFT JOIN (SELECT item_id, count(*) AS n FROM interactions WHERE interaction_type = 'view'
+                         GROUP BY item_id) v ON it.item_id = v.item_id""")
 def rebuild_counters_q(spark, sf):
-    u, _ = SETS.rebuild_counters(B.users(spark, sf), B.items(spark, sf), B.interactions(spark, sf))
-    return u.select("user_id", "total_interactions")
+    """Both halves: interactions per user and views per item."""
+    u, i = SETS.rebuild_counters(B.users(spark, sf), B.items(spark, sf), B.interactions(spark, sf))
+    return (u.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.col("total_interactions").alias("n"))
+            .unionByName(i.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.col("view_count").alias("n"))))

@@ -69,12 +69,15 @@ def assign_buckets_q(spark, sf):
 
 
 @register("sticky_buckets", "2.13", B.with_ctes("users", "experiment_events") + f"""
-, st AS (SELECT DISTINCT user_id, bucket FROM experiment_events)
+, st AS (SELECT DISTINCT user_id, CASE bucket WHEN 'control' THEN 'treatment' ELSE 'control' END AS bucket
+         FROM experiment_events WHERE CAST(user_id AS BIGINT) % 3 = 0)
 SELECT u.user_id, '{EXP}' AS experiment_id, coalesce(st.bucket, {B.bucket_sql('u.user_id')}) AS bucket,
        st.bucket IS NOT NULL AS was_stored
 FROM users u LEFT JOIN st ON u.user_id = st.user_id""".replace("\n, st AS", ", st AS", 1))
 def sticky_buckets_q(spark, sf):
-    stored = B.experiment_events(spark, sf).select("user_id", "experiment_id", "bucket").distinct()
+    # a third of the users were stored in the other bucket, which must win
+    stored = (B.experiment_events(spark, sf).where(F.col("user_id").cast("long") % 3 == 0)
+              .select("user_id", "experiment_id", F.when(F.col("bucket") == "control", "treatment").otherwise("control").alias("bucket")).distinct())
     return X.sticky_buckets(B.users(spark, sf), stored, EXP)
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_title_sql
 from ..operators import recommend as RC
+from ..operators import text as TX
 from ..operators.joins import similar_items
 from ..operators.windows import covisitation_edges, recent_interactions
 from ..sources import binding as B
+from .q_core import COVIS_BODY
+from .q_text import ITEM_TEXT_CAT, tfidf_sql
 from .registry import register
 
 PROFILE_CTES = [("prof", """
@@ -100,8 +103,7 @@ def features_q(spark, sf):
 , pop AS (SELECT item_id, title, {norm_title_sql('title')} AS nt,
                  row_number() OVER (ORDER BY view_count DESC, rating DESC, item_id) AS prank
           FROM items QUALIFY prank <= 30)
-, seen AS (SELECT user_id, item_id FROM interactions
-           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, seq_a, seq_b, seq_c, seq_d) <= 500)
+, seen AS (SELECT DISTINCT user_id, item_id FROM interactions)
 , c AS (SELECT u.user_id, p.* FROM users u CROSS JOIN pop p
         WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id))
 , d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, nt ORDER BY prank) = 1)
@@ -159,9 +161,14 @@ def profile_page_q(spark, sf):
 _MODELS: dict = {}
 
 
+def similar_for(spark, items):
+    """The 50 most similar items of each by text, for the third strategy."""
+    return TX.content_similar(spark, items, 50)
+
+
 def trained(spark, sf):
-    """Ranker and factor model for a test folder (trained once per process)."""
-    key = sf
+    """Ranker and factor model for a test folder (trained once per session)."""
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         inter = B.interactions(spark, sf)
         users, items = B.users(spark, sf), B.items(spark, sf)
@@ -180,11 +187,32 @@ def training_set_q(spark, sf):
                            B.as_of(inter), 42)
 
 
-@register("candidates", "2.11")
+@register("candidates", "2.11", B.with_ctes("interactions", "items", "users", extra=tfidf_sql("items", "item_id", ITEM_TEXT_CAT, "d") + [("sim", """
+  SELECT item_id, sim_id FROM (
+    SELECT a.id AS item_id, b.id AS sim_id, round(sum(a.weight * b.weight), 9) AS similarity
+    FROM d_vec a JOIN d_vec b ON a.term = b.term AND a.id <> b.id GROUP BY a.id, b.id)
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, sim_id) <= 50""")]) + COVIS_BODY + """
+, cov AS (SELECT item_a, item_b FROM covis QUALIFY row_number() OVER (PARTITION BY item_a ORDER BY weight DESC, item_b) <= 20)
+, seen AS (SELECT DISTINCT user_id, item_id FROM interactions)
+, newest AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, seq_a, seq_b, seq_c, seq_d) AS rank
+             FROM interactions QUALIFY rank <= 10)
+, pop AS (SELECT item_id, row_number() OVER (ORDER BY view_count DESC, rating DESC, item_id) AS rank FROM items QUALIFY rank <= 500)
+, pool AS (SELECT n.user_id, cov.item_b AS item_id FROM newest n JOIN cov ON cov.item_a = n.item_id
+           UNION SELECT u.user_id, pop.item_id FROM users u CROSS JOIN pop WHERE pop.rank <= 100
+           UNION SELECT n.user_id, sim.sim_id FROM newest n JOIN sim ON sim.item_id = n.item_id WHERE n.rank <= 3)
+, cand AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS cand_rank
+           FROM pool ANTI JOIN seen USING (user_id, item_id) QUALIFY cand_rank <= 500)
+, have AS (SELECT u.user_id, count(c.item_id) AS have FROM users u LEFT JOIN cand c ON c.user_id = u.user_id GROUP BY u.user_id)
+, fill AS (SELECT h.user_id, pop.item_id, h.have + row_number() OVER (PARTITION BY h.user_id ORDER BY pop.rank) AS cand_rank
+           FROM have h JOIN pop ON pop.rank <= 500 - h.have
+           WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = h.user_id AND s.item_id = pop.item_id)
+             AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.user_id = h.user_id AND c.item_id = pop.item_id))
+SELECT user_id, item_id, CAST(cand_rank AS BIGINT) AS cand_rank FROM cand
+UNION ALL SELECT user_id, item_id, CAST(cand_rank AS BIGINT) FROM fill""")
 def candidates_q(spark, sf):
     inter = B.interactions(spark, sf)
     items = B.items(spark, sf)
-    return RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), None, 500)
+    return RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), similar_for(spark, items), 500)
 
 
 @register("rank_candidates", "2.11")
@@ -192,21 +220,30 @@ def rank_candidates_q(spark, sf):
     model, _ = trained(spark, sf)
     inter = B.interactions(spark, sf)
     items = B.items(spark, sf)
-    cands = RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), None, 50)
+    cands = RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), similar_for(spark, items), 500)
     return RC.rank_candidates(cands, _profiles(spark, sf), items, model, B.as_of(inter))
 
 
 @register("fit_factors", "2.11")
 def fit_factors_q(spark, sf):
     _, factors = trained(spark, sf)
-    return factors.itemFactors.select(F.col("id").alias("item"), F.size("features").alias("rank"))
+    return factors.items.select(F.col("item_id").alias("item"), F.size("features").alias("rank"))
 
 
-@register("factor_scores", "2.11")
+@register("factor_scores", "2.11", B.with_ctes("event_interactions") + """
+, p AS (SELECT DISTINCT user_id, item_id FROM event_interactions)
+, e AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+, raw AS (SELECT p.user_id, p.item_id, list_dot_product(a.v, b.v) AS raw FROM p JOIN e a ON a.id = p.user_id JOIN e b ON b.id = p.item_id)
+, ends AS (SELECT user_id, min(raw) AS lo, max(raw) AS hi FROM raw GROUP BY user_id)
+SELECT user_id, item_id, round(CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 0.0 END, 6) AS factor_score
+FROM raw JOIN ends USING (user_id)""".replace("\n, p AS", ", p AS", 1))
 def factor_scores_q(spark, sf):
-    _, factors = trained(spark, sf)
-    pairs = B.event_interactions(spark, sf).select("user_id", "item_id").distinct()
-    return RC.factor_scores(pairs, factors)
+    """Scores by given vectors: the embeddings, as vectors of users and items."""
+    from ..sources.tables import raw
+    e = raw(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+    given = RC.Factors(e.withColumnRenamed("id", "user_id"), e.withColumnRenamed("id", "item_id"), 64, "given")
+    out = RC.factor_scores(B.event_interactions(spark, sf).select("user_id", "item_id"), given)
+    return out.select("user_id", "item_id", F.round("factor_score", 6).alias("factor_score"))
 
 
 def _recommend(spark, sf, n=10):
@@ -214,7 +251,7 @@ def _recommend(spark, sf, n=10):
     inter = B.interactions(spark, sf)
     users, items = B.users(spark, sf), B.items(spark, sf)
     return RC.recommend(spark, users, inter, items, _profiles(spark, sf), model, factors,
-                        covisitation_edges(inter), None, B.as_of(inter), n)
+                        covisitation_edges(inter), similar_for(spark, items), B.as_of(inter), n)
 
 
 @register("recommend", "2.11")
@@ -222,9 +259,22 @@ def recommend_q(spark, sf):
     return _recommend(spark, sf).select("user_id", "item_id", "rec_rank", "score", "algorithm")
 
 
-@register("blend_scores", "2.11")
+@register("blend_scores", "2.11", B.with_ctes("event_interactions", "items") + """
+, p AS (SELECT DISTINCT e.user_id, e.item_id, CAST(e.user_id AS BIGINT) AS u, CAST(e.item_id AS BIGINT) AS i FROM event_interactions e)
+, r AS (SELECT p.user_id, p.item_id, ((u * 7 + i * 13) % 100) / 100.0 AS ml,
+               CASE WHEN (u + i) % 4 <> 0 THEN ((u * 3 + i * 5) % 50) / 50.0 END AS fs, it.view_count,
+               max(it.view_count) OVER (PARTITION BY p.user_id) AS top
+        FROM p JOIN items it ON it.item_id = p.item_id)
+SELECT user_id, item_id, round(0.5 * ml + 0.35 * coalesce(fs, 0.0) + 0.15 * view_count / greatest(top, 1), 6) AS score
+FROM r""".replace("\n, p AS", ", p AS", 1))
 def blend_scores_q(spark, sf):
-    return _recommend(spark, sf, 500).select("user_id", "item_id", "ml_score", "factor_score", "score")
+    """The blend of given model and factor scores (a quarter lack the latter)."""
+    u, i = F.col("user_id").cast("long"), F.col("item_id").cast("long")
+    p = B.event_interactions(spark, sf).select("user_id", "item_id").distinct()
+    ranked = p.withColumn("ml_score", (u * 7 + i * 13) % 100 / F.lit(100.0))
+    factors = p.where((u + i) % 4 != 0).withColumn("factor_score", (u * 3 + i * 5) % 50 / F.lit(50.0))
+    out = RC.blend_scores(ranked, B.items(spark, sf), factors)
+    return out.select("user_id", "item_id", F.round("score", 6).alias("score"))
 
 
 @register("recommend_by_arm", "2.11")
@@ -244,13 +294,18 @@ def retrain_q(spark, sf):
     return RC.feature_importances(spark, out["model"])
 
 
-@register("popularity_ranking", "2.7", B.with_ctes("items", "event_interactions") + f"""
-, c AS (SELECT DISTINCT user_id, item_id FROM event_interactions)
-SELECT c.user_id, c.item_id, CAST(0.0 AS DOUBLE) AS score,
-       CAST(row_number() OVER (PARTITION BY c.user_id ORDER BY it.view_count DESC, it.rating DESC, it.item_id)
-            AS BIGINT) AS rank
-FROM c JOIN items it ON c.item_id = it.item_id QUALIFY rank <= 50""".replace("\n, c AS", ", c AS", 1))
+@register("popularity_ranking", "2.7", B.with_ctes("items", "users", "event_interactions") + """
+, c AS (SELECT DISTINCT e.user_id, e.item_id FROM event_interactions e JOIN items it ON e.item_id = it.item_id)
+, own AS (SELECT c.user_id, c.item_id, row_number() OVER (PARTITION BY c.user_id
+                 ORDER BY it.view_count DESC, it.rating DESC, it.item_id) AS rank
+          FROM c JOIN items it ON c.item_id = it.item_id)
+, top AS (SELECT item_id, row_number() OVER (ORDER BY view_count DESC, rating DESC, item_id) AS rank
+          FROM items QUALIFY rank <= 50)
+SELECT user_id, item_id, CAST(0.0 AS DOUBLE) AS score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT * FROM own UNION ALL
+  SELECT u.user_id, top.item_id, top.rank FROM users u CROSS JOIN top
+  WHERE u.user_id NOT IN (SELECT user_id FROM c))""".replace("\n, c AS", ", c AS", 1))
 def popularity_ranking_q(spark, sf):
     from ..operators.ranking import popularity_ranking
     c = B.event_interactions(spark, sf).select("user_id", "item_id").distinct()
-    return popularity_ranking(B.items(spark, sf), c, 50).select("user_id", "item_id", "score", "rank")
+    return popularity_ranking(B.items(spark, sf), c, B.users(spark, sf), 50).select("user_id", "item_id", "score", "rank")

@@ -14,7 +14,7 @@ from .registry import register
 
 STOP = TX.stop_words_sql()
 PAT = TX.TOKEN_RE
-QT = "lower(regexp_replace(substr(text, 1, 512), '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g'))"
+QT = "lower(regexp_replace(text, '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g'))"
 ITEM_TEXT = "concat_ws(' ', title, description, array_to_string(coalesce(tags, []), ' '))"
 ITEM_TEXT_CAT = "concat_ws(' ', title, description, category, array_to_string(coalesce(tags, []), ' '))"
 
@@ -42,7 +42,7 @@ def tfidf_sql(src: str, id_expr: str, text_expr: str, prefix: str, vocab_from: s
 def bench_queries_sql() -> tuple[str, str]:
     return ("bq", """
   SELECT item_id AS query_id, CAST(NULL AS VARCHAR) AS user_id,
-         array_to_string(string_split_regex(regexp_replace(text, '^\\s+', ''), '\\s+')[1:5], ' ') AS text,
+         text,
          CAST(NULL AS VARCHAR) AS content_type, 10 AS "limit"
   FROM benchmark""")
 
@@ -217,12 +217,23 @@ def literal_search_q(spark, sf):
 
 
 @register("sort_results", "2.7", "WITH ls AS (" + LS_SQL.replace("WITH ", "WITH ", 1) + """)
-SELECT query_id, item_id, rank,
-       CAST(row_number() OVER (PARTITION BY query_id ORDER BY rating DESC, item_id) AS BIGINT) AS sort_rank
-FROM ls""")
+, m AS (SELECT ls.query_id, ls.item_id, ls.rank, ls.rating, ls.view_count, 1.0 / ls.rank AS search_score,
+              (SELECT min(l_shipdate) FROM lineitem WHERE CAST(l_partkey AS VARCHAR) = ls.item_id) AS shipped FROM ls)
+SELECT 'rating' AS mode, query_id, item_id, rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rating DESC, item_id) AS BIGINT) AS sort_rank FROM m
+UNION ALL SELECT 'views', query_id, item_id, rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY view_count DESC, item_id) AS BIGINT) FROM m
+UNION ALL SELECT 'relevance', query_id, item_id, rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY search_score DESC, item_id) AS BIGINT) FROM m
+UNION ALL SELECT 'newest', query_id, item_id, rank, CAST(row_number() OVER (PARTITION BY query_id
+       ORDER BY coalesce(shipped, TIMESTAMP '1995-01-01') DESC, item_id) AS BIGINT) FROM m""")
 def sort_results_q(spark, sf):
-    r = SE.literal_search(spark, lit_queries(spark, sf), B.items(spark, sf), 20)
-    return sort_results(r, "rating", ["query_id"]).select("query_id", "item_id", "rank", "sort_rank")
+    """All four sort modes over the same hits."""
+    items = B.items(spark, sf)
+    r = (SE.literal_search(spark, lit_queries(spark, sf), items, 20).withColumn("search_score", F.lit(1.0) / F.col("rank"))
+         .join(items.select("item_id", "publish_ts"), "item_id"))
+    out = None
+    for mode in ("rating", "views", "relevance", "newest"):
+        part = sort_results(r, mode, ["query_id"]).select(F.lit(mode).alias("mode"), "query_id", "item_id", "rank", "sort_rank")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 SUG_CTES = [("sq", """

@@ -68,8 +68,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stream state.
 
     Uses ``spark.checkpoint.dir`` as the cluster sets it (or a directory
-    already registered on the context).  Only when neither exists, as in
-    local tests, a fresh scratch folder is registered."""
+    already registered on the context).  Only when neither exists and
+    the master is local, as in tests, a fresh scratch folder is registered; on
+    a cluster that is an error, as executors could not read each other's."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if not current:
@@ -80,6 +81,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             except Exception:  # noqa: BLE001 - unset
                 current = None
         if not current:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             current = tempfile.mkdtemp(prefix="rivulet-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current

@@ -10,7 +10,7 @@ partitioning.  ``as_of`` replaces "now" for generated past dates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,11 +75,28 @@ def seeded_subset(key, choices: list[str], k_lo: int, k_hi: int, seed: int, salt
 
 
 def seeded_sample(df: DataFrame, keys: list[str], n: int | None, seed: int) -> DataFrame:
-    """At most n rows: the smallest seeded hashes of the key columns."""
+    """At most n rows: the smallest seeded hashes of the key columns.  Counts
+    by the hash's first four hex digits (65,536 numbers) tell which prefixes
+    are in whole; only rows of the prefix at the cut are ranked."""
     if n is None:
         return df
     h = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256)
-    return top_k(df.withColumn("_h", h), [F.col("_h").asc()], n).drop("_h")
+    hashed = df.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, 4))
+    left, cut = n, None
+    for prefix, count in sorted(tuple(r) for r in hashed.groupBy("_p").count().collect()):
+        if count > left:
+            cut = prefix
+            break
+        left -= count
+    if cut is None:
+        return df
+    whole = hashed.filter(F.col("_p") < cut)
+    return whole.unionByName(top_k(hashed.filter(F.col("_p") == cut), [F.col("_h").asc()], left)).drop("_h", "_p")
+
+
+def cut_text(c, n: int | None):
+    """The first ``n`` characters, or all of it."""
+    return c if n is None else F.substring(c, 1, n)
 
 
 def past_date(key, seed: int, salt: str, as_of: str, max_days: int) -> F.Column:
@@ -143,7 +160,7 @@ def _movie_items(m: DataFrame, prefix: str, seed: int, views_hi: int) -> DataFra
                            seeded_fill(key, 100, views_hi, seed, "views"), pub))
 
 
-def ml1m_tables(spark: SparkSession, movies: str, ratings: str, users: str, max_ratings: int | None = 200_000,
+def ml1m_tables(spark: SparkSession, movies: str, ratings: str, users: str, max_ratings: int | None = None,
                 seed: int = 42) -> dict[str, DataFrame]:
     """``::``-separated latin-1 files; short lines skipped; year from a
     trailing (dddd) (default 2000); first genre -> category."""
@@ -171,7 +188,7 @@ def ml1m_tables(spark: SparkSession, movies: str, ratings: str, users: str, max_
 
 
 def ml25m_tables(spark: SparkSession, movies: str, ratings: str, links: str | None = None,
-                 max_ratings: int | None = 200_000, seed: int = 42) -> dict[str, DataFrame]:
+                 max_ratings: int | None = None, seed: int = 42) -> dict[str, DataFrame]:
     """CSV variant with a movieId -> tmdbId bridge; ratings only for known
     movies; users = distinct raters in the sample."""
     mv = spark.read.option("header", True).csv(movies).select(
@@ -203,7 +220,7 @@ def ml25m_tables(spark: SparkSession, movies: str, ratings: str, links: str | No
 # ------------------------------------------------------------ Book-Crossing
 
 def bookcrossing_tables(spark: SparkSession, books: str, ratings: str, users: str,
-                        max_ratings: int | None = 100_000, seed: int = 42,
+                        max_ratings: int | None = None, seed: int = 42,
                         as_of: str = "2024-01-01") -> dict[str, DataFrame]:
     """``;``-separated latin-1 CSV; books need ISBN and title; ratings need a
     known ISBN and a score > 0 (a bad number counts as 0)."""
@@ -292,14 +309,20 @@ def steam_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "20
 
 
 def amazon_tables(spark: SparkSession, path: str, seed: int = 42, as_of: str = "2024-01-01",
-                  max_ratings: int | None = 50_000) -> dict[str, DataFrame]:
-    """JSON lines: first valid record per ASIN; category whitelist else
-    Electronics; title <= 200, description <= 400; rating <= 5; reviews of
+                  max_ratings: int | None = None, max_title: int | None = None,
+                  max_text: int | None = None) -> dict[str, DataFrame]:
+    """JSON lines: first valid record per ASIN (by place in the files);
+    category whitelist else Electronics; whole texts unless cut by
+    ``max_title`` (usually 200) and ``max_text`` (400); rating <= 5; reviews of
     kept products become interactions."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in
                            ("asin", "title", "summary", "category", "overall", "reviewText", "description",
                             "imUrl", "image", "reviewerID")])
-    r = spark.read.schema(schema).json(path).withColumn("_pos", F.monotonically_increasing_id())
+    r = spark.read.schema(schema).json(path)
+    # place in the files, whatever the splits; ids come from the content
+    r = r.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                               F.monotonically_increasing_id().alias("n")).alias("_pos"),
+                 F.substring(F.sha2(F.to_json(F.struct(*schema.names)), 256), 1, 16).alias("_hash"))
     r = r.withColumn("asin", F.trim(F.coalesce("asin", F.lit("")))).withColumn(
         "t", F.trim(F.coalesce("title", "summary", F.lit(""))))
     valid = r.filter((F.col("asin") != "") & (F.col("t") != ""))
@@ -308,20 +331,21 @@ def amazon_tables(spark: SparkSession, path: str, seed: int = 42, as_of: str = "
     cat = F.when(cats.isNotNull(), F.coalesce(F.try_element_at(cats, F.lit(-1)), F.lit("Electronics"))) \
            .otherwise(F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("Electronics")))
     cat = F.when(cat.isin(*AMAZON_CATEGORIES), cat).otherwise(F.lit("Electronics"))
-    score = F.coalesce(F.col("overall").try_cast("double"), F.lit(3.0))
+    score = F.when(F.col("overall").isNull(), 0.0).otherwise(F.coalesce(F.col("overall").try_cast("double"), F.lit(3.0)))
     key = F.col("asin")
-    items = first.select(*_item(F.concat(F.lit("amz_"), key), F.substring("t", 1, 200), "product", cat,
+    items = first.select(*_item(F.concat(F.lit("amz_"), key), cut_text(F.col("t"), max_title), "product", cat,
                                 F.array(cat, F.lit("Electronics")),
-                                F.substring(F.coalesce("reviewText", "description", F.lit("")), 1, 400),
+                                cut_text(F.coalesce("reviewText", "description", F.lit("")), max_text),
                                 F.coalesce("imUrl", "image", F.lit("")), F.round(F.least(score, F.lit(5.0)), 1),
                                 seeded_fill(key, 50, 50_000, seed, "views"), past_date(key, seed, "pub", as_of, 365 * 5)))
     rv = r.filter((F.coalesce("reviewerID", F.lit("")) != "") & (F.col("asin") != "") &
                   F.col("overall").try_cast("double").isNotNull())
     rv = rv.join(first.select("asin"), "asin", "left_semi")
-    rv = seeded_sample(rv.withColumn("score", F.col("overall").try_cast("double")), ["reviewerID", "asin", "_pos"],
+    rv = seeded_sample(rv.withColumn("score", F.col("overall").try_cast("double")), ["reviewerID", "asin", "_hash"],
                        max_ratings, seed)
     itype = rating_to_interaction("score")
-    rk = F.concat_ws("_", "reviewerID", "asin", F.col("_pos").cast("string"))
+    rv = rv.withColumn("_n", F.row_number().over(Window.partitionBy("_hash").orderBy("_pos")))  # reviews given twice
+    rk = F.concat_ws("_", "reviewerID", "asin", "_hash", F.col("_n").cast("string"))
     inter = rv.select(*_interaction(F.concat(F.lit("amz_"), rk), F.concat(F.lit("amz_user_"), F.col("reviewerID")),
                                     F.concat(F.lit("amz_"), F.col("asin")), itype,
                                     past_date(rk, seed, "ts", as_of, 365 * 5), dwell_for_type(itype, rk, seed),
@@ -438,9 +462,10 @@ def newsdata_items(spark: SparkSession, path: str, seed: int = 42, as_of: str =
                            seeded_fill(key, 500, 100_000, seed, "views"), past_date(key, seed, "pub", as_of, 30)))
 
 
-def newsapi_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "2024-01-01") -> DataFrame:
+def newsapi_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "2024-01-01",
+                  max_title: int | None = None, max_text: int | None = None) -> DataFrame:
     """Records (category, articles[]): drops empty and '[Removed]' titles;
-    title <= 200, description <= 500."""
+    whole texts unless cut (usually to 200 and 500 characters)."""
     schema = T.StructType([T.StructField("category", T.StringType()), T.StructField("articles", T.ArrayType(
         T.StructType([T.StructField("title", T.StringType()), T.StructField("description", T.StringType()),
                       T.StructField("content", T.StringType()), T.StructField("urlToImage", T.StringType()),
@@ -449,11 +474,11 @@ def newsapi_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "
         .select("category", "pos", "a.*").withColumn("t", F.trim(F.coalesce("title", F.lit(""))))
     a = a.filter((F.col("t") != "") & (F.col("t") != "[Removed]"))
     key = F.concat_ws("|", "category", F.col("pos").cast("string"), "t")
-    return a.select(*_item(_article_id("newsapi_", key), F.substring("t", 1, 200), "article",
+    return a.select(*_item(_article_id("newsapi_", key), cut_text(F.col("t"), max_title), "article",
                            _capitalize(F.col("category")),
                            F.array("category", F.coalesce(F.col("source.name"), F.lit("News"))),
-                           F.substring(F.coalesce(F.when(F.col("description") != "", F.col("description")),
-                                                  F.col("content"), F.lit("")), 1, 500),
+                           cut_text(F.coalesce(F.when(F.col("description") != "", F.col("description")),
+                                               F.col("content"), F.lit("")), max_text),
                            F.coalesce("urlToImage", F.lit("")), seeded_fill(key, 3.0, 4.5, seed, "rating", 1),
                            seeded_fill(key, 500, 200_000, seed, "views"), past_date(key, seed, "pub", as_of, 7)))
 
@@ -510,9 +535,11 @@ def spotify_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "
                            past_date(key, seed, "pub", as_of, 365 * 3), seeded_fill(key, 180, 3600, seed, "duration")))
 
 
-def youtube_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "2024-01-01") -> DataFrame:
+def youtube_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "2024-01-01",
+                  max_title: int | None = None, max_text: int | None = None) -> DataFrame:
     """items[]: category id map (default Entertainment); best thumbnail
-    high -> medium -> default; at most 10 tags."""
+    high -> medium -> default; at most 10 tags; whole texts unless cut
+    (usually to 200 and 500 characters)."""
     thumb = T.StructType([T.StructField("url", T.StringType())])
     schema = T.StructType([T.StructField("items", T.ArrayType(T.StructType([
         T.StructField("id", T.StringType()),
@@ -527,9 +554,9 @@ def youtube_items(spark: SparkSession, path: str, seed: int = 42, as_of: str = "
     th = F.col("snippet.thumbnails")
     url = F.coalesce(F.coalesce(th["high"], th["medium"], th["default"])["url"], F.lit(""))
     key = F.coalesce("id", F.col("snippet.title"))
-    return v.select(*_item(F.concat(F.lit("yt_"), key), F.substring(F.coalesce("snippet.title", F.lit("Unknown")), 1, 200),
+    return v.select(*_item(F.concat(F.lit("yt_"), key), cut_text(F.coalesce("snippet.title", F.lit("Unknown")), max_title),
                            "video", cat, F.slice(F.coalesce(F.col("snippet.tags"), F.array(cat)), 1, 10),
-                           F.substring(F.coalesce("snippet.description", F.lit("")), 1, 500), url,
+                           cut_text(F.coalesce("snippet.description", F.lit("")), max_text), url,
                            seeded_fill(key, 3.0, 5.0, seed, "rating", 1),
                            F.coalesce(F.col("statistics.viewCount").try_cast("long"), F.lit(0)),
                            past_date(key, seed, "pub", as_of, 365 * 3)))

@@ -20,7 +20,8 @@ def data(spark):
 
 def test_candidates_bounded_and_unseen(spark, data):
     c = RC.candidates(spark, data["users"], data["inter"], data["items"], covisitation_edges(data["inter"]),
-                      None, 50)
+                      None, 50, exclude=data["users"].select("user_id", F.lit("7").alias("item_id")))
+    assert c.where("item_id = '7'").count() == 0
     per_user = c.groupBy("user_id").count()
     assert per_user.agg(F.max("count")).first()[0] <= 50
     assert c.join(data["inter"].select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").count() == 0
@@ -53,8 +54,9 @@ def test_recommend_control_invariants(spark, data):
     assert ranks.filter("m != n").count() == 0
 
 
-def test_factors_and_scores(spark, data):
-    m = RC.fit_factors(data["inter"], rank=8, max_iter=3)
+@pytest.mark.parametrize("kind", ["als", "svd"])
+def test_factors_and_scores(spark, data, kind):
+    m = RC.fit_factors(data["inter"], rank=8, max_iter=3, kind=kind)
     s = RC.factor_scores(data["inter"].select("user_id", "item_id").distinct(), m)
     rng = s.agg(F.min("factor_score"), F.max("factor_score")).first()
     assert 0.0 <= rng[0] and rng[1] <= 1.0
@@ -77,3 +79,40 @@ def test_bandit_ignores_unknown_arm(spark):
                                 "experiment_id string, arm string, reward double")
     got = {r.arm: (r.alpha, r.beta) for r in bandit_posterior(spark, out, arms).collect()}
     assert got == {"a": (2.0, 2.0), "b": (1.0, 1.0)}
+
+
+def test_factors_of_text_ids_and_better_with_rank(spark):
+    """Ids that are no numbers; the error of the decomposition falls with k."""
+    rows = [(f"ml_user_{u}", f"ml_movie_{i}", "like" if (u * i) % 3 else "view", 30 + u * i % 50) for u in range(12) for i in range(9) if (u + i) % 2]
+    inter = spark.createDataFrame(rows, "user_id string, item_id string, interaction_type string, dwell_seconds int")
+    from rivulet.operators.aggregates import confidence_matrix
+    want = {(r[0], r[1]): r[2] for r in confidence_matrix(inter).collect()}
+    errors = []
+    for k in (1, 3, 8):
+        f = RC.fit_factors(inter, rank=k, kind="svd")
+        u = {r[0]: r[1] for r in f.users.collect()}
+        v = {r[0]: r[1] for r in f.items.collect()}
+        assert set(u) == {x for x, _ in want} and set(v) == {x for _, x in want}
+        errors.append(sum((want.get((a, b), 0) - sum(x * y for x, y in zip(u[a], v[b]))) ** 2 for a in u for b in v))
+    assert errors[0] > errors[1] > errors[2]
+    als = RC.fit_factors(inter, rank=4, max_iter=2)
+    assert {r[0] for r in als.users.collect()} == set(u)
+
+
+def test_history_beyond_500_events_is_excluded(spark, data):
+    items = data["items"]
+    ids = [r[0] for r in items.select("item_id").collect()]
+    events = spark.createDataFrame([("u", ids[k % len(ids)] if k < 600 else "none", "view", 5, k) for k in range(600)],
+                                   "user_id string, item_id string, interaction_type string, dwell_seconds int, k int")
+    events = events.withColumn("timestamp", F.timestamp_seconds(F.lit(1.6e9) + F.col("k"))).withColumn("rating", F.lit(None).cast("double"))
+    users = spark.createDataFrame([("u",)], "user_id string")
+    assert RC.candidates(spark, users, events, items, covisitation_edges(events), None, 50).count() == max(0, min(50, len(ids) - 600))
+    assert RC.recommend_control(spark, users, events, items, 10).join(events, "item_id", "left_semi").count() == 0
+
+
+def test_popularity_ranking_keeps_all_and_falls_back(spark, data):
+    from rivulet.operators.ranking import popularity_ranking
+    users = spark.createDataFrame([("a",), ("b",)], "user_id string")
+    cands = data["items"].limit(120).select(F.lit("a").alias("user_id"), "item_id")
+    got = {r[0]: r[1] for r in popularity_ranking(data["items"], cands, users, 50).groupBy("user_id").count().collect()}
+    assert got == {"a": 120, "b": 50}

@@ -147,3 +147,15 @@ def test_resolve_books_games_music(spark):
                         ("lastfm_2", "Song — Adele", "music", "Pop", [], "", "", None, None, 4.0, 3)])
     mu = {r.item_id: r.view_count for r in RS.resolve_music(spark, sp, lf)["items"].collect()}
     assert mu == {"spotify_a": 107, "spotify_b": 100, "lastfm_2": 3}
+
+
+@pytest.mark.parametrize("walk", [200_000, 0])
+def test_greedy_keep_of_long_chains(spark, walk):
+    """A chain keeps every second node, by walking and by rounds of joins."""
+    from pyspark.sql import functions as F
+    from rivulet.operators.resolve import greedy_keep
+    n = 3000 if walk else 24
+    nodes = spark.range(n).select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"), F.lit(False).alias("pre_kept"))
+    edges = spark.range(n - 1).select(F.col("id").cast("string").alias("l_id"), (F.col("id") + 1).cast("string").alias("r_id"))
+    kept = {int(r["id"]) for r in greedy_keep(spark, nodes, edges, walk).collect() if r["kept"]}
+    assert kept == set(range(0, n, 2))

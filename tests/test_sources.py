@@ -82,7 +82,9 @@ def test_amazon(spark, tmpdir_path):
     items = {r.item_id: r for r in t["items"].collect()}
     assert items["amz_A1"].title == "Phone X" and items["amz_A1"].category == "Phones"
     assert items["amz_A2"].category == "Electronics" and items["amz_A2"].rating == 5.0
-    assert len(items["amz_A2"].description) == 400
+    assert len(items["amz_A2"].description) == 500
+    cut = {r.item_id: r for r in L.amazon_tables(spark, p, max_text=400)["items"].collect()}
+    assert len(cut["amz_A2"].description) == 400
     assert sorted(r.user_id for r in t["interactions"].collect()) == ["amz_user_r1", "amz_user_r2"]
 
 
@@ -121,7 +123,9 @@ def test_api_payloads(spark, tmpdir_path):
     assert got == [("A", "c", "News"), ("B", "d", "S")]
     na = _w(d, "na.json", json.dumps({"category": "health", "articles": [
         {"title": "[Removed]"}, {"title": "X" * 300, "description": "y" * 600, "source": {"name": "Src"}}]}))
-    r = L.newsapi_items(spark, na).collect()
+    whole = L.newsapi_items(spark, na).collect()
+    assert len(whole[0].title) == 300 and len(whole[0].description) == 600
+    r = L.newsapi_items(spark, na, max_title=200, max_text=500).collect()
     assert len(r) == 1 and len(r[0].title) == 200 and len(r[0].description) == 500 and r[0].tags == ["health", "Src"]
     lf = _w(d, "lf.json", json.dumps({"page": 1, "tracks": {"track": [
         {"name": f"s{i}", "listeners": "10", "artist": {"name": "Ar"}, "image": [{"#text": "a"}, {"#text": "b"}]}
