@@ -106,7 +106,7 @@ class RankMerger:
         out = size.copy()
         sym = self.first[np.frombuffer(b"".join(data), np.uint8)]
         seq = np.repeat(np.arange(len(data), dtype=np.int32), size)
-        while len(sym) > 1:
+        while len(sym):
             rank = np.full(len(sym), NONE, np.int32)
             inner = np.flatnonzero(seq[1:] == seq[:-1])
             rank[inner] = self.pairs(sym[inner], sym[inner + 1])

@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, file_bytes, prepare, worker_state
+from .common import Memo, file_bytes, prepare, runs, worker_state
 
 ROOT = 0
+READINGS = -1
 FOREVER = 1 << 40
 
 
@@ -64,7 +65,7 @@ def last_merges(ranks: dict[bytes, int]) -> dict[bytes, tuple[bytes, bytes]]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], last: dict[bytes, tuple[bytes, bytes]], max_arcs: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], last: dict[bytes, tuple[bytes, bytes]], max_arcs: int = 800_000):
         self.ranks, self.max_arcs = ranks, max_arcs
         self.bytes_of = {i: t for t, i in ranks.items()}
         # trie: arcs of each node by byte, and the token that ends there
@@ -95,13 +96,11 @@ class Transducer:
 
     def _reset(self):
         """The start state alone.  A state is a dict byte -> (next state,
-        emitted tokens); its readings are kept under the dict's identity."""
+        emitted tokens) that holds its readings under READINGS."""
         for state in getattr(self, "ids", {}).values():
             state.clear()  # states refer to each other
-        start: dict = {}
-        self.start, self.made = start, 0
-        self.ids = {((ROOT, -1, ()),): start}
-        self.readings = {id(start): ((ROOT, -1, ()),)}
+        self.ids, self.made = {}, 0
+        self.start = self._state(((ROOT, -1, ()),))
 
     def _edge(self, t, last, side):
         out, until = [], FOREVER
@@ -158,7 +157,7 @@ class Transducer:
         return known
 
     def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
-        readings = self.readings[id(state)]
+        readings = state[READINGS]
         if self.made > self.max_arcs:
             self._reset()
             state = self._state(readings)
@@ -184,8 +183,7 @@ class Transducer:
     def _state(self, readings: tuple) -> dict:
         state = self.ids.get(readings)
         if state is None:
-            state = self.ids[readings] = {}
-            self.readings[id(state)] = readings
+            state = self.ids[readings] = {READINGS: readings}
         return state
 
     def encode(self, piece: bytes) -> list[int]:
@@ -198,7 +196,7 @@ class Transducer:
             state, emitted = state.get(b) or self._step(state, b)
             if emitted:
                 out += emitted
-        out += self.readings[id(state)][-1][2]  # what the reading that ends here holds
+        out += state[READINGS][-1][2]  # what the reading that ends here holds
         return out
 
 
@@ -287,12 +285,16 @@ class Codec:
         self.memo = Memo(lambda words: [np.array(self.machine.encode(w.encode("utf-8", "surrogatepass")), np.uint32).tobytes()
                                         for w in words])
 
+    def many(self, texts: list[str]):
+        """For each text its packed ids (little-endian uint32) in pieces."""
+        for part in runs(enumerate(texts), 1_000_000):
+            found = [self.words.findall(t) if len(t) < 1_000_000 else None for _, t in part]
+            known = self.memo.over({w for f in found if f for w in f})
+            for (_, t), f in zip(part, found):
+                yield self.encode(t) if f is None else (b"".join(map(known.__getitem__, f)),)
+
     def encode(self, text: str):
-        """Packed ids (little-endian uint32), in pieces of pre-tokens."""
-        if len(text) < 1_000_000:
-            words = self.words.findall(text)
-            yield b"".join(map(self.memo.over(words).__getitem__, words))
-            return
+        """Packed ids of one text, in pieces of pre-tokens."""
         it = (m.group() for m in self.words.finditer(text))
         while piece := list(islice(it, 100_000)):
             yield b"".join(map(self.memo.over(piece).__getitem__, piece))
@@ -325,7 +327,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, pattern: str, id_col: str
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                ids = [b"".join(c.encode(t)) for t in part.column("text").to_pylist()]
+                ids = [b"".join(p) for p in c.many(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     out = rows.mapInArrow(run, rows.select("doc_id", F.lit(b"").alias("ids")).schema)
@@ -365,10 +367,10 @@ def round_trip_digests(docs: DataFrame, vocab_path: str, pattern: str) -> DataFr
         c = codec()
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column("text").to_pylist():
+            for pieces in c.many(batch.column("text").to_pylist()):
                 ids_hash, bytes_hash, count = hashlib.sha256(), hashlib.sha256(), 0
                 stream = Utf8Stream(*c.table)
-                for piece in c.encode(text):
+                for piece in pieces:
                     ids_hash.update(piece)
                     count += len(piece) // 4
                     stream.feed(np.frombuffer(piece, np.uint32), bytes_hash.update)
