@@ -6,7 +6,7 @@ from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
 from rivulet.llm import exact_dedup, jaccard_trie, line_dedup, queries
-from rivulet.llm.components import components
+from rivulet.llm.jaccard_trie import components
 
 
 def expected_groups(rows):
