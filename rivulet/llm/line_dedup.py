@@ -45,9 +45,10 @@ def line_table(docs: DataFrame, site_col: str = "source") -> DataFrame:
 def boilerplate(docs: DataFrame, min_sites: int = 6, site_col: str = "source") -> DataFrame:
     """Lines on at least ``min_sites`` distinct sites: line hash, keeper id."""
     lines = line_table(docs, site_col)
-    # one row per line and site first: no hot line meets in one task
+    # one row per line and site first: no hot line meets in one task;
+    # sketches pass over empty strings, so sites get a letter in front
     by_site = lines.groupBy("line", "site").agg(F.min("id").alias("first_id"))
-    spread = by_site.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch"), F.min("first_id").alias("keeper"))
+    spread = by_site.groupBy("line").agg(F.hll_sketch_agg(F.concat(F.lit("s"), "site"), F.lit(LOG_K)).alias("sketch"), F.min("first_id").alias("keeper"))
     error = ERRORS * 1.04 / (2 ** (LOG_K / 2))
     low, high = min_sites * (1 - error) - 0.5, min_sites * (1 + error) + 0.5
     sites = F.hll_sketch_estimate("sketch")

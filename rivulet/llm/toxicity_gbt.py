@@ -47,7 +47,6 @@ NAMES = ["lexicon", "weak", "medium", "strong", "strength", "mean_strength", "st
 _MARKS = re.compile(r"[^\w\s]")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 _N = 12  # numbers kept per word
-_PACK = struct.Struct(f"<{_N}f").pack
 
 
 def letters(word: str) -> str:
@@ -131,8 +130,8 @@ class Features:
             single, exclaims, questions, marks = len(core) == 1, w.count("!"), w.count("?"), len(_MARKS.findall(w))
             mixed = n_alpha > 0 and any(not c.isalpha() and c not in "'’-" for c in core[:-1])
             hidden = hidden or (mixed and not insult and letters(core.translate(LEET)) in INSULTS)
-        return _PACK(insult, best, plain in SECOND_PERSON, n_upper, n_alpha, n_alpha > 2 and n_upper == n_alpha, exclaims,
-                     questions, marks, mixed, hidden, stretched + 2 * single)
+        return struct.pack(f"<{_N}f", insult, best, plain in SECOND_PERSON, n_upper, n_alpha, n_alpha > 2 and n_upper == n_alpha, exclaims,
+                           questions, marks, mixed, hidden, stretched + 2 * single)
 
     def __call__(self, text: str) -> np.ndarray:
         n, sums = 0, np.zeros(len(NAMES))
