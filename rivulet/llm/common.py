@@ -54,11 +54,14 @@ def held_out(doc_id, modulus: int, remainder: int):
 
 def worker_state(key, build):
     """``build()`` once per Python worker process.  Functions of this package
-    travel by value, so their globals do not outlive a task; this does."""
+    travel by value, so their globals do not outlive a task; this does.  A
+    worker keeps the last state only, so that memory is that of one operator."""
     home = sys.modules.setdefault("_rivulet_worker_state", types.ModuleType("_rivulet_worker_state"))
-    if key not in home.__dict__:
-        home.__dict__[key] = build()
-    return home.__dict__[key]
+    if getattr(home, "key", None) != key:
+        home.key = home.state = None
+        home.state = build()
+        home.key = key
+    return home.state
 
 
 class Memo:
@@ -86,6 +89,14 @@ class Memo:
         return young
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of few rows, so that Python objects of only
+    some texts exist at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def runs(pairs, size: int = CHUNK_CHARS):
     """Lists of consecutive (key, text) pairs of about ``size`` characters."""
     out, n = [], 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, prepare
+from .common import held_out, prepare, slices
 from .labelled import FIT_PER_CLASS, fit_sample
 
 CHUNK, OVERLAP = 512, 64
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:
     schema = rows.select("doc_id", F.lit(0.0).alias("score")).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             scores = score_texts(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -217,7 +217,7 @@ def keep(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:
     prepare(docs)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(score_texts(model, batch.column("text").to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, prepare
+from .common import Memo, held_out, prepare, slices, worker_state
 from .labelled import FIT_PER_CLASS, fit_sample
 
 FIT_BYTES = 65_536
@@ -61,11 +61,20 @@ def stems(word: str):
             yield word[:n]
 
 
+def common_stems(texts, least: int = 3) -> set[str]:
+    """Stems that at least ``least`` texts hold: no others can be chosen."""
+    support: Counter = Counter()
+    for t in texts:
+        support.update({s for w in set(t.split()) if (plain := letters(w)) for s in stems(plain)})
+    return {s for s, n in support.items() if n >= least}
+
+
 class StemCounts:
     """Stems of labelled texts: weighted occurrences by class (a text counts a
     stem up to five times) and the toxic texts that hold them."""
 
-    def __init__(self):
+    def __init__(self, wanted: set[str]):
+        self.wanted = wanted
         self.words, self.counts, self.support, self.toxic = [0.0, 0.0], [Counter(), Counter()], Counter(), 0
 
     def take(self, text: str, toxic: int, weight: float):
@@ -76,7 +85,8 @@ class StemCounts:
             if plain:
                 n += times
                 for s in stems(plain):
-                    own[s] += times
+                    if s in self.wanted:
+                        own[s] += times
         self.words[toxic] += n * weight
         counts = self.counts[toxic]
         for s, times in own.items():
@@ -111,7 +121,7 @@ class Features:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.heads = {s[:3] for s in lexicon}
-        self.memo = Memo(lambda words: list(map(self.word, words)), 200_000)
+        self.memo = Memo(lambda words: list(map(self.word, words)), 100_000)
 
     def word(self, w: str) -> bytes:
         simple = w.isalpha()
@@ -275,7 +285,8 @@ class Model:
 
 def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 3) -> Model:
     folds = np.random.default_rng(seed).permutation(len(texts)) % FOLDS
-    parts, every = [StemCounts() for _ in range(FOLDS)], StemCounts()
+    wanted = common_stems(t for t, toxic in zip(texts, y) if toxic)
+    parts, every = [StemCounts(wanted) for _ in range(FOLDS)], StemCounts(wanted)
     for t, k, toxic, w in zip(texts, folds.tolist(), y.astype(int).tolist(), weight.tolist()):
         parts[k].take(t, toxic, w)
         every.take(t, toxic, w)
@@ -306,6 +317,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     return fit(sample["text"].tolist(), y, np.array([weights[int(k)] for k in y]))
 
 
+def features_of(model: Model | float) -> Features | None:
+    """Kept for the next task of this worker that scores by the same model."""
+    if isinstance(model, float):
+        return None
+    return worker_state(("toxicity", hash(tuple(sorted(model.lexicon.items())))), lambda: Features(model.lexicon))
+
+
 def score_texts(model: Model | float, features: Features | None, texts: list) -> np.ndarray:
     if features is None:
         return np.full(len(texts), model)
@@ -318,8 +336,8 @@ def score(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> Data
     rows = docs.select("doc_id", "text")
 
     def run(batches):
-        features = None if isinstance(model, float) else Features(model.lexicon)
-        for batch in batches:
+        features = features_of(model)
+        for batch in slices(batches):
             scores = score_texts(model, features, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -332,8 +350,8 @@ def keep(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataF
     prepare(docs)
 
     def run(batches):
-        features = None if isinstance(model, float) else Features(model.lexicon)
-        for batch in batches:
+        features = features_of(model)
+        for batch in slices(batches):
             yield batch.filter(pa.array(score_texts(model, features, batch.column("text").to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
