@@ -180,6 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
 
     sample = rows.mapInPandas(cut, "doc_id long, y int, chunks binary").toPandas().sort_values(["doc_id", "chunks"])
     y = sample["y"].to_numpy(np.float32)
+    if len(set(y)) < 2:  # labels, but no texts of both classes
+        return Constant(float(y[0]) if len(y) else 0.5)
     weight = np.array([weights[int(k)] for k in y], np.float32)
     return Network().fit([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c in sample["chunks"]], y, weight)
 

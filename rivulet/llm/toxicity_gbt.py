@@ -312,8 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         return float(next(iter(weights))) if weights else 0.5
     sample = rows.where(F.octet_length("text") <= FIT_BYTES).orderBy("doc_id", "text").toPandas()
     y = sample["y"].to_numpy(np.float64)
-    if y.min() == y.max():
-        return float(y[0])
+    if len(set(y)) < 2:  # labels, but no texts of both classes
+        return float(y[0]) if len(y) else 0.5
     return fit(sample["text"].tolist(), y, np.array([weights[int(k)] for k in y]))
 
 
