@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rivulet.session import checkpoint_dir, ship_package
 
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 75_000
 CHUNK_CHARS = 2_000_000
 
 
@@ -58,7 +60,12 @@ def worker_state(key, build):
     worker keeps the last state only, so that memory is that of one operator."""
     home = sys.modules.setdefault("_rivulet_worker_state", types.ModuleType("_rivulet_worker_state"))
     if getattr(home, "key", None) != key:
-        home.key = home.state = None
+        if getattr(home, "state", None) is not None:
+            home.key = home.state = None
+            gc.collect()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):  # give the memory back before more is taken
+                libc.malloc_trim(0)
         home.state = build()
         home.key = key
     return home.state
