@@ -6,6 +6,10 @@ threshold stay; lines near it get an exact count of distinct sites; lines on
 enough sites are boilerplate and are removed from every document but the one
 with the smallest id, so that no passage is lost from the corpus.
 
+Given ``long_words``, a line of more words than that is a passage, spread from
+``long_sites`` distinct sites on; shorter lines keep the other threshold.
+Repeats within one site count as that one site.
+
 Defined cases: null text counts as empty and stays null; null ids are larger
 than any other; null sites are one site; empty and white-space lines are
 never removed; repeated rows with the same id and text are treated alike; an
@@ -33,37 +37,48 @@ def _hash(line):
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def line_table(docs: DataFrame, site_col: str = "source") -> DataFrame:
-    """One row per line of text: key of its document, line hash, site, id."""
+def _is_long(line, long_words: int):
+    """More words than ``long_words``; they need a character each and one between."""
+    return (F.length(line) > 2 * long_words) & (F.regexp_count(line, F.lit("[^ \t\r]+")) > long_words)
+
+
+def line_table(docs: DataFrame, site_col: str = "source", long_words: int | None = None) -> DataFrame:
+    """One row per line of text: key of its document, line hash, site, id;
+    given ``long_words``, also whether the line is longer."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(_id("doc_id").alias("id"),
                         F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"),
                         F.xxhash64(text).alias("text_key"), F.explode(F.split(text, "\n")).alias("line"))
-    return lines.where(F.trim(F.translate("line", "\t\r", "  ")) != "").select("id", "site", "text_key", _hash(F.col("line")).alias("line"))
+    long = [] if long_words is None else [_is_long(F.col("line"), long_words).alias("long")]
+    return lines.where(F.trim(F.translate("line", "\t\r", "  ")) != "").select("id", "site", "text_key", _hash(F.col("line")).alias("line"), *long)
 
 
-def boilerplate(docs: DataFrame, min_sites: int = 6, site_col: str = "source") -> DataFrame:
-    """Lines on at least ``min_sites`` distinct sites: line hash, keeper id."""
-    lines = line_table(docs, site_col)
+def boilerplate(docs: DataFrame, min_sites: int = 6, site_col: str = "source", long_words: int | None = None, long_sites: int = 2) -> DataFrame:
+    """Lines on at least ``min_sites`` distinct sites (``long_sites`` if they
+    have more than ``long_words`` words): line hash, keeper id."""
+    lines = line_table(docs, site_col, long_words)
+    key = ["line"] if long_words is None else ["line", "long"]
+    need = F.lit(min_sites) if long_words is None else F.when(F.col("long"), long_sites).otherwise(min_sites)
     # one row per line and site first: no hot line meets in one task;
     # sketches pass over empty strings, so sites get a letter in front
-    by_site = lines.groupBy("line", "site").agg(F.min("id").alias("first_id"))
-    spread = by_site.groupBy("line").agg(F.hll_sketch_agg(F.concat(F.lit("s"), "site"), F.lit(LOG_K)).alias("sketch"), F.min("first_id").alias("keeper"))
+    by_site = lines.groupBy(*key, "site").agg(F.min("id").alias("first_id"))
+    spread = by_site.groupBy(*key).agg(F.hll_sketch_agg(F.concat(F.lit("s"), "site"), F.lit(LOG_K)).alias("sketch"), F.min("first_id").alias("keeper"))
     error = ERRORS * 1.04 / (2 ** (LOG_K / 2))
-    low, high = min_sites * (1 - error) - 0.5, min_sites * (1 + error) + 0.5
+    low, high = F.col("need") * (1 - error) - 0.5, F.col("need") * (1 + error) + 0.5
     sites = F.hll_sketch_estimate("sketch")
-    likely = spread.select("line", "keeper", sites.alias("sites")).where(F.col("sites") >= low)
+    likely = spread.select("line", "keeper", sites.alias("sites"), need.alias("need")).where(F.col("sites") >= low)
     near = likely.where(F.col("sites") <= high)
     exact = (by_site.join(near.select("line"), "line", "left_semi").groupBy("line")
              .agg(F.count("*").alias("exact_sites")))
-    return (likely.join(exact, "line", "left").where(F.coalesce("exact_sites", F.lit(min_sites)) >= min_sites)
+    return (likely.join(exact, "line", "left").where(F.coalesce("exact_sites", "need") >= F.col("need"))
             .select("line", "keeper"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 6, site_col: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = 6, site_col: str = "source", long_words: int | None = None,
+                       long_sites: int = 2) -> DataFrame:
     """All columns of ``docs`` with boilerplate lines taken out of ``text``,
     plus ``_lines`` and ``_removed``: lines before, and lines taken out."""
-    found = boilerplate(docs, min_sites, site_col)
+    found = boilerplate(docs, min_sites, site_col, long_words, long_sites)
     # a document's own lines, once each, so that a page repeating one line is one row
     own = line_table(docs, site_col).select("id", "text_key", "line").distinct()
     drop = (own.join(found, "line").where(F.col("id") != F.col("keeper"))

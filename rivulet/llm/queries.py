@@ -11,6 +11,8 @@ from .common import documents
 
 #: Boilerplate: a line on at least this many distinct sources.
 MIN_SITES = 6
+#: Passage: a line of more words, spread from this many distinct sources on.
+LONG_WORDS, LONG_SITES = 50, 2
 CAPACITY = 4096
 
 
@@ -41,6 +43,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("clean_sha256"))
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_boilerplate(documents(spark, sf_dir), MIN_SITES, long_words=LONG_WORDS, long_sites=LONG_SITES)
+    return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"),
+                      F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("clean_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -70,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_cnn, op2_exact_dedup, op3_toxicity_gbt, op4_ngram_jaccard, op5_line_dedup, op6_best_fit_packing, op7_bpe_transducer, op8_multi_index_hashing, op9_elias_fano_lm,
+    op1_quality_cnn, op2_exact_dedup, op3_toxicity_gbt, op4_ngram_jaccard, op5_line_dedup, op5_passage_dedup, op6_best_fit_packing, op7_bpe_transducer, op8_multi_index_hashing, op9_elias_fano_lm,
     op10_rank_merge_counts, pipeline)}
 
 ORACLES = {
@@ -88,4 +96,16 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS clean_sha256
         FROM marked GROUP BY doc_id""",
+    "op5_passage_dedup": f"""
+        WITH split AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
+        spread AS (SELECT line, min(doc_id) AS keeper FROM lines
+                   WHERE trim(translate(line, chr(9) || chr(13), '  ')) <> ''
+                   GROUP BY line HAVING count(DISTINCT source) >=
+                       CASE WHEN len(list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda w: w <> '')) > {LONG_WORDS}
+                            THEN {LONG_SITES} ELSE {MIN_SITES} END),
+        marked AS (SELECT l.*, s.keeper IS NOT NULL AND s.keeper <> l.doc_id AS gone FROM lines l LEFT JOIN spread s USING (line))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS clean_sha256
+        FROM marked GROUP BY doc_id""",
 }

@@ -90,6 +90,24 @@ def test_lines_near_the_threshold_are_counted_exactly(spark, sites):
     assert [r["keeper"] for r in found] == ([0] if sites >= 40 else [])
 
 
+def test_long_passages_go_from_two_sites_on(spark):
+    from llm.conftest import KIND, row
+    say = {k: " ".join(f"p{k}w{j}" for j in range(k)) for k in (49, 50, 60)}
+    # per n: 51 words, 50 words and a short line on n sites; 50 words on five sites
+    rows = [row(10 * n + d, f"own {n} {d}\n{say[50]}\t{n}\n{say[49]} {n}\n\tshort {n}\n{say[50]}", f"s{d}") for n in (2, 3, 4, 5) for d in range(n)]
+    # one hot source repeats two passages; one of them is on a second site too
+    rows += [row(1000 + k, f"hot own {k}\nhot {say[60]}\nboth {say[60]}", "hot") for k in range(300)]
+    rows += [row(5, f"other\nboth {say[60]}", "cold")]
+    found = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, KIND), 6, long_words=50).collect()}
+    for n in (2, 3, 4, 5):
+        for d in range(n):
+            left = found[10 * n + d]["text"].split("\n")
+            assert (f"{say[50]}\t{n}" in left) == (d == 0) and found[10 * n + d]["_removed"] == (d > 0)
+            assert {f"{say[49]} {n}", f"\tshort {n}", say[50]} <= set(left)
+    assert all(found[1000 + k]["text"] == f"hot own {k}\nhot {say[60]}" for k in range(300))
+    assert found[5]["_removed"] == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
