@@ -73,6 +73,17 @@ def norm_title_q(spark, sf):
                     S.title_year("title").alias("title_year"))
 
 
+@register("norm_title_whole", "2.3", f"""
+WITH first_lines AS (SELECT doc_id, split_part(text, chr(10), 1) AS first_line FROM documents)
+SELECT doc_id, {S.norm_title_sql('first_line')} AS norm_title, {S.title_year_sql('first_line')} AS title_year
+FROM first_lines""")
+def norm_title_whole_q(spark, sf):
+    """Whole first lines; ``norm_title`` reads the title cut to 80 characters."""
+    c = B.corpus(spark, sf)
+    return c.select("doc_id", S.norm_title("first_line").alias("norm_title"),
+                    S.title_year("first_line").alias("title_year"))
+
+
 @register("title_year", "2.3", B.with_ctes("items") + f"""
 SELECT item_id, {S.title_year_sql("title || ' (' || CAST(1990 + CAST(item_id AS BIGINT) % 30 AS VARCHAR) || ')'")} AS title_year
 FROM items""")

@@ -139,10 +139,14 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their first line, and its first 80 characters as the
+    title that the similarity join of titles compares."""
     d = raw(spark, sf, "documents")
+    first = F.substring_index("text", "\n", 1)
     return d.select(
         "doc_id", "text", "lang", "source",
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring(first, 1, 80).alias("title"),
+        first.alias("first_line"),
     )
 
 

@@ -141,3 +141,14 @@ def test_features_golden(spark):
     year_old = items.withColumn("publish_ts", F.lit("2023-06-02 00:00:00").cast("timestamp"))
     fr = features(pairs, prof, year_old, as_of).first()["freshness"]
     assert fr == pytest.approx(1 / (1 + 365 * 24 / 720), abs=1e-6)
+
+
+def test_norm_title_reads_whole_first_lines(spark, tmpdir_path):
+    from rivulet.plans.registry import load_all
+    head = "The " + "long title " * 20
+    rows = [(1, head + "Night (1999)\nsecond (2001)"), (2, head + "Day (2004)"), (3, "A Short, one\nx"), (4, None), (5, "")]
+    docs = [(i, t, "en", "s") for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    out = {r.doc_id: (r.norm_title, r.title_year) for r in load_all()["norm_title_whole"].build(spark, tmpdir_path).collect()}
+    body = "long title " * 20
+    assert out == {1: (body + "night 1999", "1999"), 2: (body + "day 2004", "2004"), 3: ("short one", ""), 4: (None, None), 5: ("", "")}
