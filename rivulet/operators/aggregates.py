@@ -79,6 +79,23 @@ def system_stats(spark: SparkSession, users: DataFrame, items: DataFrame, inter:
                       "top_category", F.round(F.col("_top") / F.greatest("_week", F.lit(1)) * 100.0, 6).alias("top_category_pct"))
 
 
+def system_stats_full(spark: SparkSession, users: DataFrame, items: DataFrame, inter: DataFrame,
+                      as_of, k: int = 10) -> DataFrame:
+    """The whole dashboard record in one row: ``system_stats`` with items by
+    type and the ``k`` popular categories as arrays of names and counts."""
+    def lists(df, order, **cols):
+        # one row per type, or k rows
+        rows = F.array_sort(F.collect_list(F.struct(*order, *cols.values())))
+        return df.agg(rows.alias("_rows")).select(*[F.col(f"_rows.{c}").alias(name) for name, c in cols.items()])
+
+    types = lists(items_by_type(items), [F.col("content_type").isNull().alias("_last")],
+                  item_types="content_type", item_type_counts="item_count")
+    cats = lists(popular_categories(inter, items, as_of, 7, k),
+                 [(-F.col("interaction_count")).alias("_n"), F.col("category").isNull().alias("_last")],
+                 categories="category", category_counts="interaction_count")
+    return system_stats(spark, users, items, inter, as_of).join(types, how="cross").join(cats, how="cross")  # one row each
+
+
 def user_interaction_stats(inter: DataFrame, items: DataFrame) -> DataFrame:
     """Per user: category / type / tag lists (with repeats), mean dwell over
     all rows, mean rating over non-null, count.  Lists are sorted and joined

@@ -344,6 +344,31 @@ def system_stats_q(spark, sf):
     return A.system_stats(spark, B.users(spark, sf), B.items(spark, sf), inter, B.as_of(inter))
 
 
+@register("system_stats_full", "2.5", B.with_ctes("users", "items", "interactions") + """
+, wk AS (SELECT i.item_id FROM interactions i
+         WHERE i.timestamp >= (SELECT max(timestamp) FROM interactions) - INTERVAL 168 HOUR)
+, dy AS (SELECT user_id FROM interactions
+         WHERE timestamp >= (SELECT max(timestamp) FROM interactions) - INTERVAL 24 HOUR)
+, cats AS (SELECT it.category, count(*) AS n FROM wk LEFT JOIN items it ON wk.item_id = it.item_id
+           GROUP BY it.category ORDER BY n DESC, it.category NULLS LAST LIMIT 10)
+, types AS (SELECT content_type, count(*) AS n FROM items GROUP BY content_type)
+SELECT (SELECT count(*) FROM users) AS total_users, (SELECT count(*) FROM items) AS total_items,
+       (SELECT count(*) FROM interactions) AS total_interactions,
+       (SELECT count(DISTINCT user_id) FROM dy) AS active_users_24h,
+       (SELECT count(*) FROM dy) AS interactions_24h,
+       (SELECT count(DISTINCT content_type) FROM items) AS content_types,
+       (SELECT category FROM cats ORDER BY n DESC, category NULLS LAST LIMIT 1) AS top_category,
+       round((SELECT max(n) FROM cats) / greatest((SELECT count(*) FROM wk), 1) * 100.0, 6) AS top_category_pct,
+       (SELECT list(content_type ORDER BY content_type NULLS LAST) FROM types) AS item_types,
+       (SELECT list(n ORDER BY content_type NULLS LAST) FROM types) AS item_type_counts,
+       (SELECT list(category ORDER BY n DESC, category NULLS LAST) FROM cats) AS categories,
+       (SELECT list(n ORDER BY n DESC, category NULLS LAST) FROM cats) AS category_counts
+""".replace("\n, wk AS", ", wk AS", 1))
+def system_stats_full_q(spark, sf):
+    inter = B.interactions(spark, sf)
+    return A.system_stats_full(spark, B.users(spark, sf), B.items(spark, sf), inter, B.as_of(inter))
+
+
 @register("user_interaction_stats", "2.5", B.with_ctes("event_interactions", "items") + """
 SELECT i.user_id,
        array_to_string(list_sort(list(it.category) FILTER (WHERE it.category IS NOT NULL)), '|') AS categories,

@@ -11,11 +11,12 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.scalars import ts_str_sql
 from ..operators.experiments import ab_significance
 from ..sources import binding as B
 from ..streaming import jobs as SJ
-from .q_experiments import POST_SQL, metrics_sql
+from .q_experiments import POST_SQL, SIG_COLS, metrics_sql, sig_sql
 from .registry import register
 
 
@@ -108,6 +109,27 @@ def stream_sessions_q(spark, sf):
                     "n_events")
 
 
+@register("stream_covisitation", "2.14", EV_SQL + """
+, ev AS (SELECT *, lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp, seq_a) AS prev FROM event_interactions
+         WHERE interaction_type IN ('view', 'click', 'like'))
+, b AS (SELECT *, CASE WHEN prev IS NULL OR epoch_us(timestamp) - epoch_us(prev) > 3600000000 THEN 1 ELSE 0 END AS brk
+        FROM ev)
+, s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY timestamp, seq_a ROWS UNBOUNDED PRECEDING) AS sid FROM b)
+, p AS (SELECT *, row_number() OVER (PARTITION BY user_id, sid ORDER BY timestamp, seq_a) AS pos,
+               max(timestamp) OVER (PARTITION BY user_id, sid) + INTERVAL 1 HOUR AS en FROM s)
+, c AS (SELECT * FROM p WHERE en <= (SELECT max(timestamp) FROM ev) - INTERVAL 1 HOUR)
+, pairs AS (SELECT x.item_id AS item_a, y.item_id AS item_b FROM c x JOIN c y
+            ON x.user_id = y.user_id AND x.sid = y.sid AND y.pos BETWEEN x.pos + 1 AND x.pos + 5)
+SELECT item_a, item_b, count(*) AS weight
+FROM (SELECT item_a, item_b FROM pairs UNION ALL SELECT item_b, item_a FROM pairs) GROUP BY item_a, item_b
+""".replace("\n, ev AS", ", ev AS", 1))
+def stream_covisitation_q(spark, sf):
+    base = SJ.stream_base(spark, "stream_covisitation")
+    SJ.stream_sessions(_events(spark, sf), base, types=K.SESSION_TYPES)
+    sessions = spark.read.parquet(os.path.join(base, "sessions"))
+    return SJ.session_covisitation(sessions, B.event_interactions(spark, sf))
+
+
 SIG = ["z_score", "p_value", "lift_pct", "control_ctr", "treatment_ctr"]
 
 
@@ -123,6 +145,19 @@ def stream_experiment_metrics_q(spark, sf):
                     "treatment_interactions", "control_requests", "treatment_requests")
 
 
+SIG_KEYS = ["experiment_id", "control_requests", "control_interactions", "treatment_requests", "treatment_interactions"]
+
+
+@register("stream_experiment_significance", "2.14", B.with_ctes("experiment_events", extra=[
+    ("m", metrics_sql("experiment_events"))]) + sig_sql("m", ", ".join(SIG_KEYS)))
+def stream_experiment_significance_q(spark, sf):
+    """The z-test on the stream's running counts."""
+    base = SJ.stream_base(spark, "stream_experiment_significance")
+    SJ.stream_experiment_metrics(_events(spark, sf), base)
+    s = ab_significance(spark.read.parquet(os.path.join(base, "metrics")))
+    return s.select(*SIG_KEYS, *[F.round(c, 6).alias(c) for c in SIG_COLS], "is_significant", "status")
+
+
 @register("stream_last_n", "2.14", B.with_ctes("experiment_events") + """
 SELECT experiment_id, event_id, user_id, bucket, event_type FROM experiment_events
 QUALIFY row_number() OVER (PARTITION BY experiment_id ORDER BY timestamp DESC, event_id DESC) <= 1000""")

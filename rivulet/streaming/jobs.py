@@ -133,6 +133,17 @@ def stream_sessions(events: DataFrame, base: str, gap: str = "1 hour", types=Non
         base)
 
 
+def session_covisitation(sessions: DataFrame, inter: DataFrame, gap_seconds: int = 3600,
+                         types=tuple(K.SESSION_TYPES)) -> DataFrame:
+    """Co-visitation edges of the closed sessions that ``stream_sessions``
+    wrote.  A user's closed sessions precede the open ones, so their events
+    are those before the end of the last: one equi-join per user."""
+    from ..operators.windows import covisitation_edges
+    ends = sessions.groupBy("user_id").agg(F.max("session_end").alias("_end"))
+    closed = inter.join(ends, "user_id").where(F.col("timestamp").cast("timestamp") < F.col("_end")).drop("_end")
+    return covisitation_edges(closed, gap_seconds, types=types)
+
+
 def experiment_stream(events: DataFrame, experiment: str = K.DEFAULT_EXPERIMENT) -> DataFrame:
     """Events -> experiment events with the user's bucket attached."""
     ev = events.filter("valid").filter(F.col("type").isin("view", "click", "purchase"))

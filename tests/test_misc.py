@@ -32,3 +32,46 @@ def test_write_and_read_catalogue(spark, tmpdir_path):
     assert {r.content_type for r in back.select("content_type").distinct().collect()} == \
         {r.content_type for r in items.select("content_type").distinct().collect()}
     assert read_table(spark, f"{out}/interactions", "interactions").count() == inter.count()
+
+
+def test_stream_outputs_of_planted_events(spark, tmpdir_path):
+    """Pairs of closed sessions only, and a z-test on rates below one."""
+    from datetime import datetime, timedelta
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from rivulet.plans.registry import load_all
+    start = datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(seconds=k), k, "view", 1.0, '{"k": 7}') for k in range(1000, 3000)]
+    # every third viewer also clicks, half a day on, and views another item at once
+    rows += [(10 * k, start + timedelta(hours=12, seconds=k), k, "click", 1.0, '{"k": 8}') for k in range(1000, 3000, 3)]
+    rows += [(10 * k + 1, start + timedelta(hours=12, seconds=k + 60), k, "view", 1.0, '{"k": 9}') for k in range(1000, 3000, 3)]
+    rows += [(50000, start + timedelta(days=2), 1, "view", 1.0, '{"k": 1}'), (50001, start + timedelta(days=2), 1, "view", 1.0, '{"k": 2}')]
+    columns = dict(zip(("event_id", "ts", "user_id", "event_type", "value", "props"), zip(*rows)))
+    pq.write_table(pa.table(columns), f"{tmpdir_path}/events.parquet")
+    reg = load_all()
+    sessions = {(r.item_a, r.item_b): r.weight for r in reg["stream_covisitation"].build(spark, tmpdir_path).collect()}
+    assert sessions == {("8", "9"): 667, ("9", "8"): 667}
+    r = reg["stream_experiment_significance"].build(spark, tmpdir_path).first()
+    assert r.control_requests + r.treatment_requests == 2000 + 667 + 2 and r.control_interactions + r.treatment_interactions == 667
+    p1, p2 = r.control_interactions / r.control_requests, r.treatment_interactions / r.treatment_requests
+    pool = 667 / 2669
+    z = (p2 - p1) / (pool * (1 - pool) * (1 / r.control_requests + 1 / r.treatment_requests)) ** 0.5
+    assert abs(r.z_score - z) < 1e-5 and r.status in ("significant", "not significant") and r.p_value is not None
+
+
+def test_system_stats_full_lists_types_and_categories(spark):
+    from pyspark.sql import functions as F
+
+    from rivulet.operators import aggregates as A
+    items = spark.range(24).select(F.col("id").cast("string").alias("item_id"), F.concat(F.lit("t"), F.col("id") % 3).alias("content_type"),
+                                   F.concat(F.lit("c"), F.col("id") % 12).alias("category"))
+    inter = spark.range(40).select(F.lit("u").alias("user_id"), (F.col("id") % 25).cast("string").alias("item_id"),
+                                   F.lit("2024-01-01").cast("timestamp").alias("timestamp"))
+    r = A.system_stats_full(spark, spark.range(1), items, inter, inter.agg(F.max("timestamp")).scalar()).first()
+    assert (r.item_types, r.item_type_counts) == (["t0", "t1", "t2"], [8, 8, 8])
+    # items 0..14 twice, 15..24 once; item 24 is unknown
+    n = {f"c{k}": sum(2 if i < 15 else 1 for i in (k, k + 12)) for k in range(12)} | {None: 1}
+    expect = sorted(n.items(), key=lambda x: (-x[1], x[0] is None, x[0] or ""))[:10]
+    assert list(zip(r.categories, r.category_counts)) == expect and r.top_category == expect[0][0]
