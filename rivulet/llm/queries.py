@@ -90,9 +90,11 @@ def op13_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def spans(of):
         return F.array_join(F.transform(of, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
-    numbers = [F.size(F.filter(found, lambda f, kind=kind: f["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    def number(kind):
+        return F.size(F.filter(found, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter(found, lambda f: f["kind"] != "literal")
-    return secret_scan.scan(documents(spark, sf_dir)).select("doc_id", *numbers, F.sha2(spans(base).cast("binary"), 256).alias("base_sha256"),
+    return secret_scan.scan(documents(spark, sf_dir)).select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(spans(base).cast("binary"), 256).alias("base_sha256"),
                                                              spans(found).alias("spans"))
 
 
