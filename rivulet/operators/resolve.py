@@ -3,21 +3,23 @@
 Similarity is the token-sort ratio: words sorted and re-joined, then
 ``100 * 2 * LCS / (len a + len b)`` on characters.
 
-Exact blocking (segment filter).  ratio >= t' means the insert/delete
-distance d = la + lb - 2L is at most (1 - t')(la + lb) <= 2 (1 - t') la / t'
-for every feasible partner.  Cutting a key into d_max + 1 segments, one
-segment survives every alignment unchanged and appears in the partner as a
-substring starting within d_max positions, so joining segments to
-substrings of the same text on equality finds every match; candidates are
-verified with the exact ratio (bit-parallel LCS, vectorised per batch).
-Only distinct keys take part, so a boiler-plate title repeated by a third of
-the rows is one key.
+The join is exact on whole keys.  A ratio of at least t means at most
+d = (1 - t) (la + lb) insertions and deletions, and each of them changes the
+counts of a key's q-grams by at most 2q - 1.  Every distinct key gets a
+signature of hashed q-gram counts (q = 1, 2, 3) of fixed size; hashing and
+clipping only bring counts nearer, so keys whose signatures are further apart
+than (2q - 1) d cannot match.  Keys meet by band of length, split into blocks
+of bounded size; a task compares two blocks of signatures as arrays and only
+passes on pairs that all three bounds allow.  Those alone fetch their texts
+and are verified by the exact ratio.  Only distinct keys take part, so a
+boiler-plate title repeated by a third of the rows is one key.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,23 +69,33 @@ def _lcs_with(masks: dict[str, int], la: int, b: str) -> int:
     return la - bin(v).count("1")
 
 
+def shared_ends(a: str, b: str) -> tuple[int, int]:
+    """Lengths of the common beginning, and of the common end after it; both
+    belong to some longest common subsequence."""
+    n = min(len(a), len(b))
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    if not len(differ):
+        return n, 0
+    head = int(differ[0])
+    m = n - head
+    differ = np.flatnonzero(x[len(a) - m:][::-1] != y[len(b) - m:][::-1])
+    return head, int(differ[0]) if len(differ) else m
+
+
 def ratio_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratios for many pairs; the masks of each distinct left string are
-    built once per batch."""
-    cache: dict[str, dict[str, int]] = {}
+    """Ratios for many pairs.  Common ends are taken off by array comparison;
+    what is left between them goes through the bit-parallel recurrence."""
     out = []
     for x, y in zip(a, b):
         x, y = x or "", y or ""
-        if not x and not y:
-            out.append(100.0)
-            continue
         if not x or not y:
-            out.append(0.0)
+            out.append(100.0 if x == y else 0.0)
             continue
-        m = cache.get(x)
-        if m is None:
-            m = cache[x] = _masks(x)
-        out.append(200.0 * _lcs_with(m, len(x), y) / (len(x) + len(y)))
+        head, tail = shared_ends(x, y)
+        p, q = sorted((x[head:len(x) - tail], y[head:len(y) - tail]), key=len)
+        same = head + tail + (_lcs_with(_masks(p), len(p), q) if p else 0)
+        out.append(200.0 * same / (len(x) + len(y)))
     return pd.Series(out)
 
 
@@ -118,20 +130,51 @@ def token_sort_similarity(a, b) -> F.Column:
 
 # ------------------------------------------------------------ similarity join
 
-def max_edits(t: float) -> float:
-    """Insert/delete edits allowed per character of a key: ratio >= t'
-    means d = la + lb - 2L <= (1 - t')(la + lb), and lb <= la (2 - t') / t',
-    so d <= 2 (1 - t') la / t'."""
-    tp = t / 100.0
-    return 2.0 * (1.0 - tp) / tp
+#: Buckets of a signature's counts of single characters, pairs and triples.
+BUCKETS = (48, 96, 112)
+#: Keys of a block; a task compares two of them.
+BLOCK_KEYS = 1024
 
 
-def _seg_bounds(n: F.Column, kk: F.Column, i: F.Column):
-    """Start (0-based) and length of segment i of n characters in kk+1 parts."""
-    parts = kk + 1
-    st = F.floor(i * n / parts)
-    en = F.floor((i + 1) * n / parts)
-    return st, en - st
+def signature(key: str) -> bytes:
+    """Counts of the key's hashed q-grams, as packed 16-bit numbers."""
+    c = np.frombuffer(key.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    out, gram = [], np.zeros(len(c), np.uint64)
+    for q, n in enumerate(BUCKETS, 1):
+        if len(c) < q:
+            out.append(np.zeros(n, np.int64))
+            continue
+        gram = gram[:len(c) - q + 1] * np.uint64(0x9E3779B97F4A7C15) + c[q - 1:] + np.uint64(1)
+        mixed = (gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(np.bincount(((mixed >> np.uint64(33)) % np.uint64(n)).astype(np.int64), minlength=n))
+    return np.minimum(np.concatenate(out), 0x7FFF).astype("<i2").tobytes()
+
+
+def near_signatures(la, sa, fa, lb, sb, fb, t: float, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs whose lengths and counts allow a ratio >= t.
+    f: sides a key is on (1, 2 or 3); a pair needs one on each.  ``within``:
+    both sides are the same block, each pair counts once."""
+    tp, found = t / 100.0, []
+    ends = np.cumsum((0, *BUCKETS))
+    order = np.argsort(lb, kind="stable")
+    lb_sorted = lb[order]
+    reach = (2.0 - tp) / tp * (1 + 1e-9)
+    for i in range(len(la)):
+        j = order[np.searchsorted(lb_sorted, la[i] / reach):np.searchsorted(lb_sorted, la[i] * reach, "right")]
+        if within:
+            j = j[j > i]
+        j = j[((fa[i] & 1) & (fb[j] >> 1)) | ((fa[i] >> 1) & (fb[j] & 1)) != 0]
+        for q in range(len(BUCKETS)):
+            if not len(j):
+                break
+            allowed = (2 * q + 1) * ((1.0 - tp) * (la[i] + lb[j]) + 1e-6)
+            cols = slice(ends[q], ends[q + 1])
+            j = j[np.abs(sb[j, cols] - sa[i, cols]).sum(axis=1, dtype=np.int64) <= allowed]
+        if len(j):
+            found.append((np.full(len(j), i), j))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _parallelism(df: DataFrame) -> int:
@@ -139,56 +182,73 @@ def _parallelism(df: DataFrame) -> int:
     return max(2, df.sparkSession.sparkContext.defaultParallelism * 2)
 
 
-def similar_keys(keys: DataFrame, t: float, min_seg: int = 2) -> DataFrame:
-    """(ka, kb, score) for distinct token-sorted keys ka < kb with ratio >= t.
-
-    Exact segment filter (pigeonhole, as in PassJoin): a key with at most
-    k = floor(c * len) edits to any feasible partner is cut into k + 1
-    segments; every edit touches at most one segment, so one segment occurs
-    unchanged in the partner, shifted by at most k positions.  Segments are
-    joined to the partners' substrings of the same text, then verified.
-    Keys whose segments would be shorter than ``min_seg`` meet every key of
-    a compatible length instead (an equi-join per allowed length).  Works on
-    distinct keys, so a key repeated by many rows costs one key."""
-    par = _parallelism(keys)
-    # explicit partition counts: AQE would otherwise coalesce the small key
-    # set into one task, and everything it fans out into would follow
-    keys = keys.select("k").distinct().repartition(par).withColumn("len", F.length("k"))
-    c = max_edits(t)
+def candidate_pairs(keys: DataFrame, t: float) -> DataFrame:
+    """(ha, hb): hashes of the keys (h, len, sig, side) whose signatures allow
+    a ratio >= t.  Lengths of partners differ by a factor of (2 - t) / t at
+    most, so they are in the same band of that width or in the next one."""
     tp = t / 100.0
-    kk = F.floor(F.lit(c) * F.col("len")).cast("int")
-    seg_ok = F.floor(F.col("len") / (kk + 1)) >= min_seg
-    long_k = keys.filter(seg_ok)
-    segs = (long_k.select("k", "len", kk.alias("kk"), F.explode(F.sequence(F.lit(0), kk)).alias("i")))
-    st, ln = _seg_bounds(F.col("len"), F.col("kk"), F.col("i"))
-    segs = segs.select("k", "len", "kk", st.cast("int").alias("sa"),
-                       F.substring("k", (st + 1).cast("int"), ln.cast("int")).alias("g"))
-    # substrings of every key at the segment lengths its partners may use
-    lmin = F.ceil(F.col("len") * F.lit(tp / (2.0 - tp)))
-    smin = F.greatest(F.lit(min_seg), F.floor(lmin / (F.lit(c) * lmin + 1))).cast("int")
-    smax = F.lit(int(math.ceil(1.0 / c))).cast("int")
-    subs = keys.select("k", "len", F.explode(F.sequence(smin, F.greatest(smin, smax))).alias("w"))
-    subs = subs.filter(F.col("w") <= F.col("len")).select(
-        "k", "len", "w", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("w"))).alias("sb"))
-    subs = subs.select(F.col("k").alias("kb"), F.col("len").alias("lb"), "sb",
-                       F.substring("kb", (F.col("sb") + 1).cast("int"), F.col("w")).alias("g"))
-    cand = (segs.join(subs, "g")
-            .filter((F.col("k") != F.col("kb")) & (F.abs(F.col("sb") - F.col("sa")) <= F.col("kk")) &
-                    (2.0 * F.least(F.col("len"), F.col("lb")) >= F.lit(tp) * (F.col("len") + F.col("lb"))))
-            .select(F.least("k", "kb").alias("ka"), F.greatest("k", "kb").alias("kb")))
-    # short keys: equi-join on every partner length allowed by the length filter
-    short = keys.filter(~seg_ok)
-    lo = F.ceil(F.col("len") * F.lit(tp / (2.0 - tp)))
-    hi = F.floor(F.col("len") * F.lit((2.0 - tp) / tp))
-    sa = short.select(F.col("k").alias("k1"), F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("l2"))
-    sb = keys.select(F.col("k").alias("k2"), F.col("len").alias("l2"))
-    sc = sa.join(sb, "l2").filter(F.col("k1") != F.col("k2"))
-    short_c = sc.select(F.least("k1", "k2").alias("ka"), F.greatest("k1", "k2").alias("kb"))
-    # co-locate and sort candidates by left key so each Arrow batch reuses
-    # the bit masks of its left strings
-    pairs = (cand.unionByName(short_c).distinct()
-             .repartition(par, "ka").sortWithinPartitions("ka"))
-    return pairs.withColumn("score", ratio_udf("ka", "kb")).filter(F.col("score") >= t)
+    step = math.log((2.0 - tp) / tp * 1.0001)
+    keys = keys.withColumn("band", F.floor(F.log(F.col("len").cast("double")) / step).cast("int"))
+    # bands are a logarithm of the longest key: a few dozen numbers
+    blocks = {r["band"]: -(-r["n"] // BLOCK_KEYS) for r in keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not blocks:
+        return keys.select(F.col("h").alias("ha"), F.col("h").alias("hb")).where(F.lit(False))
+    table = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])
+
+    def count(band):
+        return F.coalesce(F.try_element_at(table, band), F.lit(0))
+
+    def others(n):  # block numbers 0 to n - 1
+        return F.filter(F.sequence(F.lit(-1), n - 1), lambda x: x >= 0)
+
+    band = F.col("band")
+    placed = keys.withColumn("block", F.pmod(F.xxhash64("h"), count(band)).cast("int"))
+    block = F.col("block")
+    meets = F.concat(
+        F.transform(others(count(band)), lambda j: F.struct(band.alias("p"), F.least(block, j).alias("i"), band.alias("q"), F.greatest(block, j).alias("j"),
+                                                             F.when(block == j, 2).when(block < j, 0).otherwise(1).alias("part"))),
+        F.transform(others(count(band + 1)), lambda j: F.struct(band.alias("p"), block.alias("i"), (band + 1).alias("q"), j.alias("j"), F.lit(0).alias("part"))),
+        F.transform(others(count(band - 1)), lambda j: F.struct((band - 1).alias("p"), j.alias("i"), band.alias("q"), block.alias("j"), F.lit(1).alias("part"))))
+    dealt = placed.select("h", "len", "sig", "side", F.explode(meets).alias("m")).select("h", "len", "sig", "side", "m.*")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for part in ((0, 2), (1, 2)):
+            own = pdf[pdf["part"].isin(part)]
+            sig = np.frombuffer(b"".join(own["sig"]), "<i2").reshape(len(own), sum(BUCKETS)).astype(np.int32)
+            sides.append((own["len"].to_numpy(np.int64), sig, own["side"].to_numpy(np.int64), own["h"].to_numpy(np.int64)))
+        (la, sa, fa, ha), (lb, sb, fb, hb) = sides
+        i, j = near_signatures(la, sa, fa, lb, sb, fb, t, bool((pdf["part"] == 2).any()))
+        return pd.DataFrame({"ha": ha[i], "hb": hb[j]})
+
+    # without a count of its own, AQE would put the few small groups into one task
+    return (dealt.repartition(_parallelism(keys), "p", "i", "q", "j").groupBy("p", "i", "q", "j")
+            .applyInPandas(compare, "ha long, hb long"))
+
+
+def similar_keys(keys: DataFrame, t: float, partners: DataFrame | None = None) -> DataFrame:
+    """(ka, kb, score) for distinct token-sorted keys ka < kb with ratio >= t;
+    given ``partners``, only pairs of a key of ``keys`` and one of those.
+    Works on distinct whole keys, so a key repeated by many rows costs one
+    key; empty and null keys match nothing."""
+    par = _parallelism(keys)
+    own = keys.select("k", F.lit(1 if partners is not None else 3).alias("side"))
+    if partners is not None:
+        own = own.unionByName(partners.select("k", F.lit(2).alias("side")))
+    own = own.where("k <> ''").groupBy("k").agg(F.bit_or("side").alias("side"))
+
+    @F.pandas_udf("binary")
+    def signatures(k: pd.Series) -> pd.Series:
+        return k.map(signature)
+
+    own = _cut(own.repartition(par).select("k", F.xxhash64("k").alias("h"), F.length("k").alias("len"), "side", signatures("k").alias("sig")))
+    cand = candidate_pairs(own.select("h", "len", "sig", "side"), t)
+    texts = own.select("h", "k")
+    pairs = (cand.join(texts.select(F.col("h").alias("ha"), F.col("k").alias("x")), "ha")
+             .join(texts.select(F.col("h").alias("hb"), F.col("k").alias("y")), "hb")
+             .select(F.least("x", "y").alias("ka"), F.greatest("x", "y").alias("kb")).where("ka <> kb"))
+    scored = pairs.repartition(par, "ka", "kb").withColumn("score", ratio_udf("ka", "kb"))
+    return scored.filter(F.col("score") >= t)
 
 
 def key_pairs(rows: DataFrame, t: float, key: str = "key") -> DataFrame:
@@ -209,7 +269,7 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     lk = left.select("id", token_sort("key").alias("k"))
     rk = right.select("id", "ord", token_sort("key").alias("k"))
     rep = rank_within(rk, ["k"], [F.col("ord").asc()], 1, "_r").drop("_r")
-    sk = similar_keys(lk.select("k").unionByName(rk.select("k")), t)
+    sk = similar_keys(lk.select("k"), t, rep.select("k"))
     both = (sk.select("ka", "kb", "score")
             .unionByName(sk.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"), "score"))
             .unionByName(rep.select(F.col("k").alias("ka"), F.col("k").alias("kb"), F.lit(100.0).alias("score"))))

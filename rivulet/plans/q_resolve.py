@@ -33,11 +33,11 @@ def token_sort_similarity_q(spark, sf):
 
 @register("fuzzy_best_match", "2.4")
 def fuzzy_best_match_q(spark, sf):
-    """Each document's second line (first 80 characters) against all corpus
+    """Each document's whole second line against all corpus
     titles: the best title with ratio >= 88, ties to the lowest doc id."""
     c = B.corpus(spark, sf)
     second = F.try_element_at(F.split("text", "\n"), F.lit(2))
-    left = (c.select(F.col("doc_id").alias("id"), norm_title(F.substring(second, 1, 80)).alias("key"))
+    left = (c.select(F.col("doc_id").alias("id"), norm_title(second).alias("key"))
             .filter(F.col("key").isNotNull() & (F.col("key") != "")))
     right = c.select(F.col("doc_id").alias("id"), norm_title("title").alias("key"), F.col("doc_id").alias("ord"))
     return RS.fuzzy_best_match(left, right, 88.0).select("l_id", "r_id", F.round("score", 6).alias("score"))

@@ -139,13 +139,12 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with their first line, and its first 80 characters as the
-    title that the similarity join of titles compares."""
+    """Documents with their whole first line as the title."""
     d = raw(spark, sf, "documents")
     first = F.substring_index("text", "\n", 1)
     return d.select(
         "doc_id", "text", "lang", "source",
-        F.substring(first, 1, 80).alias("title"),
+        first.alias("title"),
         first.alias("first_line"),
     )
 
@@ -271,7 +270,7 @@ _define("outcomes", [], f"""
 
 _define("corpus", [], """
   SELECT doc_id, text, lang, source,
-         substr(split_part(text, chr(10), 1), 1, 80) AS title
+         split_part(text, chr(10), 1) AS title
   FROM documents""")
 
 _define("part_queries", [], """

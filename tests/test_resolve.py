@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 from rivulet.functions.scalars import norm_title
 from rivulet.operators import resolve as RS
 from rivulet.sources import binding as B
@@ -29,7 +29,7 @@ def test_lcs_bit_parallel_matches_dp():
 
 @pytest.fixture(scope="module")
 def titles(spark):
-    rows = (B.corpus(spark, SF_MID).select("doc_id", "source", norm_title("title").alias("t"))
+    rows = (B.corpus(spark, SF_MID).select("doc_id", "source", norm_title(F.substring("title", 1, 80)).alias("t"))
             .orderBy("source", "doc_id").collect())
     return [(r.doc_id, r.t) for r in rows]
 
@@ -43,6 +43,45 @@ def test_similar_keys_equals_brute_force(spark, titles, t):
     assert got == brute
 
 
+@pytest.mark.parametrize("t", [80.0, 88.0, 90.0])
+@pytest.mark.parametrize("block", [1024, 8])
+def test_similar_keys_of_whole_lines(spark, monkeypatch, t, block):
+    """Whole first lines, up to thousands of characters, in blocks of any size."""
+    monkeypatch.setattr(RS, "BLOCK_KEYS", block)
+    rows = B.corpus(spark, SF_SMALL).select(RS.token_sort(norm_title("title")).alias("k")).distinct().collect()
+    keys = sorted(r.k for r in rows if r.k)
+    assert max(map(len, keys)) > 1000
+    brute = {}
+    for i, a in enumerate(keys):
+        for b in keys[i + 1:]:
+            if 2 * min(len(a), len(b)) >= t / 100 * (len(a) + len(b)) and (r := RS.ratio(a, b)) >= t:
+                brute[a, b] = r
+    df = spark.createDataFrame([(k,) for k in [*keys, *keys[:5], "", None]], "k string")
+    got = RS.similar_keys(df, t).collect()
+    assert {(r.ka, r.kb): r.score for r in got} == pytest.approx(brute) and len(got) == len(brute) and brute
+    some, rest = set(keys[::3]), set(keys[1::2])
+    pairs = RS.similar_keys(df.where(F.col("k").isin(*some)), t, df.where(F.col("k").isin(*rest))).collect()
+    assert {(r.ka, r.kb) for r in pairs} == {(a, b) for a, b in brute if (a in some and b in rest) or (b in some and a in rest)}
+
+
+def test_signature_bounds_hold():
+    import random
+
+    import numpy as np
+    rnd = random.Random(5)
+    ends = np.cumsum((0, *RS.BUCKETS))
+    for _ in range(2000):
+        a, b = ("".join(rnd.choice("abcdé ") for _ in range(rnd.randint(1, 40))) for _ in range(2))
+        if rnd.random() < 0.7:
+            b = "".join(c for c in a if rnd.random() < 0.9) + "x"
+        d = len(a) + len(b) - 2 * RS.lcs_len(a, b)
+        x, y = (np.frombuffer(RS.signature(s), "<i2").astype(int) for s in (a, b))
+        for q in range(3):
+            assert np.abs(x[ends[q]:ends[q + 1]] - y[ends[q]:ends[q + 1]]).sum() <= (2 * q + 1) * d
+        import pandas as pd
+        assert RS.ratio_batch(pd.Series([a]), pd.Series([b]))[0] == pytest.approx(RS.ratio(a, b))
+
+
 def test_dedup_equals_sequential_loop(spark, titles):
     kept, norms = [], []
     for doc_id, t in titles:
