@@ -39,15 +39,15 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_boilerplate(documents(spark, sf_dir), MIN_SITES)
-    return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"),
-                      F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("clean_sha256"))
+    out = line_dedup.clean_rows(documents(spark, sf_dir), MIN_SITES)
+    return out.select("row.doc_id", F.col("lines").cast("long").alias("n_lines"), F.col("removed").cast("long").alias("n_removed"),
+                      F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256).alias("clean_sha256"))
 
 
 def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_boilerplate(documents(spark, sf_dir), MIN_SITES, long_words=LONG_WORDS, long_sites=LONG_SITES)
-    return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"),
-                      F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("clean_sha256"))
+    out = line_dedup.clean_rows(documents(spark, sf_dir), MIN_SITES, long_words=LONG_WORDS, long_sites=LONG_SITES)
+    return out.select("row.doc_id", F.col("lines").cast("long").alias("n_lines"), F.col("removed").cast("long").alias("n_removed"),
+                      F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256).alias("clean_sha256"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

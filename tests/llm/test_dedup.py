@@ -54,7 +54,7 @@ def test_exact_dedup_of_nothing(spark, nothing, tmpdir_path):
     assert exact_dedup.exact_dedup(spark, f"{tmpdir_path}/documents.parquet").count() == 0
 
 
-def brute_lines(rows, min_sites):
+def brute_lines(rows, min_sites, long_words=None, long_sites=2):
     """(id, lines, removed, text) per row."""
     last = (1 << 63) - 1
     sites, keeper = defaultdict(set), {}
@@ -67,7 +67,9 @@ def brute_lines(rows, min_sites):
     for r in rows:
         lines = (r[1] or "").split("\n")
         own = last if r[0] is None else r[0]
-        left = [x for x in lines if not (x in sites and len(sites[x]) >= min_sites and keeper[x] != own)]
+        need = {x: long_sites if long_words is not None and len(x.replace("\t", " ").replace("\r", " ").split(" ")) - x.replace("\t", " ").replace("\r", " ").split(" ").count("") > long_words
+                else min_sites for x in lines}
+        left = [x for x in lines if not (x in sites and len(sites[x]) >= need[x] and keeper[x] != own)]
         out.append((r[0], len(lines), len(lines) - len(left), r[1] if len(left) == len(lines) else "\n".join(left)))
     return sorted(out, key=str)
 
@@ -108,6 +110,40 @@ def test_long_passages_go_from_two_sites_on(spark):
     assert found[5]["_removed"] == 0
 
 
+NAMES = ("_ID", "_key", "_lines", "_removed", "_drop", "_kept", "row", "at", "key", "lines", "removed", "split", "text_key")
+
+
+def clashing(spark, rows):
+    """The rows with a column of each name that an operator uses itself."""
+    return spark.createDataFrame([(*r[:5], *(f"{n} {k}" for n in NAMES)) for k, r in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES))
+
+
+def test_clashing_columns_come_back_unchanged(spark, odd_rows):
+    import corpus_pipeline
+    from llm.conftest import row
+    rows = odd_rows + [row(30 + k, f"shared line\nown {k}\nshared line", f"s{k}") for k in range(8)]
+    docs = clashing(spark, rows)
+    out = line_dedup.remove_boilerplate(docs, 2)
+    assert out.columns == [*docs.columns, "__lines", "__removed"]
+    cleaned = brute_lines(rows, 2)
+    assert sorted(((r["doc_id"], r["__lines"], r["__removed"], r["text"]) for r in out.collect()), key=str) == cleaned
+    whole = {tuple(r) for r in docs.select("doc_id", *NAMES).collect()}
+    assert {tuple(r) for r in out.select("doc_id", *NAMES).collect()} == whole
+    kept = jaccard_trie.keep_one(docs, 3, 90)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+    stage = corpus_pipeline.line_dedup_stage(spark, docs, None)
+    assert stage.columns == docs.columns and {tuple(r) for r in stage.select("doc_id", *NAMES).collect()} <= whole
+
+
+def test_many_lines_of_one_text(spark):
+    from llm.conftest import KIND, row
+    rows = [row(1, "\n".join(f"line {k}" for k in range(30_000)), "a"), row(2, "\n".join(f"line {k}" for k in range(0, 30_000, 2)), "b"),
+            row(3, "\n".join([*(f"line {k}" for k in range(1, 30_000, 2)), "own", "own"]), "c")]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, KIND), 2).collect()
+    assert sorted((r["doc_id"], r["_lines"], r["_removed"], r["text"]) for r in got) == brute_lines(rows, 2)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
