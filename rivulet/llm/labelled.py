@@ -16,7 +16,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rem
     """(rows, weights): doc_id, y and text of up to ``per_class`` rows of each
     class, chosen by a hash of the id among rows that are not held out, and
     the weight that restores each class's share.  Null labels and ids drop out;
-    of repeated labels of an id the larger counts."""
+    of repeated labels of an id the larger counts, of repeated rows of an id
+    the text with the smallest hash."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
              .where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
              .where(~held_out(F.col("doc_id"), modulus, remainder)))
@@ -28,5 +29,6 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rem
     if chosen is None:
         chosen = known
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class ids
+    rows = (text.join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class ids
+            .groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")))
     return rows, {y: n / min(n, per_class) for y, n in counts.items()}

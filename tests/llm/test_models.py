@@ -129,3 +129,11 @@ def test_word_features():
     assert of("1d10t")[at["hidden"]] == 1 and of("stuuupid")[at["hidden"]] == 1 and of("fine")[at["hidden"]] == 0
     assert of("vequment le")[at["strong"]] == 0.5 and of("")[0] == 0
     assert of("GO AWAY NOW")[at["capitals"]] == 1 and of("i d i o t")[at["spelled"]] > 0
+
+
+def test_a_labelled_id_repeated_is_one_row(spark):
+    docs = spark.range(5000).selectExpr("1L as doc_id", "concat('text ', id % 7) as text").union(spark.range(2, 40).selectExpr("id", "'other'"))
+    labels = spark.range(1, 40).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    rows, weights = fit_sample(docs, labels, "quality", 4, 2, per_class=20)
+    got = rows.collect()
+    assert len(got) <= 40 and len({r["doc_id"] for r in got}) == len(got)
