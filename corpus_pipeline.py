@@ -2,8 +2,9 @@
 
 1. quality: documents that the quality classifier rejects go
 2. toxicity: documents that the toxicity model rejects go
-3. line_dedup: lines on many sites stay in one document only; a document
-   that loses all its lines goes, as each of them stays elsewhere
+3. line_dedup: lines on many sites, and passages (lines of over 50 words) on
+   two or more, stay in one document only; a document that loses all its lines
+   goes, as each of them stays elsewhere
 4. near_dedup: one document of each group of near copies stays (five-word
    shingles, Jaccard 0.8)
 5. packing: the rest is packed into sequences of 4,096 tokens
@@ -28,6 +29,8 @@ from rivulet.session import configure
 QUALITY_FROM = 0.7
 TOXIC_FROM = 0.5
 MIN_SITES = 6
+#: A passage: a line of more words, spread from this many distinct sites on.
+LONG_WORDS, LONG_SITES = 50, 2
 SHINGLE, PERCENT = 5, 80
 CAPACITY = 4096
 
@@ -50,13 +53,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    cleaned = line_dedup.remove_boilerplate(docs, MIN_SITES)
-    emptied = (F.col("_removed") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
-    out = cleaned.where(~F.coalesce(emptied, F.lit(False)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-                             .cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    cleaned = line_dedup.clean_rows(docs, MIN_SITES, long_words=LONG_WORDS, long_sites=LONG_SITES)
+    emptied = (F.col("removed") > 0) & (F.trim(F.translate("row.text", "\n\t\r", "   ")) == "")
+    own = {c: F.col("row")[c] for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("removed") > 0, F.length("row.text")).otherwise(own["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return cleaned.where(~F.coalesce(emptied, F.lit(False))).select(*[v.alias(c) for c, v in own.items()])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
