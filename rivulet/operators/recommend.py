@@ -265,6 +265,12 @@ def popular_list(items: DataFrame, k: int, content_type: str | None = None) -> D
     return popular_items(items, k, content_type)
 
 
+def newest_items(inter: DataFrame, n: int) -> DataFrame:
+    """(user_id, item_id, rank) of each user's ``n`` newest interactions."""
+    newest = [F.col("timestamp").desc()] + [F.col(c).asc() for c in ("seq_a", "seq_b", "seq_c", "seq_d") if c in inter.columns]
+    return rank_within(inter, ["user_id"], newest, n).select("user_id", "item_id", "rank")
+
+
 def candidates(spark: SparkSession, users: DataFrame, inter: DataFrame, items: DataFrame,
                covis: DataFrame, similar: DataFrame | None, n: int = 500,
                content_type: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -273,8 +279,7 @@ def candidates(spark: SparkSession, users: DataFrame, inter: DataFrame, items: D
     items, minus everything the user has interacted with and what ``exclude``
     (user_id, item_id) lists; first ``n`` by id, topped up from the popular
     list."""
-    newest = [F.col("timestamp").desc()] + [F.col(c).asc() for c in ("seq_a", "seq_b", "seq_c", "seq_d") if c in inter.columns]
-    rec = rank_within(inter, ["user_id"], newest, 10).select("user_id", "item_id", "rank")
+    rec = newest_items(inter, 10)
     seen = _seen(inter, exclude)
     top_cov = rank_within(covis, ["item_a"], [F.col("weight").desc(), F.col("item_b").asc()], 20, "_r")
     s1 = (rec.select("user_id", F.col("item_id").alias("item_a"))

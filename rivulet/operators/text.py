@@ -1,18 +1,16 @@
 """Text and vector operators.
 
-Vectors are kept in long form ``(id, term, weight)``.  Scoring a batch of
-queries is a join on term (work = postings of the query terms).  Item-to-item
-similarity over a whole catalogue is all-pairs by nature; it runs as a blocked
-matrix product: items are hashed into B blocks, each (block, block) pair is one
-task that multiplies two dense blocks with numpy and emits only its top-k per
-row, and a final windowed top-k merges the B partial lists.  No pair rows are
-ever materialised and no group holds more than two blocks.
+Vectors are kept in long form ``(id, term, weight)`` or as rows of term
+numbers and weights.  The k documents with the largest inner product are found
+with bounds: documents are laid out in blocks by the term that weighs most in
+them, a block's largest weight per term bounds every score in it, and a query
+goes only to blocks whose bound reaches the k-th score that it already has.  A
+task multiplies one block with the queries that need it and lets at most k
+rows per query out.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -89,76 +87,106 @@ def vector_search(spark: SparkSession, queries: DataFrame, docs: DataFrame, id_c
                   k: int = 10, max_features: int = 1000, threshold: float = 0.01) -> DataFrame:
     """Query text through the corpus model; cosine > threshold; top k."""
     vocab = fit_tfidf(spark, docs, id_col, text, max_features)
-    dvec = tfidf_vectors(spark, docs, id_col, text, vocab)
-    qvec = tfidf_vectors(spark, queries, "query_id", "text", vocab)
-    s = score_queries(qvec, dvec).withColumn("similarity", F.round("similarity", 9))
-    s = s.filter(F.col("similarity") > threshold)
-    return rank_within(s, ["query_id"], [F.col("similarity").desc(), F.col("item_id").asc()], k)
+    dvec = sparse_rows(tfidf_vectors(spark, docs, id_col, text, vocab), vocab)
+    qvec = sparse_rows(tfidf_vectors(spark, queries, "query_id", "text", vocab), vocab)
+    out = topk_inner(qvec, dvec, max_features, k).where(F.col("similarity") > threshold)
+    return out.select(F.col("id").alias("query_id"), F.col("other").alias("item_id"), "similarity", "rank")
+
+
+# ------------------------------------------------------ top-k inner products
+
+#: Documents of a block, queries that meet it in one task, and blocks that a
+#: query's first scores come from.
+BLOCK_ROWS, TOGETHER, SEEDS = 1024, 2048, 2
+
 
+def _blocks(docs: DataFrame, dim: int) -> DataFrame:
+    """``docs`` with ``block``: about BLOCK_ROWS documents that weigh the same
+    or neighbouring terms most, so that blocks differ in their maxima."""
+    main = F.try_element_at("idx", F.array_position(F.transform("val", F.abs), F.array_max(F.transform("val", F.abs))).cast("int"))
+    docs = docs.withColumn("main", F.coalesce(main, F.lit(-1)))
+    counts = docs.groupBy("main").agg(F.count(F.lit(1)).alias("n"))  # at most dim + 1 rows
+    before = Window.orderBy("main").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = docs.join(F.broadcast(counts), "main")
+    block = F.floor((F.col("start") + F.pmod(F.xxhash64("id"), F.col("n"))) / BLOCK_ROWS).cast("int")
+    return placed.select("id", "idx", "val", block.alias("block"))
 
-# ------------------------------------------------------ blocked all-pairs kNN
 
-def _blocks_for(n_rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(n_rows / block_rows))
+def _bounds(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query, block, bound): no document of the block scores higher.  A
+    block's largest and smallest weight of each term, zero where some document
+    lacks it, times the query's.  Blocks without a term of the query are out."""
+    weights = blocks.select("block", F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy("block", F.col("e.idx").alias("t")).agg(
+        F.greatest(F.max("e.val"), F.lit(0.0)).alias("hi"), F.least(F.min("e.val"), F.lit(0.0)).alias("lo"))
+    terms = queries.select(F.col("id").alias("query"), F.explode(F.arrays_zip("idx", "val")).alias("e")).select("query", F.col("e.idx").alias("t"), F.col("e.val").alias("w"))
+    return (terms.join(weights, "t").groupBy("query", "block")
+            .agg(F.sum(F.when(F.col("w") >= 0, F.col("w") * F.col("hi")).otherwise(F.col("w") * F.col("lo"))).alias("bound")))
 
 
-def _knn_block_fn(k: int, dim: int, exclude_self: bool, threshold: float | None):
+def _best_in_block(k: int, dim: int, exclude_self: bool, positive: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["side"] == 0]
-        right = pdf[pdf["side"] == 1]
-        out_cols = {"id": [], "other": [], "similarity": []}
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame(out_cols)
+        asks = pdf[pdf["asks"]]
+        docs = pdf[~pdf["asks"]].sort_values("id", kind="stable")  # ties keep id order
 
         def dense(part):
-            m = np.zeros((len(part), dim), dtype=np.float64)
+            m = np.zeros((len(part), dim))
             for r, (idx, val) in enumerate(zip(part["idx"], part["val"])):
-                m[r, np.asarray(idx, dtype=np.int64)] = np.asarray(val, dtype=np.float64)
+                m[r, np.asarray(idx, np.int64)] = np.asarray(val, np.float64)
             return m
 
-        # Right side in id order + a stable sort: ties on the (rounded)
-        # similarity keep id order, matching the final (sim desc, id) rank.
-        right = right.sort_values("id", kind="stable")
-        a, b = dense(left), dense(right)
-        sims = np.round(a @ b.T, 9)
-        lid = left["id"].to_numpy()
-        rid = right["id"].to_numpy()
+        sims = np.round(dense(asks) @ dense(docs).T, 9)
+        ask_id, doc_id = asks["ask"].to_numpy(), docs["id"].to_numpy()
+        sims[~np.isfinite(sims)] = -np.inf
+        if positive:
+            sims[sims <= 0] = -np.inf
         if exclude_self:
-            sims[lid[:, None] == rid[None, :]] = -np.inf
-        kk = min(k, sims.shape[1])
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(len(lid)), kk)
-        cols = top.ravel()
-        vals = sims[rows, cols]
-        keep = np.isfinite(vals)
-        if threshold is not None:
-            keep &= vals > threshold
-        return pd.DataFrame({"id": lid[rows[keep]], "other": rid[cols[keep]],
-                             "similarity": vals[keep]})
+            sims[ask_id[:, None] == doc_id[None, :]] = -np.inf
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        rows, cols = np.repeat(np.arange(len(ask_id)), top.shape[1]), top.ravel()
+        keep = np.isfinite(sims[rows, cols])
+        return pd.DataFrame({"id": ask_id[rows[keep]], "other": doc_id[cols[keep]], "similarity": sims[rows[keep], cols[keep]]})
     return run
 
 
-def knn_all_pairs(vectors: DataFrame, dim: int, k: int, n_blocks: int,
-                  exclude_self: bool = True, threshold: float | None = None) -> DataFrame:
-    """Exact top-k cosine neighbours of every row of ``vectors``
-    (id long/string, idx array<int>, val array<double>, unit-normalised).
-
-    Each row is copied to the B tasks of its block row (as left side) and to
-    the B tasks of its block column (as right side)."""
-    blk = F.pmod(F.xxhash64("id"), F.lit(n_blocks))
-    others = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    v = vectors.withColumn("blk", blk)
-    fan = v.select("id", "idx", "val", "blk", F.explode(others).alias("o"))
-    left = fan.select("id", "idx", "val", F.lit(0).alias("side"),
-                      F.concat_ws(":", "blk", "o").alias("pair"))
-    right = fan.select("id", "idx", "val", F.lit(1).alias("side"),
-                       F.concat_ws(":", "o", "blk").alias("pair"))
-    id_type = dict(vectors.dtypes)["id"]
-    schema = f"id {id_type}, other {id_type}, similarity double"
-    partial = (left.unionByName(right).groupBy("pair")
-               .applyInPandas(_knn_block_fn(k, dim, exclude_self, threshold), schema))
-    partial = partial.withColumn("similarity", F.round("similarity", 9))
-    return rank_within(partial, ["id"], [F.col("similarity").desc(), F.col("other").asc()], k)
+def topk_inner(queries: DataFrame, docs: DataFrame, dim: int, k: int, exclude_self: bool = False, positive: bool = True) -> DataFrame:
+    """Exact top-k inner products of each query with the documents:
+    id, other, similarity, rank (ties to the smaller id).  Null ids take no part.
+
+    Both sides are (id, idx array<int>, val array<double>); ``positive`` keeps
+    similarities above zero only.  Each query is first scored in the SEEDS
+    blocks with the highest bounds; its k-th score there is a floor, and it
+    goes on only to blocks whose bound reaches it.  At most k rows per query
+    and block leave a task."""
+    from .components import reliable
+    same, queries = queries is docs, queries.select("id", "idx", "val")
+    blocks = reliable(_blocks(docs.where("id is not null"), dim))
+    queries = blocks.select("id", "idx", "val") if same else reliable(queries.where("id is not null"))
+    bounds = reliable(_bounds(queries, blocks))
+    groups = F.greatest(F.lit(1), F.ceil(queries.select(F.count(F.lit(1))).scalar() / TOGETHER)).cast("int")
+    ask_kind, kind = dict(queries.dtypes)["id"], dict(docs.dtypes)["id"]
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        asks = chosen.join(queries.withColumnRenamed("id", "query"), "query").select(
+            "block", F.pmod(F.xxhash64("query"), groups).alias("part"), F.lit(True).alias("asks"), F.col("query").alias("ask"), F.lit("0").cast(kind).alias("id"), "idx", "val")
+        met = asks.select("block", "part").distinct()
+        held = blocks.join(met, "block").select("block", "part", F.lit(False).alias("asks"), F.lit("0").cast(ask_kind).alias("ask"), "id", "idx", "val")
+        return (asks.unionByName(held).repartition(_tasks(docs), "block", "part").groupBy("block", "part")
+                .applyInPandas(_best_in_block(k, dim, exclude_self, positive), f"id {ask_kind}, other {kind}, similarity double"))
+
+    order = [F.col("similarity").desc(), F.col("other").asc()]
+    ranked = bounds.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.col("bound").desc(), "block")))
+    seeds = reliable(ranked.where(F.col("nth") <= SEEDS))
+    first = reliable(scored(seeds.select("query", "block")))
+    floor = rank_within(first, ["id"], order, k).where(F.col("rank") == k).select(F.col("id").alias("query"), F.col("similarity").alias("floor"))
+    rest = bounds.join(seeds.select("query", "block"), ["query", "block"], "left_anti").join(floor, "query", "left")
+    rest = rest.where(F.col("bound") >= F.coalesce(F.col("floor") - 1e-8, F.col("bound")))
+    return rank_within(first.unionByName(scored(rest.select("query", "block"))).withColumn("similarity", F.round("similarity", 9)), ["id"], order, k)
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for block products: twice the cluster's cores."""
+    return max(2, df.sparkSession.sparkContext.defaultParallelism * 2)
 
 
 def sparse_rows(vec: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -171,26 +199,27 @@ def sparse_rows(vec: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def content_similar(spark: SparkSession, items: DataFrame, k: int = 10, max_features: int = 1000,
-                    block_rows: int = 4096) -> DataFrame:
-    """Cosine of each item's tf-idf vector to every other item, top k."""
+                    of: DataFrame | None = None) -> DataFrame:
+    """Cosine of each item's tf-idf vector to every other item, top k; given
+    ``of`` (item_id), of those items only."""
     text = F.concat_ws(" ", "title", "description", "category",
                        F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
     docs = items.select("item_id", text.alias("text"))
     vocab = fit_tfidf(spark, docs, "item_id", "text", max_features)
-    vec = tfidf_vectors(spark, docs, "item_id", "text", vocab)
-    rows = sparse_rows(vec, vocab)
-    n_blocks = _blocks_for(items.count(), block_rows)
-    out = knn_all_pairs(rows, max_features, k, n_blocks, True, None)
+    rows = sparse_rows(tfidf_vectors(spark, docs, "item_id", "text", vocab), vocab)
+    from .components import reliable
+    rows = reliable(rows)
+    asks = rows if of is None else rows.join(of.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+    out = topk_inner(asks, rows, max_features, k, exclude_self=True)
     return out.select(F.col("id").alias("item_id"), F.col("other").alias("sim_id"), "similarity", "rank")
 
 
-def dense_cosine_topk(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5,
-                      block_rows: int = 4096) -> DataFrame:
-    """Top-k cosine neighbours on stored dense vectors."""
+def dense_cosine_topk(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5) -> DataFrame:
+    """Top-k cosine neighbours on stored dense vectors.  Bounds prune as far
+    as vectors cluster; nearly isotropic ones meet block by block."""
     v = vectors.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
     rows = v.select("id", F.sequence(F.lit(0), F.size("v") - 1).alias("idx"),
                     F.transform("v", lambda x: F.try_divide(x, norm)).alias("val"))
-    n_blocks = _blocks_for(vectors.count(), block_rows)
-    out = knn_all_pairs(rows, dim, k, n_blocks, True, None)
+    out = topk_inner(rows, rows, dim, k, exclude_self=True, positive=False)
     return out.select(F.col("id").alias(id_col), F.col("other").alias("neighbour"), "similarity", "rank")

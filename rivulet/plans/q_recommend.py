@@ -161,9 +161,10 @@ def profile_page_q(spark, sf):
 _MODELS: dict = {}
 
 
-def similar_for(spark, items):
-    """The 50 most similar items of each by text, for the third strategy."""
-    return TX.content_similar(spark, items, 50)
+def similar_for(spark, items, inter):
+    """The 50 most similar items by text of each item that is among some
+    user's three newest, as the third strategy asks for no others."""
+    return TX.content_similar(spark, items, 50, of=RC.newest_items(inter, 3))
 
 
 def trained(spark, sf):
@@ -212,7 +213,7 @@ UNION ALL SELECT user_id, item_id, CAST(cand_rank AS BIGINT) FROM fill""")
 def candidates_q(spark, sf):
     inter = B.interactions(spark, sf)
     items = B.items(spark, sf)
-    return RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), similar_for(spark, items), 500)
+    return RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), similar_for(spark, items, inter), 500)
 
 
 @register("rank_candidates", "2.11")
@@ -220,7 +221,7 @@ def rank_candidates_q(spark, sf):
     model, _ = trained(spark, sf)
     inter = B.interactions(spark, sf)
     items = B.items(spark, sf)
-    cands = RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), similar_for(spark, items), 500)
+    cands = RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), similar_for(spark, items, inter), 500)
     return RC.rank_candidates(cands, _profiles(spark, sf), items, model, B.as_of(inter))
 
 
@@ -251,7 +252,7 @@ def _recommend(spark, sf, n=10):
     inter = B.interactions(spark, sf)
     users, items = B.users(spark, sf), B.items(spark, sf)
     return RC.recommend(spark, users, inter, items, _profiles(spark, sf), model, factors,
-                        covisitation_edges(inter), similar_for(spark, items), B.as_of(inter), n)
+                        covisitation_edges(inter), similar_for(spark, items, inter), B.as_of(inter), n)
 
 
 @register("recommend", "2.11")

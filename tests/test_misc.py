@@ -75,3 +75,39 @@ def test_system_stats_full_lists_types_and_categories(spark):
     n = {f"c{k}": sum(2 if i < 15 else 1 for i in (k, k + 12)) for k in range(12)} | {None: 1}
     expect = sorted(n.items(), key=lambda x: (-x[1], x[0] is None, x[0] or ""))[:10]
     assert list(zip(r.categories, r.category_counts)) == expect and r.top_category == expect[0][0]
+
+
+def test_topk_inner_equals_brute_force(spark, monkeypatch):
+    """Blocks of any size, negative weights, ties, wide ids, unlike id types."""
+    import random
+
+    from rivulet.operators import text as TX
+    rnd = random.Random(11)
+
+    def vectors(n, low, base):
+        out = []
+        for k in range(n):
+            idx = sorted(rnd.sample(range(20), rnd.randint(1, 6)))
+            out.append((base + k, idx, [float(rnd.randint(low, 4)) for _ in idx]))
+        return out
+
+    for low, positive, block in ((1, True, 8), (-3, False, 16), (1, True, 1024)):
+        monkeypatch.setattr(TX, "BLOCK_ROWS", block)
+        docs, asks = vectors(300, low, 1 << 60), vectors(40, low, (1 << 60) + 100)
+        dot = lambda a, b: sum(x * dict(zip(*b[1:])).get(i, 0.0) for i, x in zip(*a[1:]))
+        want = set()
+        for a in asks:
+            scores = sorted(((-dot(a, b), b[0]) for b in docs if set(a[1]) & set(b[1]) and b[0] != a[0]))
+            want |= {(a[0], d, -s) for s, d in [x for x in scores if not positive or -x[0] > 0][:5]}
+        kind = "id long, idx array<int>, val array<double>"
+        got = TX.topk_inner(spark.createDataFrame(asks, kind), spark.createDataFrame(docs, kind), 20, 5, exclude_self=True, positive=positive).collect()
+        if positive:
+            assert {(r.id, r.other, r.similarity) for r in got} == want
+        else:  # documents without a common term score zero there
+            floor = {a[0]: sorted((s for q, _, s in want if q == a[0]), reverse=True) for a in asks}
+            for a in asks:
+                own = sorted((r.similarity for r in got if r.id == a[0]), reverse=True)
+                assert all(s == f for s, f in zip(own, floor[a[0]]) if f > 0)
+        named = TX.topk_inner(spark.createDataFrame([(f"q{a[0]}", *a[1:]) for a in asks], kind.replace("id long", "id string")),
+                              spark.createDataFrame(docs, kind), 20, 5, positive=positive).count()
+        assert named > 0
