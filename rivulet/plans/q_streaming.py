@@ -36,16 +36,10 @@ SELECT interaction_id, user_id, item_id, interaction_type AS type, dwell_seconds
 FROM event_interactions""")
 def stream_events_q(spark, sf):
     base = SJ.stream_base(spark, "stream_events")
-    SJ.write_validated(_events(spark, sf), base)
-    ok = spark.read.parquet(os.path.join(base, "events")).select(
-        "interaction_id", "user_id", "item_id", "type", "dwell_seconds", F.lit("valid").alias("sink"))
-    qpath = os.path.join(base, "quarantine")
-    try:
-        bad = spark.read.parquet(qpath).select("interaction_id", "user_id", "item_id", "type", "dwell_seconds",
-                                               F.lit("quarantine").alias("sink"))
-        return ok.unionByName(bad)
-    except Exception:  # noqa: BLE001 - an empty quarantine leaves no files
-        return ok
+    tables = SJ.write_validated(_events(spark, sf), base)
+    return tables.read("events").withColumn("sink", F.lit("valid")).unionByName(
+        tables.read("quarantine").withColumn("sink", F.lit("quarantine"))).select(
+        "interaction_id", "user_id", "item_id", "type", "dwell_seconds", "sink")
 
 
 @register("stream_append", "2.14", EV_SQL + """
@@ -62,11 +56,9 @@ UNION ALL SELECT 'item_views', item_id, count(*) FROM event_interactions WHERE i
 GROUP BY item_id""")
 def stream_counters_q(spark, sf):
     base = SJ.stream_base(spark, "stream_counters")
-    SJ.stream_counters(_events(spark, sf), base)
-    u = spark.read.parquet(os.path.join(base, "users")).select(F.lit("user").alias("kind"),
-                                                              F.col("user_id").alias("key"), "n")
-    i = spark.read.parquet(os.path.join(base, "items")).select(F.lit("item_views").alias("kind"),
-                                                              F.col("item_id").alias("key"), "n")
+    users, items = SJ.stream_counters(_events(spark, sf), base)
+    u = users.read().select(F.lit("user").alias("kind"), F.col("user_id").alias("key"), "n")
+    i = items.read().select(F.lit("item_views").alias("kind"), F.col("item_id").alias("key"), "n")
     return u.unionByName(i)
 
 
@@ -75,7 +67,7 @@ SELECT interaction_type AS type, count(*) AS n FROM event_interactions GROUP BY
 def stream_event_counts_q(spark, sf):
     base = SJ.stream_base(spark, "stream_event_counts")
     SJ.stream_event_counts(_events(spark, sf), base)
-    return spark.read.parquet(os.path.join(base, "counts"))
+    return SJ.latest_rows(spark, os.path.join(base, "counts"))
 
 
 @register("stream_activity", "2.14", EV_SQL + f"""
@@ -140,7 +132,7 @@ SELECT experiment_id, total_events, control_events, treatment_events, control_in
 def stream_experiment_metrics_q(spark, sf):
     base = SJ.stream_base(spark, "stream_experiment_metrics")
     SJ.stream_experiment_metrics(_events(spark, sf), base)
-    m = spark.read.parquet(os.path.join(base, "metrics"))
+    m = SJ.latest_rows(spark, os.path.join(base, "metrics"))
     return m.select("experiment_id", "total_events", "control_events", "treatment_events", "control_interactions",
                     "treatment_interactions", "control_requests", "treatment_requests")
 
@@ -154,7 +146,7 @@ def stream_experiment_significance_q(spark, sf):
     """The z-test on the stream's running counts."""
     base = SJ.stream_base(spark, "stream_experiment_significance")
     SJ.stream_experiment_metrics(_events(spark, sf), base)
-    s = ab_significance(spark.read.parquet(os.path.join(base, "metrics")))
+    s = ab_significance(SJ.latest_rows(spark, os.path.join(base, "metrics")))
     return s.select(*SIG_KEYS, *[F.round(c, 6).alias(c) for c in SIG_COLS], "is_significant", "status")
 
 
@@ -171,7 +163,7 @@ def stream_last_n_q(spark, sf):
 def stream_bandit_q(spark, sf):
     base = SJ.stream_base(spark, "stream_bandit")
     SJ.stream_bandit(_events(spark, sf), base)
-    c = spark.read.parquet(os.path.join(base, "bandit"))
+    c = SJ.latest_rows(spark, os.path.join(base, "bandit"))
     return c.select("experiment_id", "arm", (F.lit(1.0) + F.col("pos")).alias("alpha"),
                     (F.lit(1.0) + F.col("neg").cast("double")).alias("beta"))
 
@@ -181,12 +173,18 @@ SELECT CAST(k * 100 AS BIGINT) AS at_event
 FROM range(1, CAST(floor((SELECT count(*) FROM event_interactions) / 100) AS BIGINT) + 1) r(k)""")
 def stream_retrain_trigger_q(spark, sf):
     base = SJ.stream_base(spark, "stream_retrain_trigger")
-    SJ.stream_retrain_trigger(_events(spark, sf), base, 100)
-    return spark.read.parquet(os.path.join(base, "triggers")).select("at_event")
+    return SJ.stream_retrain_trigger(_events(spark, sf), base, 100).read("triggers").select("at_event")
 
 
 @register("stream_user_dirty", "2.14", EV_SQL + "SELECT DISTINCT user_id FROM event_interactions")
 def stream_user_dirty_q(spark, sf):
     base = SJ.stream_base(spark, "stream_user_dirty")
-    SJ.stream_user_dirty(_events(spark, sf), base)
-    return spark.read.parquet(os.path.join(base, "dirty")).select("user_id").distinct()
+    return SJ.stream_user_dirty(_events(spark, sf), base).read("dirty").select("user_id").distinct()
+
+
+@register("stream_retrain_progress", "2.14", EV_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS total, round((count(*) % 100) * 100.0 / 100, 6) AS progress_pct FROM event_interactions""")
+def stream_retrain_progress_q(spark, sf):
+    base = SJ.stream_base(spark, "stream_retrain_progress")
+    totals = SJ.stream_retrain_trigger(_events(spark, sf), base, 100).read_latest("totals")
+    return totals.select("total", F.round("progress_pct", 6).alias("progress_pct"))

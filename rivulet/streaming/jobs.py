@@ -3,8 +3,10 @@
 Every job takes a streaming DataFrame of canonical events, writes its result
 as Parquet under ``base`` (a folder inside the shared checkpoint directory)
 and keeps its own checkpoint there, so a restarted driver or lost executor
-resumes from the last committed micro-batch.  Nothing is collected to the
-driver: state lives in the state store and sinks are written by executors.
+resumes from the last committed micro-batch.  Sinks are ``epochs`` tables: an
+epoch is published once, however often it is replayed.  Nothing that grows is
+collected to the driver: state lives in the state store and sinks are written
+by executors.
 
 ``run`` drives a query with ``trigger(availableNow=True)``; production
 deployments use a processing-time trigger with the same builders.
@@ -23,6 +25,7 @@ from ..functions import constants as K
 from ..session import checkpoint_dir
 from ..sources.binding import bucket_of
 from ..sources.tables import raw
+from .epochs import EpochStore, KeyedTable
 
 
 def stream_base(spark: SparkSession, name: str) -> str:
@@ -67,13 +70,19 @@ def stream_events(raw_stream: DataFrame) -> DataFrame:
     return ev.withColumn("valid", valid)
 
 
-def write_validated(events: DataFrame, base: str) -> None:
-    """Two sinks from one stream: valid rows to ``events``, the rest to
-    ``quarantine``."""
+def validated_sink(spark: SparkSession, base: str):
+    store = EpochStore(spark, os.path.join(base, "tables"))
+
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.filter("valid").drop("valid").write.mode("append").parquet(os.path.join(base, "events"))
-        batch.filter("NOT valid").drop("valid").write.mode("append").parquet(os.path.join(base, "quarantine"))
-    run(events.writeStream.foreachBatch(sink), base)
+        store.publish(epoch, {"events": batch.filter("valid").drop("valid"), "quarantine": batch.filter("NOT valid").drop("valid")})
+    return sink
+
+
+def write_validated(events: DataFrame, base: str) -> EpochStore:
+    """Two tables from one stream, published together: valid rows in
+    ``events``, the rest in ``quarantine``."""
+    run(events.writeStream.foreachBatch(validated_sink(events.sparkSession, base)), base)
+    return EpochStore(events.sparkSession, os.path.join(base, "tables"))
 
 
 def stream_append(events: DataFrame, base: str, delay: str = "1 hour") -> None:
@@ -84,27 +93,43 @@ def stream_append(events: DataFrame, base: str, delay: str = "1 hour") -> None:
     run(d.writeStream.outputMode("append").format("parquet").option("path", os.path.join(base, "log")), base)
 
 
-def _overwrite_sink(path: str):
+def version_sink(spark: SparkSession, root: str):
+    """For complete mode over few groups: each epoch is the whole table."""
+    store = EpochStore(spark, root)
+
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        store.publish(epoch, {"rows": batch})
     return sink
 
 
-def stream_counters(events: DataFrame, base: str) -> None:
-    """+1 per user event; +1 item views only for ``view``: running counts
-    (update mode), the full table rewritten each batch by the executors."""
-    ev = events.filter("valid")
+def latest_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version that ``version_sink`` published."""
+    return EpochStore(spark, root).read_latest("rows")
+
+
+def counter_sink(table: KeyedTable):
+    def sink(batch: DataFrame, epoch: int) -> None:
+        table.merge(batch, epoch)
+    return sink
+
+
+def stream_counters(events: DataFrame, base: str, buckets: int = 64) -> tuple[KeyedTable, KeyedTable]:
+    """+1 per user event; +1 item views only for ``view``: running counts in
+    update mode, so that a batch hands over the keys it changed, and rewrites
+    their buckets only.  Returns the tables of users and items."""
+    spark, ev = events.sparkSession, events.filter("valid")
     per_user = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     per_item = ev.filter(F.col("type") == "view").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    run(per_user.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(os.path.join(base, "users"))),
-        os.path.join(base, "u"))
-    run(per_item.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(os.path.join(base, "items"))),
-        os.path.join(base, "i"))
+    users = KeyedTable(spark, os.path.join(base, "users"), ["user_id"], buckets)
+    items = KeyedTable(spark, os.path.join(base, "items"), ["item_id"], buckets)
+    run(per_user.writeStream.outputMode("update").foreachBatch(counter_sink(users)), os.path.join(base, "u"))
+    run(per_item.writeStream.outputMode("update").foreachBatch(counter_sink(items)), os.path.join(base, "i"))
+    return users, items
 
 
 def stream_event_counts(events: DataFrame, base: str) -> None:
     c = events.filter("valid").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    run(c.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(os.path.join(base, "counts"))), base)
+    run(c.writeStream.outputMode("complete").foreachBatch(version_sink(events.sparkSession, os.path.join(base, "counts"))), base)
 
 
 def stream_activity(events: DataFrame, base: str, size: str = "24 hours", slide: str = "1 hour",
@@ -168,42 +193,33 @@ def stream_experiment_metrics(events: DataFrame, base: str) -> None:
         F.approx_count_distinct(F.when(trt, F.col("user_id"))).alias("treatment_users_approx"),
         F.count_if(ctl & inter).alias("control_interactions"), F.count_if(trt & inter).alias("treatment_interactions"),
         F.count_if(ctl & req).alias("control_requests"), F.count_if(trt & req).alias("treatment_requests"))
-    run(m.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(os.path.join(base, "metrics"))), base)
+    run(m.writeStream.outputMode("complete").foreachBatch(version_sink(events.sparkSession, os.path.join(base, "metrics"))), base)
 
 
-def stream_last_n(events: DataFrame, base: str, n: int = 1000) -> None:
-    """Rolling newest ``n`` events per experiment: each batch's top n is
-    merged with the stored top n (both bounded by n per experiment) and
-    written as a new version; no per-event state is kept."""
+def last_n_sink(spark: SparkSession, root: str, n: int):
     from ..operators.topk import rank_within
-    ee = experiment_stream(events)
-    store = os.path.join(base, "lastn")
+    store = EpochStore(spark, root)
+    order = [F.col("ts").desc(), F.col("event_id").desc()]
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        order = [F.col("ts").desc(), F.col("event_id").desc()]
         cur = rank_within(batch, ["experiment_id"], order, n).drop("rank")
-        prev_path = _latest_version(spark, store)
-        if prev_path:
-            cur = cur.unionByName(spark.read.parquet(prev_path))
-        merged = rank_within(cur, ["experiment_id"], order, n).drop("rank")
-        merged.write.mode("overwrite").parquet(os.path.join(store, f"v={epoch:08d}"))
-    run(ee.writeStream.foreachBatch(sink), base)
+        before = store.read_latest("rows", below=epoch)
+        if before is not None:
+            cur = cur.unionByName(before)
+        store.publish(epoch, {"rows": rank_within(cur, ["experiment_id"], order, n).drop("rank")})
+    return sink
 
 
-def _latest_version(spark: SparkSession, store: str) -> str | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    vs = sorted(str(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
-    done = [v for v in vs if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{store}/{v}/_SUCCESS"))]
-    return f"{store}/{done[-1]}" if done else None
+def stream_last_n(events: DataFrame, base: str, n: int = 1000) -> None:
+    """Rolling newest ``n`` events per experiment: each batch's top n is
+    merged with the top n of the epochs before it (both bounded by n per
+    experiment) and published as a new version; no per-event state is kept."""
+    sink = last_n_sink(events.sparkSession, os.path.join(base, "lastn"), n)
+    run(experiment_stream(events).writeStream.foreachBatch(sink), base)
 
 
 def latest_last_n(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(_latest_version(spark, os.path.join(base, "lastn")))
+    return latest_rows(spark, os.path.join(base, "lastn"))
 
 
 def stream_bandit(events: DataFrame, base: str) -> None:
@@ -214,34 +230,54 @@ def stream_bandit(events: DataFrame, base: str) -> None:
     c = o.groupBy("experiment_id", "arm").agg(
         F.sum(F.when(F.col("reward") > 0, F.col("reward")).otherwise(0.0)).alias("pos"),
         F.count_if(F.col("reward") <= 0).alias("neg"))
-    run(c.writeStream.outputMode("complete").foreachBatch(_overwrite_sink(os.path.join(base, "bandit"))), base)
+    run(c.writeStream.outputMode("complete").foreachBatch(version_sink(events.sparkSession, os.path.join(base, "bandit"))), base)
 
 
-def stream_retrain_trigger(events: DataFrame, base: str, every: int = 100) -> None:
-    """One trigger row per crossed multiple of ``every`` events.  The running
-    total is a global count (partial aggregation, no hot task); the sink
-    compares it with the previous total and appends one row per multiple."""
-    total = events.filter("valid").agg(F.count(F.lit(1)).alias("total"))
-    store = os.path.join(base, "triggers")
+def trigger_sink(spark: SparkSession, root: str, every: int):
+    store = EpochStore(spark, root)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        prev = _latest_version(spark, os.path.join(base, "totals"))
-        prev_total = F.lit(0).cast("long") if prev is None else \
-            spark.read.parquet(prev).select(F.max("total")).scalar()
-        t = batch.select(F.col("total").cast("long").alias("total"), prev_total.alias("prev"))
+        before = store.read_latest("totals", below=epoch)
+        prev = F.lit(0).cast("long") if before is None else before.select(F.max("total")).scalar()
+        t = batch.select(F.col("total").cast("long").alias("total"), prev.alias("prev"))
         lo, hi = F.floor(F.col("prev") / every) + 1, F.floor(F.col("total") / every)
         ks = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-        rows = t.select("total", F.explode(ks).alias("k"))
-        rows.select(F.lit(epoch).alias("epoch"), (F.col("k") * every).cast("long").alias("at_event"),
-                    "total").write.mode("append").parquet(store)
-        t.select("total").write.mode("overwrite").parquet(os.path.join(base, "totals", f"v={epoch:08d}"))
-    run(total.writeStream.outputMode("complete").foreachBatch(sink), base)
+        rows = t.select("total", F.explode(ks).alias("k")).select(F.lit(epoch).alias("epoch"), (F.col("k") * every).cast("long").alias("at_event"), "total")
+        progress = (F.pmod("total", F.lit(every)) * 100.0 / every).alias("progress_pct")
+        store.publish(epoch, {"triggers": rows, "totals": t.select("total", progress)})
+    return sink
+
+
+def stream_retrain_trigger(events: DataFrame, base: str, every: int = 100) -> EpochStore:
+    """``triggers``: one row per crossed multiple of ``every`` events;
+    ``totals``: events so far and percent of the way to the next one.  The
+    running total is a global count (partial aggregation, no hot task); the
+    sink compares it with the total of the epochs before."""
+    total = events.filter("valid").agg(F.count(F.lit(1)).alias("total"))
+    root = os.path.join(base, "tables")
+    run(total.writeStream.outputMode("complete").foreachBatch(trigger_sink(events.sparkSession, root, every)), base)
+    return EpochStore(events.sparkSession, root)
+
 
+def dirty_sink(spark: SparkSession, root: str):
+    store = EpochStore(spark, root)
 
-def stream_user_dirty(events: DataFrame, base: str) -> None:
-    """Users whose recommendations are stale: distinct user ids per batch."""
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.filter("valid").select("user_id").distinct().withColumn("epoch", F.lit(epoch)) \
-            .write.mode("append").parquet(os.path.join(base, "dirty"))
-    run(events.writeStream.foreachBatch(sink), base)
+        store.publish(epoch, {"dirty": batch.filter("valid").select("user_id").distinct().withColumn("epoch", F.lit(epoch))})
+    return sink
+
+
+def stream_user_dirty(events: DataFrame, base: str) -> EpochStore:
+    """``dirty``: users whose recommendations are stale, per epoch."""
+    root = os.path.join(base, "tables")
+    run(events.writeStream.foreachBatch(dirty_sink(events.sparkSession, root)), base)
+    return EpochStore(events.sparkSession, root)
+
+
+def refresh_users(table: KeyedTable, dirty: DataFrame, recompute, epoch: int) -> list[int]:
+    """Recompute the rows of the users in ``dirty`` and put them in the place
+    of their old ones in ``table`` (keyed by user_id).  ``recompute`` takes
+    the distinct dirty users (user_id) and returns rows of those alone; other
+    users' rows are not touched, and buckets without a dirty user not read."""
+    users = dirty.select("user_id").distinct()
+    return table.merge(recompute(users), epoch, replaced=users)
