@@ -8,7 +8,6 @@ so that it is repeatable and independent of partitioning.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pandas as pd
@@ -158,28 +157,52 @@ def bandit_stats(posterior: DataFrame) -> DataFrame:
         (F.col("estimated_ctr") * 100.0 / F.sum(F.col("estimated_ctr") * 100.0).over(w) * 100.0).alias("traffic_pct"))
 
 
-def _seed_of(seed: int, user: str, arm: str) -> int:
-    h = hashlib.sha256(f"{seed}:{user}:{arm}".encode()).digest()
-    return int.from_bytes(h[:8], "little")
+def _uniforms(keys: np.ndarray, step: int) -> np.ndarray:
+    """The ``step``-th number in (0, 1) of each 64-bit key: a counter put
+    through a bit mixer, so that draws need no generator of their own."""
+    x = keys + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def gamma_draws(shape: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One Gamma(shape, 1) draw per key, by rejection over whole arrays: each
+    round draws anew for the rows that were not accepted yet."""
+    boost = shape < 1.0
+    d = np.where(boost, shape + 1.0, shape) - 1.0 / 3.0
+    c = 1.0 / np.sqrt(9.0 * d)
+    out, open_ = np.zeros(len(shape)), np.arange(len(shape))
+    step = 1
+    while len(open_):
+        k, dd = keys[open_], d[open_]
+        normal = np.sqrt(-2.0 * np.log(_uniforms(k, step))) * np.cos(2.0 * np.pi * _uniforms(k, step + 1))
+        v = (1.0 + c[open_] * normal) ** 3
+        with np.errstate(divide="ignore", invalid="ignore"):
+            taken = (v > 0) & (np.log(_uniforms(k, step + 2)) < 0.5 * normal ** 2 + dd - dd * v + dd * np.log(v))
+        out[open_[taken]] = (dd * v)[taken]
+        open_, step = open_[~taken], step + 3
+    return np.where(boost, out * _uniforms(keys, 0) ** (1.0 / shape), out)
 
 
 def thompson_assign(users: DataFrame, posterior: DataFrame, seed: int = 42) -> DataFrame:
     """One Beta(alpha, beta) draw per (user, arm); the arm with the highest
     draw wins.  Users meet their experiment's arms by an equi-join on the
-    experiment id (arms per experiment are few), the draws are an
-    Arrow-batched pandas UDF, and the arg-max is a partial aggregate."""
+    experiment id (left to Spark, which broadcasts arms it has measured
+    small).  A draw depends on a hash of (seed, user, arm) only, however rows
+    are partitioned, and is made for whole Arrow batches at a time."""
 
     @F.pandas_udf("double")
-    def draw(user: pd.Series, arm: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.empty(len(user))
-        for i, (u, r, x, y) in enumerate(zip(user, arm, a, b)):
-            out[i] = np.random.default_rng(_seed_of(seed, u, r)).beta(x, y)
-        return pd.Series(out)
-
-    j = users.select("user_id", "experiment_id").join(
-        F.broadcast(posterior.select("experiment_id", "arm", "alpha", "beta")), "experiment_id")
-    d = j.withColumn("draw", draw(F.col("user_id").cast("string"), "arm", "alpha", "beta"))
-    return d.groupBy("user_id", "experiment_id").agg(F.max_by("arm", "draw").alias("arm"),
+    def draw(key: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        keys = key.to_numpy(np.int64).view(np.uint64)
+        x = gamma_draws(a.to_numpy(np.float64), keys)
+        y = gamma_draws(b.to_numpy(np.float64), keys ^ np.uint64(0x5851F42D4C957F2D))
+        return pd.Series(x / (x + y))
+
+    j = users.select("user_id", "experiment_id").join(posterior.select("experiment_id", "arm", "alpha", "beta"), "experiment_id")
+    d = j.withColumn("draw", draw(F.xxhash64(F.lit(seed), F.col("user_id").cast("string"), "arm"), "alpha", "beta"))
+    return d.groupBy("user_id", "experiment_id").agg(F.max_by("arm", F.struct("draw", "arm")).alias("arm"),
                                                      F.max("draw").alias("draw"))
 
 
@@ -194,14 +217,6 @@ def request_rollup(frames: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
-def cache_hit_rate(hits: DataFrame) -> DataFrame:
-    """hits(cache, hit boolean) -> hits, misses, hit-rate %."""
-    return hits.groupBy("cache").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")) \
-        .withColumn("hit_rate_pct", F.when((F.col("hits") + F.col("misses")) > 0,
-                                           F.col("hits") * 100.0 / (F.col("hits") + F.col("misses")))
-                    .otherwise(F.lit(0.0)))
-
-
 def latency_histogram(obs: DataFrame, by: list[str], value: str, buckets=None) -> DataFrame:
     """Cumulative ``le`` bucket counts plus sum and count, in one pass: a
     conditional count per fixed bound, then the bounds unpivoted to rows."""

@@ -107,6 +107,11 @@ def _as_queries(c: DataFrame, text: str, ctype) -> DataFrame:
                     F.col("limit"))
 
 
+def _most(c: DataFrame) -> int:
+    """The largest limit of the queries: no route needs more rows of one."""
+    return max(1, int(c.agg(F.max("limit")).first()[0] or 1))
+
+
 def route_similar(spark: SparkSession, c: DataFrame, items: DataFrame) -> DataFrame:
     """Top-5 text hits for the target, 10 similar items each, first
     occurrence in (hit rank, similar rank) order, cut to the limit."""
@@ -119,7 +124,7 @@ def route_similar(spark: SparkSession, c: DataFrame, items: DataFrame) -> DataFr
     cand = hits.join(sim, "src")
     first = rank_within(cand, ["query_id", "item_id"], ["hit_rank", "sim_rank"], 1, "_f").drop("_f")
     lim = c.select("query_id", "limit")
-    out = rank_within(first, ["query_id"], ["hit_rank", "sim_rank"], None).join(lim, "query_id")
+    out = rank_within(first, ["query_id"], ["hit_rank", "sim_rank"], _most(c)).join(lim, "query_id")
     return _scored(out.filter(F.col("rank") <= F.col("limit")), "similar_to", 0.8)
 
 
@@ -128,14 +133,14 @@ def route_category(spark: SparkSession, c: DataFrame, items: DataFrame) -> DataF
     views then rating; queries without a hit fall back to text search."""
     ctype = F.coalesce(F.col("type_hint"), F.col("content_type"))
     q = _as_queries(c, "target", ctype)
-    hits = SE.literal_hits(spark, q, items, fields=("category",), tags=None)
+    order, k = [F.col("view_count").desc(), F.col("rating").desc(), F.col("item_id").asc()], _most(c)
+    hits = SE.literal_hits(spark, q, items, fields=("category",), tags=None, order=order, k=k)
     j = (hits.join(items.select("item_id", "content_type", "view_count", "rating"), "item_id")
          .join(q.select("query_id", F.col("content_type").alias("want"), "limit"), "query_id")
          .filter(F.col("want").isNull() | (F.col("content_type") == F.col("want"))))
-    top = rank_within(j, ["query_id"], [F.col("view_count").desc(), F.col("rating").desc(),
-                                        F.col("item_id").asc()], None).filter(F.col("rank") <= F.col("limit"))
+    top = rank_within(j, ["query_id"], order, k).filter(F.col("rank") <= F.col("limit"))
     rest = q.join(top.select("query_id").distinct(), "query_id", "left_anti")
-    fb = SE.text_search(spark, rest, items, None).join(rest.select("query_id", "limit"), "query_id") \
+    fb = SE.text_search(spark, rest, items, k).join(rest.select("query_id", "limit"), "query_id") \
         .filter(F.col("rank") <= F.col("limit"))
     return _scored(top, "category_filter", 0.9).unionByName(_scored(fb, "category_filter", 0.9))
 
@@ -145,7 +150,7 @@ def route_educational(spark: SparkSession, c: DataFrame, items: DataFrame) -> Da
     target; rating then views."""
     q = _as_queries(c, "target", F.lit(None).cast("string"))
     edu = items.filter(F.col("content_type").isin(*K.EDUCATIONAL_TYPES))
-    r = SE.literal_search(spark, q, edu, None, order="rating").join(q.select("query_id", "limit"), "query_id")
+    r = SE.literal_search(spark, q, edu, _most(c), order="rating").join(q.select("query_id", "limit"), "query_id")
     return _scored(r.filter(F.col("rank") <= F.col("limit")), "educational", 0.85)
 
 
@@ -153,7 +158,7 @@ def route_trending(spark: SparkSession, c: DataFrame, items: DataFrame) -> DataF
     """Literal match of the target (blank target: everything) under the
     request type; views then rating."""
     q = _as_queries(c, "target", F.col("content_type"))
-    r = SE.literal_search(spark, q, items, None).join(q.select("query_id", "limit"), "query_id")
+    r = SE.literal_search(spark, q, items, _most(c)).join(q.select("query_id", "limit"), "query_id")
     return _scored(r.filter(F.col("rank") <= F.col("limit")), "trending", 0.9)
 
 
@@ -168,7 +173,7 @@ def route_recommend(spark: SparkSession, c: DataFrame, items: DataFrame, recs: D
     text = F.lower(F.concat_ws(" ", "title", "description", "category",
                                F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")))
     j = j.filter(F.exists("words", lambda w: (w != "") & text.contains(w)))
-    out = rank_within(j.withColumnRenamed("rank", "rec_rank"), ["query_id"], ["rec_rank"], None) \
+    out = rank_within(j.withColumnRenamed("rank", "rec_rank"), ["query_id"], ["rec_rank"], _most(c)) \
         .filter(F.col("rank") <= F.col("limit"))
     return _scored(out, "recommendation_request", F.col("score") if "score" in recs.columns else 0.0) \
         .unionByName(route_trending(spark, anon, items).withColumn("intent", F.lit("recommendation_request")))
@@ -176,7 +181,7 @@ def route_recommend(spark: SparkSession, c: DataFrame, items: DataFrame, recs: D
 
 def route_general(spark: SparkSession, c: DataFrame, items: DataFrame) -> DataFrame:
     q = _as_queries(c, "q", F.col("content_type"))
-    r = SE.enhanced_search(spark, q, items, None).join(q.select("query_id", "limit"), "query_id") \
+    r = SE.enhanced_search(spark, q, items, _most(c)).join(q.select("query_id", "limit"), "query_id") \
         .filter(F.col("rank") <= F.col("limit"))
     return r.select("query_id", F.lit("general").alias("intent"), F.col("enhanced_rank").alias("rank"),
                     "item_id", "search_score")

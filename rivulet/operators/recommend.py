@@ -9,6 +9,7 @@ scalar subquery instead of being joined to each user.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.recommendation import ALS
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalars import confidence_weight, norm_title, training_label
+from .components import reliable
 from .topk import rank_within, top_k
 
 FEATURES = (["interaction_count", "avg_dwell", "avg_rating", "item_rating", "log_views", "log_hours",
@@ -183,21 +185,20 @@ def dense_ids(values: DataFrame, col: str, name: str) -> DataFrame:
 
 class Factors:
     """Latent vectors by user and item id: (user_id, features) and (item_id,
-    features), and what kind of factorisation made them."""
+    features), what kind of factorisation made them, and its singular values."""
 
-    def __init__(self, users: DataFrame, items: DataFrame, rank: int, kind: str):
-        self.users, self.items, self.rank, self.kind = users, items, rank, kind
+    def __init__(self, users: DataFrame, items: DataFrame, rank: int, kind: str, values=None):
+        self.users, self.items, self.rank, self.kind, self.values = users, items, rank, kind, values
 
 
 def fit_factors(inter: DataFrame, rank: int = 64, seed: int = 42, max_iter: int = 10, reg: float = 0.1,
-                kind: str = "als") -> Factors | None:
+                kind: str = "svd") -> Factors | None:
     """Latent factors of the confidence matrix, rank min(64, min(users,
     items) - 1); None when there are fewer than 2 users or items.
 
-    ``svd``: the truncated singular value decomposition (user vectors u * s,
-    item vectors v), from the items' Gram matrix; needs items * items doubles
-    on the driver, so it is for catalogues of up to ``SVD_ITEMS`` items.
-    ``als``: implicit-feedback alternating least squares, for any size."""
+    ``svd``: the truncated singular value decomposition, left and right
+    vectors both scaled by the roots of the singular values; all tall matrices
+    stay distributed.  ``als``: implicit-feedback alternating least squares."""
     from .aggregates import confidence_matrix
     conf = confidence_matrix(inter)
     uid, iid = dense_ids(conf, "user_id", "u"), dense_ids(conf, "item_id", "i")
@@ -207,7 +208,7 @@ def fit_factors(inter: DataFrame, rank: int = 64, seed: int = 42, max_iter: int
         return None
     k = min(rank, min(dims["u"], dims["i"]))
     if kind == "svd":
-        return _svd(data, uid, iid, dims["i"] + 1, k)
+        return _svd(data, uid, iid, k, seed)
     als = ALS(rank=k, maxIter=max_iter, regParam=reg, implicitPrefs=True, alpha=1.0, userCol="u", itemCol="i",
               ratingCol="confidence", seed=seed, coldStartStrategy="drop", nonnegative=False)
     model = als.fit(data)
@@ -216,23 +217,16 @@ def fit_factors(inter: DataFrame, rank: int = 64, seed: int = 42, max_iter: int
     return Factors(vec(model.userFactors, uid, "user_id", "u"), vec(model.itemFactors, iid, "item_id", "i"), k, "als")
 
 
-#: Items whose Gram matrix the driver decomposes (a matrix of 128 MB).
-SVD_ITEMS = 4_000
+def _svd(data: DataFrame, uid: DataFrame, iid: DataFrame, k: int, seed: int) -> Factors:
+    from .factorise import truncated_svd
+    left, s, right = truncated_svd(data.select(F.col("u").alias("row"), F.col("i").alias("col"), F.col("confidence").cast("double").alias("value")), k, seed)
+    root = F.array(*[F.lit(float(x)) for x in np.sqrt(s)])
 
+    def scaled(tall, ids, key, n):
+        x = F.zip_with("x", root, lambda a, b: a * b)
+        return ids.join(tall.select(F.col("id").alias(n), x.alias("features")), n).select(key, "features")
 
-def _svd(data: DataFrame, uid: DataFrame, iid: DataFrame, n_items: int, k: int) -> Factors:
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-    if n_items > SVD_ITEMS:
-        raise ValueError(f"{n_items} items: use kind='als' beyond {SVD_ITEMS}")
-    rows = data.groupBy("u").agg(F.collect_list(F.struct("i", "confidence")).alias("r")).rdd.map(
-        lambda r: IndexedRow(r["u"], Vectors.sparse(n_items, sorted((x["i"], float(x["confidence"])) for x in r["r"]))))
-    svd = IndexedRowMatrix(rows, numCols=n_items).computeSVD(k, computeU=True)
-    s = svd.s.toArray()
-    spark = data.sparkSession
-    users = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray() * s])).toDF("u int, features array<double>")
-    items = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(svd.V.toArray())], "i int, features array<double>")
-    return Factors(uid.join(users, "u").select("user_id", "features"), iid.join(items, "i").select("item_id", "features"), len(s), "svd")
+    return Factors(scaled(left, uid, "user_id", "u"), scaled(right, iid, "item_id", "i"), len(s), "svd", s)
 
 
 def factor_scores(pairs: DataFrame, factors: Factors) -> DataFrame:
@@ -413,28 +407,63 @@ def profile_page(users: DataFrame, stats: DataFrame, recent: DataFrame) -> DataF
 
 def retrain(spark: SparkSession, inter: DataFrame, users: DataFrame, items: DataFrame, as_of,
             seed: int = 42, out_path: str | None = None, **ranker_params) -> dict:
-    """One batch job rebuilding every artifact in order: item tf-idf
-    vectors, user profiles, co-visitation edges, training set, ranker
-    (persisted to a versioned folder) and latent factors."""
+    """One batch job rebuilding every artifact in order: item tf-idf vectors,
+    user profiles, co-visitation edges, training set, ranker and latent
+    factors.  All are written under one new version of the folder
+    ``out_path``, which one commit then makes the current one: a run that
+    fails on the way leaves the version before in use.  Returns what
+    ``load_artifacts`` gives."""
     import os
     import uuid
 
     from ..session import checkpoint_dir
+    from ..streaming.epochs import EpochStore
     from .search import item_text
     from .text import fit_tfidf, tfidf_vectors
     from .windows import covisitation_edges
+    root = out_path or os.path.join(checkpoint_dir(spark), "models", f"artifacts-{uuid.uuid4().hex[:12]}")
+    store = EpochStore(spark, root)
+    version = (store.committed() or [-1])[-1] + 1
     docs = items.select("item_id", F.concat_ws(" ", item_text(items), F.col("category")).alias("text"))
     vocab = fit_tfidf(spark, docs, "item_id", "text", 1000)
-    vectors = tfidf_vectors(spark, docs, "item_id", "text", vocab)
     prof = user_profiles(inter, users, items)
-    covis = covisitation_edges(inter)
+    # written before it is used twice: the ranker learns from the rows that are kept
     train = training_set(spark, inter, users, items, prof, as_of, seed)
-    model = fit_ranker(train, **ranker_params)
-    path = out_path or os.path.join(checkpoint_dir(spark), "models", f"ranker-{uuid.uuid4().hex[:12]}")
-    save_model(model, path)
+    train_path = store.folder("training_set", version)
+    train.write.mode("overwrite").parquet(train_path)
+    model = fit_ranker(spark.read.schema(train.schema).parquet(train_path), **ranker_params)
+    model_path = store.folder("ranker", version)
+    save_model(model, model_path)
     factors = fit_factors(inter, seed=seed)
-    return {"vectors": vectors, "profiles": prof, "covisitation": covis, "training_set": train,
-            "model": model, "model_path": path, "factors": factors}
+    tables = {"vectors": tfidf_vectors(spark, docs, "item_id", "text", vocab), **{f"profiles_{n}": t for n, t in prof.items()},
+              "covisitation": covisitation_edges(inter)}
+    if factors is not None:
+        tables |= {"user_factors": factors.users, "item_factors": factors.items}
+    note = {"ranker": model_path, "factors": None if factors is None else {"rank": factors.rank, "kind": factors.kind},
+            "training_set": [train_path, train.schema.json()]}
+    store.publish(version, tables, lambda: note)
+    return load_artifacts(spark, root)
+
+
+def load_artifacts(spark: SparkSession, root: str) -> dict:
+    """The current version's artifacts, read through the newest commit."""
+    import json
+
+    from ..streaming.epochs import EpochStore
+    from pyspark.sql import types as T
+    store = EpochStore(spark, root)
+    epochs = store.committed()
+    if not epochs:
+        raise FileNotFoundError(f"no version of the artifacts under {root}")
+    commit = store.commit_of(epochs[-1])
+    note, out = commit["note"], {n: store.read(n, epochs[-1:]) for n in commit["schemas"]}
+    path, schema = note["training_set"]
+    factors = None
+    if note["factors"]:
+        factors = Factors(out.pop("user_factors"), out.pop("item_factors"), note["factors"]["rank"], note["factors"]["kind"])
+    prof = {n.removeprefix("profiles_"): out.pop(n) for n in list(out) if n.startswith("profiles_")}
+    return out | {"profiles": prof, "training_set": spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(path), "model": load_model(note["ranker"]),
+                  "model_path": note["ranker"], "factors": factors, "version": epochs[-1]}
 
 
 def feature_importances(spark: SparkSession, model: PipelineModel) -> DataFrame:

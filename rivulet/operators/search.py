@@ -53,10 +53,23 @@ def _trigrams(s: F.Column) -> F.Column:
         F.array().cast("array<string>"))
 
 
+def _short_grams(s: F.Column) -> F.Column:
+    """All pieces of one and two characters."""
+    n = F.coalesce(F.length(s), F.lit(0))
+    cut = lambda w: F.transform(F.filter(F.sequence(F.lit(0), n - (w - 1)), lambda i: i > 0), lambda i: F.substring(s, i, w))
+    return F.concat(F.when(n >= 1, cut(1)).otherwise(F.array().cast("array<string>")), F.when(n >= 2, cut(2)).otherwise(F.array().cast("array<string>")))
+
+
 def literal_hits(spark: SparkSession, queries: DataFrame, items: DataFrame,
-                 fields=("title", "description", "category"), tags: str | None = "tags") -> DataFrame:
+                 fields=("title", "description", "category"), tags: str | None = "tags",
+                 order: list | None = None, k: int | None = None) -> DataFrame:
     """(query_id, item_id) for every item literally matching the query text.
-    An empty text matches every item."""
+    An empty text matches every item.
+
+    Texts of three characters and more meet items by their rarest trigram and
+    are verified.  Shorter ones are themselves keys of a posting list; given
+    the result's ``order`` and ``k``, a list holds its first k items of each
+    content type only, as no query can return others."""
     q = queries.select("query_id", query_text().alias("qt"))
     texts = q.select("qt").distinct()
     fcols = [F.lower(F.col(f)) for f in fields]
@@ -77,28 +90,34 @@ def literal_hits(spark: SparkSession, queries: DataFrame, items: DataFrame,
     cand = rare.select("qt", "g").join(grams, "g").select("qt", "item_id")
     long_hits = cand.join(it, "item_id").filter(match).select("qt", "item_id")
 
-    # 2. short texts (< 3 chars, a bounded set): broadcast nested loop;
-    #    the empty text matches everything.
+    # 2. short texts: posting lists of the pieces that are asked for
     short_t = texts.filter(F.length("qt") < 3)
-    short_hits = it.join(F.broadcast(short_t), match, "inner").select("qt", "item_id")
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(all_fields, _short_grams))))
+    posts = items.select("*", F.explode(keys).alias("qt")).join(short_t, "qt", "left_semi")
+    if k is not None:
+        posts = rank_within(posts, ["qt", "content_type"], order, k, "_r")
+    return q.join(long_hits.unionByName(posts.select("qt", "item_id")), "qt").select("query_id", "item_id")
+
+
+BY_VIEWS = ("view_count", "rating")
+BY_RATING = ("rating", "view_count")
+
 
-    hits = long_hits.unionByName(short_hits)
-    return q.join(hits, "qt").select("query_id", "item_id")
+def _best_first(columns) -> list:
+    return [F.col(c).desc() for c in columns] + [F.col("item_id").asc()]
 
 
 def literal_search(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int = 20,
                    order: str = "views") -> DataFrame:
     """Literal match, optional per-query type filter, views desc then rating
-    desc (or rating then views), top k per query."""
-    hits = literal_hits(spark, queries, items)
-    j = (hits.join(items.select(*CARD, "tags"), "item_id")
+    desc (or rating then views), top k per query; only winners carry text."""
+    o = _best_first(BY_VIEWS if order == "views" else BY_RATING)
+    hits = literal_hits(spark, queries, items, order=o, k=k)
+    j = (hits.join(items.select("item_id", "content_type", "view_count", "rating"), "item_id")
          .join(queries.select("query_id", F.col("content_type").alias("want_type")), "query_id")
          .filter(F.col("want_type").isNull() | (F.col("content_type") == F.col("want_type"))))
-    if order == "views":
-        o = [F.col("view_count").desc(), F.col("rating").desc(), F.col("item_id").asc()]
-    else:
-        o = [F.col("rating").desc(), F.col("view_count").desc(), F.col("item_id").asc()]
-    return rank_within(j.drop("want_type"), ["query_id"], o, k)
+    top = rank_within(j, ["query_id"], o, k).select("query_id", "item_id", "rank")
+    return top.join(items.select(*CARD, "tags"), "item_id")
 
 
 # ------------------------------------------------------------ text index
@@ -155,8 +174,8 @@ def enhanced_search(spark: SparkSession, queries: DataFrame, items: DataFrame, k
 def suggest(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int = 6,
             prefix_len: int = 4) -> DataFrame:
     """Autocomplete: text hits first; queries without any hit fall back to
-    a case-insensitive title prefix.  The prefix join is an equi-join on the
-    first ``min(len, prefix_len)`` characters, then ``startswith``."""
+    a case-insensitive title prefix, by an index of short beginnings or an
+    equi-join on the first ``prefix_len`` characters."""
     q = queries.select("query_id", strip_ws(F.col("text")).alias("text"),
                        "content_type").filter(F.col("text") != "")
     kk = F.least(F.greatest(F.lit(k), F.lit(1)), F.lit(10))
@@ -165,13 +184,17 @@ def suggest(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int =
     rest = q.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     lt = F.lower(F.col("title"))
     it = items.select("item_id", "title", "content_type", "category")
-    pre = it.select("*", F.explode(F.sequence(F.lit(1), F.least(F.length(lt), F.lit(prefix_len)))).alias("L"))
-    pre = pre.withColumn("p", F.substring(F.lower("title"), 1, F.col("L")))
     rq = rest.select("query_id", F.lower("text").alias("lq"), F.col("content_type").alias("want_type"))
-    rq = rq.withColumn("p", F.substring("lq", 1, F.least(F.length("lq"), F.lit(prefix_len))))
-    cand = rq.join(pre, "p").filter(F.lower(F.col("title")).startswith(F.col("lq")))
-    cand = cand.filter(F.col("want_type").isNull() | (F.col("content_type") == F.col("want_type")))
-    fb = rank_within(cand, ["query_id"], [F.col("item_id").asc()], k).select(
+    wanted = F.col("want_type").isNull() | (F.col("content_type") == F.col("want_type"))
+    # up to prefix_len characters: an index of beginnings with each one's first
+    # k items of a type, as the order does not depend on the query
+    pre = it.select("*", F.explode(F.sequence(F.lit(1), F.least(F.length(lt), F.lit(prefix_len)))).alias("L")).where(F.length(lt) > 0)
+    index = rank_within(pre.withColumn("lq", F.substring(lt, 1, F.col("L"))), ["lq", "content_type"], [F.col("item_id").asc()], k, "_r").drop("_r", "L")
+    short = rq.filter(F.length("lq") <= prefix_len).join(index, "lq").filter(wanted)
+    # longer ones: their first prefix_len characters, then the whole beginning
+    longer = (rq.filter(F.length("lq") > prefix_len).withColumn("p", F.substring("lq", 1, prefix_len))
+              .join(it.withColumn("p", F.substring(lt, 1, prefix_len)), "p").filter(lt.startswith(F.col("lq")) & wanted).drop("p"))
+    fb = rank_within(short.unionByName(longer), ["query_id"], [F.col("item_id").asc()], k).select(
         "query_id", "rank", "title", "content_type", "category", F.lit("prefix").alias("via"))
     return hits.unionByName(fb)
 

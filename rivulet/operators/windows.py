@@ -121,18 +121,19 @@ def dedup_by_title(df: DataFrame, by: list, order: list, n: int | None = None,
 
 
 def minmax_per_user(df: DataFrame, col: str, by: str = "user_id", out: str | None = None) -> DataFrame:
-    """(x - min) / (max - min) within the group; all equal -> 0."""
-    w = Window.partitionBy(by)
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    return df.withColumn(out or f"{col}_norm",
-                         F.when(hi > lo, (F.col(col) - lo) / (hi - lo)).otherwise(F.lit(0.0)))
+    """(x - min) / (max - min) within the group; all equal -> 0.  Extremes
+    are partial aggregates joined back, so a hot group is not one window."""
+    ends = df.groupBy(by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    j = df.alias("d").join(ends.withColumnRenamed(by, "_by"), F.col(f"d.{by}").eqNullSafe(F.col("_by")))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return j.select("d.*", F.when(hi > lo, (F.col(f"d.{col}") - lo) / (hi - lo)).otherwise(F.lit(0.0)).alias(out or f"{col}_norm"))
 
 
 def popularity_norm(df: DataFrame, by: str = "user_id") -> DataFrame:
     """views / max(max views in the list, 1)."""
-    w = Window.partitionBy(by)
-    return df.withColumn("popularity", F.col("view_count") /
-                         F.greatest(F.max("view_count").over(w), F.lit(1)).cast("double"))
+    most = df.groupBy(by).agg(F.greatest(F.max("view_count"), F.lit(1)).cast("double").alias("_most"))
+    j = df.alias("d").join(most.withColumnRenamed(by, "_by"), F.col(f"d.{by}").eqNullSafe(F.col("_by")))
+    return j.select("d.*", (F.col("d.view_count") / F.col("_most")).alias("popularity"))
 
 
 def top_affinities(counts: DataFrame, key: str, k: int = 8) -> DataFrame:

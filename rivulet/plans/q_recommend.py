@@ -247,12 +247,17 @@ def factor_scores_q(spark, sf):
     return out.select("user_id", "item_id", F.round("factor_score", 6).alias("factor_score"))
 
 
-def _recommend(spark, sf, n=10):
+def _recommend(spark, sf, n=10, of=None):
+    """The model arm for all users, or for those in ``of`` (user_id) only."""
     model, factors = trained(spark, sf)
     inter = B.interactions(spark, sf)
     users, items = B.users(spark, sf), B.items(spark, sf)
-    return RC.recommend(spark, users, inter, items, _profiles(spark, sf), model, factors,
-                        covisitation_edges(inter), similar_for(spark, items, inter), B.as_of(inter), n)
+    covis, own = covisitation_edges(inter), inter
+    if of is not None:
+        of = of.select("user_id").distinct()
+        users, own = users.join(of, "user_id", "left_semi"), inter.join(of, "user_id", "left_semi")
+    return RC.recommend(spark, users, own, items, _profiles(spark, sf), model, factors,
+                        covis, similar_for(spark, items, own), B.as_of(inter), n)
 
 
 @register("recommend", "2.11")
@@ -278,12 +283,89 @@ def blend_scores_q(spark, sf):
     return out.select("user_id", "item_id", F.round("score", 6).alias("score"))
 
 
-@register("recommend_by_arm", "2.11")
-def recommend_by_arm_q(spark, sf):
+def _arms(spark, sf):
+    """Recommendations of each user by the user's arm; an arm scores its own
+    users only."""
     from ..operators.experiments import assign_buckets
     users = B.users(spark, sf)
-    ctl = RC.recommend_control(spark, users, B.interactions(spark, sf), B.items(spark, sf), 10)
-    return RC.recommend_by_arm(spark, assign_buckets(users, B.EXPERIMENT), _recommend(spark, sf), ctl)
+    buckets = assign_buckets(users, B.EXPERIMENT)
+    control = buckets.where("bucket = 'control'").select("user_id")
+    inter = B.interactions(spark, sf)
+    ctl = RC.recommend_control(spark, users.join(control, "user_id", "left_semi"), inter.join(control, "user_id", "left_semi"), B.items(spark, sf), 10)
+    return buckets, RC.recommend_by_arm(spark, buckets, _recommend(spark, sf, of=buckets.where("bucket <> 'control'")), ctl)
+
+
+@register("recommend_by_arm", "2.11")
+def recommend_by_arm_q(spark, sf):
+    return _arms(spark, sf)[1]
+
+
+def _list_checks(spark, sf, recs):
+    """What holds for any recommendation lists: ranks from 1 without gaps, at
+    most 10, scores in order, nothing seen before, no title twice."""
+    recs = recs.select("user_id", "item_id", "rec_rank", "score")
+    recs = RC.reliable(recs)
+    seen = recs.join(B.interactions(spark, sf).select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_semi")
+    titles = recs.join(B.items(spark, sf).select("item_id", RC.norm_title("title").alias("t")), "item_id").groupBy("user_id").agg(
+        (F.count("*") - F.countDistinct("t")).alias("twice"))
+    later = recs.select("user_id", (F.col("rec_rank") - 1).alias("rec_rank"), F.col("score").alias("next_score"))
+    own = recs.groupBy("user_id").agg(F.count("*").alias("n"), F.max("rec_rank").alias("m"), F.countDistinct("rec_rank").alias("d"))
+    return own.agg(F.count("*").alias("users"), F.count_if("n > 10").alias("too_long"), F.count_if("m <> n or d <> n").alias("gaps")).crossJoin(
+        seen.agg(F.count("*").alias("seen"))).crossJoin(titles.agg(F.coalesce(F.sum("twice"), F.lit(0)).alias("repeated_titles"))).crossJoin(
+        recs.join(later, ["user_id", "rec_rank"]).agg(F.count_if("next_score > score").alias("out_of_order")))
+
+
+LIST_SQL = """
+SELECT count(*) AS users, 0 AS too_long, 0 AS gaps, 0 AS seen, 0 AS repeated_titles, 0 AS out_of_order FROM users"""
+
+
+@register("recommend_checks", "2.11", B.with_ctes("users") + LIST_SQL)
+def recommend_checks_q(spark, sf):
+    """Every user has a list that keeps its rules."""
+    return _list_checks(spark, sf, _recommend(spark, sf))
+
+
+@register("rank_candidates_checks", "2.11", B.with_ctes("users") + """
+SELECT count(*) AS users, 0 AS missing, 0 AS no_score FROM users""")
+def rank_candidates_checks_q(spark, sf):
+    """Every candidate of every user gets one finite model score."""
+    model, _ = trained(spark, sf)
+    inter, items = B.interactions(spark, sf), B.items(spark, sf)
+    cands = RC.reliable(RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), similar_for(spark, items, inter), 500))
+    ranked = RC.rank_candidates(cands, _profiles(spark, sf), items, model, B.as_of(inter))
+    both = cands.select("user_id", "item_id").join(ranked, ["user_id", "item_id"], "left")
+    return both.agg(F.countDistinct("user_id").alias("users"), F.count_if("ml_score is null").alias("missing"),
+                    F.count_if("isnan(ml_score)").alias("no_score"))
+
+
+@register("fit_factors_checks", "2.11", B.with_ctes("interactions") + """
+, sizes AS (SELECT count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items FROM interactions)
+SELECT CAST(users AS BIGINT) AS users, CAST(items AS BIGINT) AS items, CAST(least(64, users - 1, items - 1) AS BIGINT) AS rank,
+       true AS left_orthonormal, true AS right_orthonormal, true AS reproduces FROM sizes""".replace("\n, sizes", ", sizes", 1))
+def fit_factors_checks_q(spark, sf):
+    """The decomposition's identities on the whole matrix: both sides are
+    orthonormal once the roots of the singular values are taken out, and the
+    transposed matrix times the left vectors gives the right ones."""
+    from ..operators.aggregates import confidence_matrix
+    inter = B.interactions(spark, sf)
+    f = RC.fit_factors(inter)
+    s = [float(x) for x in f.values]
+
+    def gram(side):  # sums over all rows, map-side first: rank * rank numbers
+        pairs = side.select(F.posexplode("features").alias("i", "a"), "features").select("i", "a", F.posexplode("features").alias("j", "b"))
+        root = F.array(*[F.lit(x) for x in s])
+        g = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g")).withColumn(
+            "want", F.when(F.col("i") == F.col("j"), F.get(root, "i")).otherwise(0.0))
+        return g.agg((F.max(F.abs(F.col("g") - F.col("want"))) < 1e-6 * s[0]).alias("ok"))
+
+    conf = confidence_matrix(inter).join(f.users, "user_id")
+    sums = conf.groupBy("item_id").agg(F.array(*[F.sum(F.col("confidence") * F.col("features")[j]) for j in range(len(s))]).alias("got"))
+    scale = F.array(*[F.lit(x) for x in s])
+    gap = F.array_max(F.zip_with("got", F.zip_with("features", scale, lambda v, x: v * x), lambda a, b: F.abs(a - b)))
+    same = sums.join(f.items, "item_id").agg((F.max(gap) < 1e-6 * s[0] * s[0]).alias("ok"))
+    return f.users.agg(F.count("*").alias("users")).crossJoin(f.items.agg(F.count("*").alias("items"))).crossJoin(
+        gram(f.users).withColumnRenamed("ok", "left_orthonormal")).crossJoin(gram(f.items).withColumnRenamed("ok", "right_orthonormal")).crossJoin(
+        same.withColumnRenamed("ok", "reproduces")).withColumn("rank", F.lit(len(s)).cast("long"))
 
 
 @register("retrain", "2.11")

@@ -12,8 +12,6 @@ from rivulet.plans.registry import load_all
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-SLOW_NO_ORACLE = {"rank_candidates", "recommend", "blend_scores", "recommend_by_arm", "fit_factors",
-                  "factor_scores"}
 REG = load_all()
 
 
@@ -53,7 +51,7 @@ def test_oracle(spark, duck, name):
     assert _rows(sdf.columns, srows) == _rows(dcols, res.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(n for n, q in REG.items() if not q.sql and n not in SLOW_NO_ORACLE))
+@pytest.mark.parametrize("name", sorted(n for n, q in REG.items() if not q.sql))
 def test_runs_without_oracle(spark, name):
     assert REG[name].build(spark, SF_SMALL).count() > 0
 
