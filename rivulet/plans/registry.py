@@ -36,5 +36,5 @@ def register(name: str, section: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     """Import every module that registers queries."""
-    from . import q_core, q_experiments, q_recommend, q_resolve, q_streaming, q_text  # noqa: F401
+    from . import q_core, q_experiments, q_recommend, q_resolve, q_routes, q_streaming, q_text  # noqa: F401
     return REGISTRY
