@@ -99,16 +99,18 @@ def system_stats_full(spark: SparkSession, users: DataFrame, items: DataFrame, i
 def user_interaction_stats(inter: DataFrame, items: DataFrame) -> DataFrame:
     """Per user: category / type / tag lists (with repeats), mean dwell over
     all rows, mean rating over non-null, count.  Lists are sorted and joined
-    with ``|`` so the result is flat and order-free."""
+    with ``|`` so the result is flat and order-free; they are put together
+    from one count per user and value, taken map-side first."""
     j = inter.join(items.select("item_id", "category", "content_type", "tags"), "item_id", "left")
-    return j.groupBy("user_id").agg(
-        F.array_join(F.sort_array(F.collect_list("category")), "|").alias("categories"),
-        F.array_join(F.sort_array(F.collect_list("content_type")), "|").alias("content_types"),
-        F.array_join(F.sort_array(F.flatten(F.collect_list(
-            F.coalesce("tags", F.array().cast("array<string>"))))), "|").alias("tags"),
-        F.round(F.avg("dwell_seconds"), 6).alias("avg_dwell_time"),
-        F.round(F.avg("rating"), 6).alias("avg_rating"),
-        _count().alias("total_interactions"))
+    out = j.groupBy("user_id").agg(F.round(F.avg("dwell_seconds"), 6).alias("avg_dwell_time"),
+                                   F.round(F.avg("rating"), 6).alias("avg_rating"), _count().alias("total_interactions"))
+    lists = {"categories": F.col("category"), "content_types": F.col("content_type"), "tags": F.explode("tags")}
+    for name, value in lists.items():
+        counts = j.select("user_id", value.alias("v")).where("v is not null").groupBy("user_id", "v").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        own = counts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("vs"))
+        text = F.array_join(F.flatten(F.transform("vs", lambda x: F.array_repeat(x["v"], x["n"]))), "|")
+        out = out.join(own.select("user_id", text.alias(name)), "user_id", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out.select("user_id", *lists, "avg_dwell_time", "avg_rating", "total_interactions")
 
 
 def user_total_interactions(inter: DataFrame) -> DataFrame:

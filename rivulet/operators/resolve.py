@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import norm_title
 from ..session import checkpoint_dir
 from .components import components
+from .joins import year_guard
 from .topk import rank_within
 
 
@@ -509,11 +510,13 @@ def resolve_movies(spark: SparkSession, rich: DataFrame, ml_items: DataFrame, ml
     fz = fuzzy_stage(r, rest.withColumn("title", F.col("_clean")), t)
     fz = (fz.join(rest.select(F.col("item_id").alias("source_id"), F.col("_yr").alias("oy")), "source_id")
           .join(r.select(F.col("item_id").alias("target_id"), F.col("_yr").alias("ry")), "target_id"))
-    guard = F.col("oy").isNull() | F.col("ry").isNull() | (F.abs(F.col("oy").cast("int") - F.col("ry").cast("int")) <= 1)
+    fz = _cut(fz)
+    guard = year_guard(F.col("oy"), F.col("ry"))
     stages.append(fz.filter(guard).select("source_id", "target_id", F.lit("fuzzy").alias("stage")))
     matches = stages[0]
     for m in stages[1:]:
         matches = matches.unionByName(m)
+    matches = _cut(matches)  # four tables are made from it
     out_rich = combine_ratings(absorb(rich, ml_items, matches), ml_inter, matches, 0.65)
     items = out_rich.unionByName(_unmatched(ml_items, matches), allowMissingColumns=True)
     return {"items": items, "interactions": remap(ml_inter, matches), "matches": matches,
@@ -535,7 +538,7 @@ def resolve_books(spark: SparkSession, rich: DataFrame, bx_items: DataFrame, bx_
           .select(F.col("item_id").alias("source_id"), "target_id", F.lit("exact").alias("stage")))
     rest = bx.join(m1.select(F.col("source_id").alias("item_id")), "item_id", "left_anti")
     m2 = fuzzy_stage(rich, rest, t).select("source_id", "target_id", F.lit("fuzzy").alias("stage"))
-    matches = m1.unionByName(m2)
+    matches = _cut(m1.unionByName(m2))
     out_rich = combine_ratings(absorb(rich, bx, matches), bx_inter, matches, 0.60, scale=2.0)
     items = out_rich.unionByName(_unmatched(bx, matches), allowMissingColumns=True)
     return {"items": items, "interactions": remap(bx_inter, matches), "matches": matches}
@@ -545,7 +548,7 @@ def resolve_games(spark: SparkSession, rawg: DataFrame, steam: DataFrame, t: flo
     """Fuzzy >= t; absorb views; a target description shorter than 50
     characters is replaced in match order by non-empty matched descriptions
     until one of 50+ characters lands (first long one, else the last)."""
-    matches = fuzzy_stage(rawg, steam, t).select("source_id", "target_id", F.lit("fuzzy").alias("stage"))
+    matches = _cut(fuzzy_stage(rawg, steam, t).select("source_id", "target_id", F.lit("fuzzy").alias("stage")))
     d = (matches.join(steam.select(F.col("item_id").alias("source_id"), F.col("description").alias("sd"),
                                    _ord(steam).alias("so")), "source_id")
          .filter(F.coalesce(F.col("sd"), F.lit("")) != "")
@@ -573,17 +576,20 @@ def resolve_music(spark: SparkSession, spotify: DataFrame, lastfm: DataFrame, t:
     right = first_album.select(F.col("album_id").alias("id"), F.col("_a").alias("key"), F.col("a_ord").alias("ord"))
     left = lastfm.select(F.col("item_id").alias("id"), artist("title").alias("key"))
     hit = fuzzy_best_match(left, right, t).select(F.col("l_id").alias("source_id"), F.col("r_id").alias("target_id"))
-    matches = hit.withColumn("stage", F.lit("artist"))
+    matches = _cut(hit.withColumn("stage", F.lit("artist")))
     out = absorb(spotify, lastfm, matches)
     return {"items": out.unionByName(_unmatched(lastfm, matches), allowMissingColumns=True), "matches": matches}
 
 
-def resolution_summary(results: dict[str, DataFrame]) -> DataFrame:
-    """Matched / unmatched counts per resolver and stage."""
-    from functools import reduce
+def resolution_summary(results: dict[str, DataFrame], counts: dict[tuple[str, str], DataFrame] | None = None) -> DataFrame:
+    """Rows (stage, n, resolver): matches per resolver and stage, and for each
+    (resolver, measure) of ``counts`` how many rows its table has."""
+    from .sets import union_all
     parts = [m.groupBy("stage").agg(F.count(F.lit(1)).alias("n")).withColumn("resolver", F.lit(name))
              for name, m in results.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    parts += [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(measure).alias("stage"), "n", F.lit(name).alias("resolver"))
+              for (name, measure), d in (counts or {}).items()]
+    return union_all(parts)
 
 
 def build_catalogue(spark: SparkSession, src: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -611,7 +617,13 @@ def build_catalogue(spark: SparkSession, src: dict[str, DataFrame]) -> dict[str,
              (mv["items"], bk["items"], gm["items"], mu["items"], articles, videos, products)]
     items = assemble_catalogue(lists)
     inter = union_all([mv["interactions"], bk["interactions"], src.get("other_interactions", mv["interactions"].limit(0))])
-    summary = resolution_summary({"movies": mv["matches"], "books": bk["matches"], "games": gm["matches"],
-                                  "music": mu["matches"]})
+    resolved = {"movies": (mv, src["ml_items"]), "books": (bk, src["bx_items"]), "games": (gm, src["steam"]), "music": (mu, src["lastfm"])}
+    counts = {(name, "unmatched"): _unmatched(given, out["matches"]) for name, (out, given) in resolved.items()}
+    counts |= {(name, "combined"): out["matches"].join(inter.where("rating > 0").select(F.col("item_id").alias("source_id")).distinct(),
+                                                       "source_id", "left_semi").select("target_id").distinct()
+               for name, out, inter in (("movies", mv, src["ml_interactions"]), ("books", bk, src["bx_interactions"]))}
+    counts |= {("movies", "year_mismatch"): mv["year_rejected"], ("articles", "deduped"): kept_art.where("NOT kept"),
+               ("videos", "deduped"): kept_v.where("NOT kept")}
+    summary = resolution_summary({name: out["matches"] for name, (out, _) in resolved.items()}, counts)
     return {"items": items, "interactions": inter, "report": catalogue_type_report(spark, items),
             "summary": summary}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.scalars import normal_cdf_sql, sha_mod_sql
 from ..operators import experiments as X
+from ..operators.intents import classify_intent, classify_intent_sql
 from ..sources import binding as B
 from ..sources.tables import raw
 from .registry import register
@@ -199,15 +200,19 @@ SELECT 'events' AS metric, event_type AS label, count(*) AS count FROM events GR
 UNION ALL SELECT 'recommendations', CASE WHEN bucket = 'treatment' THEN 'xgboost_ml' ELSE 'popularity_based' END,
        count(*) FROM experiment_events WHERE event_type = 'recommendation_request' GROUP BY 2
 UNION ALL SELECT 'assignments', experiment_id || ':' || bucket, count(*)
-       FROM (SELECT DISTINCT user_id, experiment_id, bucket FROM experiment_events) GROUP BY 2""")
+       FROM (SELECT DISTINCT user_id, experiment_id, bucket FROM experiment_events) GROUP BY 2
+UNION ALL SELECT 'searches', """ + classify_intent_sql("text")[0] + """, count(*) FROM conversations GROUP BY 2""")
 def request_rollup_q(spark, sf):
+    """Requests by label; searches are the conversations' texts by intent.
+    The tables hold no cache, so there is no hit rate to count."""
+    searches = classify_intent(raw(spark, sf, "conversations").select("text")).select(F.col("intent").alias("label"))
     ev = raw(spark, sf, "events").select(F.col("event_type").alias("label"))
     ee = B.experiment_events(spark, sf)
     recs = ee.filter(F.col("event_type") == "recommendation_request").select(
         F.when(F.col("bucket") == "treatment", "xgboost_ml").otherwise("popularity_based").alias("label"))
     asg = ee.select("user_id", "experiment_id", "bucket").distinct().select(
         F.concat_ws(":", "experiment_id", "bucket").alias("label"))
-    return X.request_rollup({"events": ev, "recommendations": recs, "assignments": asg})
+    return X.request_rollup({"events": ev, "recommendations": recs, "assignments": asg, "searches": searches})
 
 
 @register("latency_histogram", "2.5", """
