@@ -101,7 +101,7 @@ def stream_sessions_q(spark, sf):
                     "n_events")
 
 
-@register("stream_covisitation", "2.14", EV_SQL + """
+COVIS_SQL = EV_SQL + """
 , ev AS (SELECT *, lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp, seq_a) AS prev FROM event_interactions
          WHERE interaction_type IN ('view', 'click', 'like'))
 , b AS (SELECT *, CASE WHEN prev IS NULL OR epoch_us(timestamp) - epoch_us(prev) > 3600000000 THEN 1 ELSE 0 END AS brk
@@ -114,7 +114,10 @@ def stream_sessions_q(spark, sf):
             ON x.user_id = y.user_id AND x.sid = y.sid AND y.pos BETWEEN x.pos + 1 AND x.pos + 5)
 SELECT item_a, item_b, count(*) AS weight
 FROM (SELECT item_a, item_b FROM pairs UNION ALL SELECT item_b, item_a FROM pairs) GROUP BY item_a, item_b
-""".replace("\n, ev AS", ", ev AS", 1))
+""".replace("\n, ev AS", ", ev AS", 1)
+
+
+@register("stream_covisitation", "2.14", COVIS_SQL)
 def stream_covisitation_q(spark, sf):
     base = SJ.stream_base(spark, "stream_covisitation")
     SJ.stream_sessions(_events(spark, sf), base, types=K.SESSION_TYPES)
@@ -122,6 +125,13 @@ def stream_covisitation_q(spark, sf):
     return SJ.session_covisitation(sessions, B.event_interactions(spark, sf))
 
 
+@register("stream_pairs", "2.14", COVIS_SQL)
+def stream_pairs_q(spark, sf):
+    """The same edges from the stream's own state, without a second read."""
+    base = SJ.stream_base(spark, "stream_pairs")
+    return SJ.pair_edges(SJ.stream_pairs(_events(spark, sf), base).read("rows"))
+
+
 SIG = ["z_score", "p_value", "lift_pct", "control_ctr", "treatment_ctr"]
 
 

@@ -14,9 +14,11 @@ deployments use a processing-time trigger with the same builders.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -158,6 +160,97 @@ def stream_sessions(events: DataFrame, base: str, gap: str = "1 hour", types=Non
         base)
 
 
+class PairState:
+    """One user's open session: its newest items, and events that the
+    watermark has not passed yet, as they may still arrive out of order."""
+
+    def __init__(self, text: str | None, gap_us: int, ahead: int):
+        held = json.loads(text) if text else {}
+        self.gap, self.ahead = gap_us, ahead
+        self.pending, self.recent = held.get("pending", []), held.get("recent", [])
+        self.start, self.last = held.get("start"), held.get("last")
+
+    def text(self) -> str:
+        return json.dumps({"pending": self.pending, "recent": self.recent, "start": self.start, "last": self.last})
+
+    def advance(self, until_us: int) -> list[tuple]:
+        """Rows for what the watermark has passed: (start, end, item_a,
+        item_b) of a pair with end None, or of a closed session, without items."""
+        out, later = [], []
+        for ts, seq, item in sorted(self.pending):
+            if ts > until_us:
+                later.append([ts, seq, item])
+                continue
+            if self.last is not None and ts - self.last > self.gap:
+                out.append(self._close())
+            if self.start is None:
+                self.start = ts
+            out += [(self.start, None, before, item) for before in self.recent]
+            self.recent, self.last = [*self.recent, item][-self.ahead:], ts
+        self.pending = later
+        if self.last is not None and self.last + self.gap <= until_us:
+            out.append(self._close())
+        return out
+
+    def _close(self) -> tuple:
+        row = (self.start, self.last + self.gap, None, None)
+        self.start = self.last = None
+        self.recent = []
+        return row
+
+    def wake_us(self) -> int | None:
+        """When the watermark next changes anything here."""
+        times = [p[0] for p in self.pending] + ([] if self.last is None else [self.last + self.gap])
+        return min(times, default=None)
+
+
+def stream_pairs(events: DataFrame, base: str, gap_seconds: int = 3600, ahead: int = 5,
+                 types=tuple(K.SESSION_TYPES)) -> EpochStore:
+    """Co-visitation pairs out of the stream itself.  A user's state holds the
+    last ``ahead`` items of the open session and the events of the watermark's
+    delay; pairs are emitted in event order once the watermark passes them,
+    and a row without items when an event-time timer closes the session.
+    Events later than the watermark are dropped, here as in
+    ``stream_sessions``."""
+    gap_us = gap_seconds * 1_000_000
+
+    def step(key: tuple, frames, state):
+        now = state.getCurrentWatermarkMs() * 1000
+        own = PairState(state.get[0] if state.exists else None, gap_us, ahead)
+        if not state.hasTimedOut:
+            for pdf in frames:
+                own.pending += [[int(t), int(q), i] for t, q, i in zip(pdf["ts_us"], pdf["seq"], pdf["item_id"]) if t >= now]
+        rows = own.advance(now)
+        wake = own.wake_us()
+        if wake is None:
+            state.remove()
+        else:
+            state.update((own.text(),))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, wake // 1000))
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["user_id", "start_us", "end_us", "item_a", "item_b"]).astype({"end_us": "Int64"})
+
+    ev = events.filter("valid").filter(F.col("type").isin(*types)).withWatermark("ts", f"{gap_seconds} seconds").select(
+        "user_id", "item_id", "ts", F.unix_micros("ts").alias("ts_us"), F.col("interaction_id").cast("long").alias("seq"))
+    rows = ev.groupBy("user_id").applyInPandasWithState(
+        step, "user_id string, start_us long, end_us long, item_a string, item_b string", "held string", "append", "EventTimeTimeout")
+    root, spark = os.path.join(base, "tables"), events.sparkSession
+    store = EpochStore(spark, root)
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        store.publish(epoch, {"rows": batch})
+    run(rows.writeStream.outputMode("append").foreachBatch(sink), base)
+    return EpochStore(spark, root)
+
+
+def pair_edges(rows: DataFrame) -> DataFrame:
+    """(item_a, item_b, weight), both ways, of the closed sessions among the
+    rows that ``stream_pairs`` published."""
+    closed = rows.where("end_us is not null").select("user_id", "start_us").distinct()
+    pairs = rows.where("end_us is null").join(closed, ["user_id", "start_us"], "left_semi")
+    both = pairs.select("item_a", "item_b").unionByName(pairs.select(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b")))
+    return both.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("weight"))
+
+
 def session_covisitation(sessions: DataFrame, inter: DataFrame, gap_seconds: int = 3600,
                          types=tuple(K.SESSION_TYPES)) -> DataFrame:
     """Co-visitation edges of the closed sessions that ``stream_sessions``

@@ -103,3 +103,29 @@ def test_dirty_users_are_refreshed_and_others_left_alone(spark, tmpdir_path):
     got = table.read().collect()
     assert rows(table.read().select("user_id", "item_id", "rank")) == full
     assert {r["user_id"] for r in got if r["view_count"] == -1} == mine & {r["user_id"] for r in got}
+
+
+def test_pair_state_in_event_order():
+    """Events out of order, in batches as the watermark moves, as in one go."""
+    import random
+    rnd = random.Random(2)
+    gap = 100
+    for _ in range(200):
+        events = sorted([rnd.randint(0, 1500), k, f"i{rnd.randint(0, 5)}"] for k in range(rnd.randint(0, 25)))
+        whole = SJ.PairState(None, gap, 3)
+        whole.pending = [list(e) for e in events]
+        want = whole.advance(10_000)
+        text, got, rest, mark = None, [], list(events), 0
+        while rest or mark < 10_000:
+            mark += rnd.randint(1, 400)
+            now = [e for e in rest if e[0] <= mark + 150]
+            rest = [e for e in rest if e[0] > mark + 150]
+            rnd.shuffle(now)
+            own = SJ.PairState(text, gap, 3)
+            own.pending += now
+            got += own.advance(mark)
+            assert own.wake_us() is None or own.wake_us() > mark
+            text = own.text()
+        assert got == want and SJ.PairState(text, gap, 3).wake_us() is None
+    ends = [r for r in want if r[1] is not None]
+    assert len({r[0] for r in ends}) == len(ends)
