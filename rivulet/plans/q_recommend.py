@@ -310,9 +310,9 @@ def _list_checks(spark, sf, recs):
         (F.count("*") - F.countDistinct("t")).alias("twice"))
     later = recs.select("user_id", (F.col("rec_rank") - 1).alias("rec_rank"), F.col("score").alias("next_score"))
     own = recs.groupBy("user_id").agg(F.count("*").alias("n"), F.max("rec_rank").alias("m"), F.countDistinct("rec_rank").alias("d"))
-    return own.agg(F.count("*").alias("users"), F.count_if("n > 10").alias("too_long"), F.count_if("m <> n or d <> n").alias("gaps")).crossJoin(
+    return own.agg(F.count("*").alias("users"), F.count_if(F.expr("n > 10")).alias("too_long"), F.count_if(F.expr("m <> n or d <> n")).alias("gaps")).crossJoin(
         seen.agg(F.count("*").alias("seen"))).crossJoin(titles.agg(F.coalesce(F.sum("twice"), F.lit(0)).alias("repeated_titles"))).crossJoin(
-        recs.join(later, ["user_id", "rec_rank"]).agg(F.count_if("next_score > score").alias("out_of_order")))
+        recs.join(later, ["user_id", "rec_rank"]).agg(F.count_if(F.expr("next_score > score")).alias("out_of_order")))
 
 
 LIST_SQL = """
@@ -334,8 +334,8 @@ def rank_candidates_checks_q(spark, sf):
     cands = RC.reliable(RC.candidates(spark, B.users(spark, sf), inter, items, covisitation_edges(inter), similar_for(spark, items, inter), 500))
     ranked = RC.rank_candidates(cands, _profiles(spark, sf), items, model, B.as_of(inter))
     both = cands.select("user_id", "item_id").join(ranked, ["user_id", "item_id"], "left")
-    return both.agg(F.countDistinct("user_id").alias("users"), F.count_if("ml_score is null").alias("missing"),
-                    F.count_if("isnan(ml_score)").alias("no_score"))
+    return both.agg(F.countDistinct("user_id").alias("users"), F.count_if(F.expr("ml_score is null")).alias("missing"),
+                    F.count_if(F.expr("isnan(ml_score)")).alias("no_score"))
 
 
 @register("fit_factors_checks", "2.11", B.with_ctes("interactions") + """
