@@ -34,6 +34,8 @@ from .rank_merge import byte_alphabet
 
 #: Characters of texts that are tokenised and aligned together.
 TOGETHER = 400_000
+#: Pre-tokens of the first vocabulary that a worker remembers, in each of two generations.
+MEMO_WORDS = 150_000
 
 
 def entry_bytes(raw: bytes) -> list[bytes]:
@@ -80,11 +82,11 @@ class Aligner:
             raise ValueError("the first vocabulary must be plain byte-level BPE")
         self.model, self.words = Tokenizer.from_str(raw_a.decode()).model, regex.compile(pattern)
         self.second = SentencePieceProcessor(model_proto=raw_b)
-        self.alphabet = byte_alphabet()
+        self.alphabet = {b: c for b, c in enumerate(byte_alphabet())}
         self.bytes_a, self.bytes_b = entry_bytes(raw_a), piece_bytes(raw_b)
         self.size_a, self.size_b = (np.array([len(e) for e in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.pairs = possible_pairs(self.bytes_a, self.bytes_b)
-        self.memo = Memo(self.word_ids)
+        self.memo = Memo(self.word_ids, MEMO_WORDS)
         # an id in decimal and what follows it, within a group and at its end
         self.names = [f"{k}{c}" for k in range(len(self.bytes_a)) for c in ",|"] + [f"{k}{c}" for k in range(len(self.bytes_b)) for c in ",;"]
 
@@ -94,7 +96,7 @@ class Aligner:
         out = []
         for w in words:
             data = w.encode("utf-8", "surrogatepass")
-            ids = [t.id for t in self.model.tokenize(w if w.isascii() and w.isalnum() else "".join([self.alphabet[b] for b in data]))]
+            ids = [t.id for t in self.model.tokenize(data.decode("latin-1").translate(self.alphabet))]
             out.append(struct.pack(f"<{len(ids)}I", *ids) if b"".join([self.bytes_a[i] for i in ids]) == data else b"")
         return out
 
