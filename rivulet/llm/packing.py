@@ -33,6 +33,27 @@ from .rank_merge import byte_alphabet
 NOT_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+#: Characters of a key that a memo keeps, and rows of an Arrow batch on both
+#: sides of a Python worker (a row is a whole text).
+MEMO_KEY, BATCH_ROWS = 256, 1_000
+
+
+class ShortMemo(Memo):
+    """A memo that holds long keys until its next call only."""
+
+    def __init__(self, compute, entries: int):
+        super().__init__(compute, entries)
+        self.passing: list[str] = []
+
+    def over(self, keys) -> dict:
+        for k in self.passing:
+            self.young.pop(k, None)
+            self.old.pop(k, None)
+        keys = set(keys)
+        self.passing = [k for k in keys if len(k) > MEMO_KEY]
+        return super().over(keys)
+
+
 class WordIds:
     """Ids of whole texts by the ``tokenizers`` library.  Its pattern drops
     white space and no token spans it, so repeated words are encoded once."""
@@ -43,8 +64,8 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.alphabet = byte_alphabet()
-        self.stems = Memo(self.encode, 200_000)
-        self.memo = Memo(self.words, 400_000)
+        self.stems = ShortMemo(self.encode, 200_000)
+        self.memo = ShortMemo(self.words, 400_000)
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of words.  Case is ignored and letters never join with a mark
@@ -112,7 +133,7 @@ class WordIds:
 def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (packed uint32),
     ids_crc32, and its number among equal lengths in its partition."""
-    prepare(docs)
+    prepare(docs).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     raw = file_bytes(vocab_path)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),

@@ -200,3 +200,10 @@ def test_memo_keeps_within_its_bound():
     for at in range(0, 100, 5):
         got = memo.over(range(at, at + 5))
         assert all(got[k] == 2 * k for k in range(at, at + 5)) and len(memo.young) + len(memo.old) <= 40
+
+
+def test_memo_does_not_keep_long_keys():
+    memo = packing.ShortMemo(lambda ks: [len(k) for k in ks], 10)
+    for n in range(300, 400):
+        got = memo.over(["x" * n, "y"])
+        assert got["x" * n] == n and got["y"] == 1 and len(memo.young) <= 2 and not memo.old
