@@ -241,6 +241,15 @@ def test_sketch_order_is_one_for_all_sets():
     assert [x for x in a if x in common] == [x for x in b if x in common]
 
 
+def test_order_counts_every_text(spark):
+    docs = spark.createDataFrame([(k, f"alpha beta word{k} gamma") for k in range(40)] + [(99, None)], "doc_id long, text string")
+    of = jaccard_trie.Shingler(2)
+    sketch = jaccard_trie.merge_sketch(jaccard_trie.count_sketch(docs.repartition(3), 2))
+    assert int(sketch.sum()) == sum(len(of(f"alpha beta word{k} gamma")) for k in range(40))
+    shared = int(of("alpha beta")[0] >> (64 - jaccard_trie.SKETCH_BITS))
+    assert sketch[shared] >= 40
+
+
 def test_components_of_long_paths(spark):
     n = 300
     edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a % 100 <> 99")
