@@ -67,3 +67,20 @@ def test_a_failed_retrain_leaves_the_old_version(spark, tmpdir_path, monkeypatch
     assert second["version"] == 1 and second["covisitation"].count() < before
     pairs = inter.select("user_id", "item_id").distinct()
     assert RC.factor_scores(pairs, second["factors"]).agg(F.max("factor_score")).first()[0] <= 1.0
+
+
+def test_gram_equals_numpy(spark):
+    x = np.random.default_rng(1).normal(size=(50, 6))
+    tall = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id int, x array<double>").repartition(4)
+    np.testing.assert_allclose(factorise.gram(tall, 6), x.T @ x, atol=1e-12)
+
+
+def test_factors_are_fitted_without_a_ranker(spark, monkeypatch):
+    from rivulet.plans import q_recommend as Q
+    rows = [(f"u{u}", f"i{i}", "view", 10 * u + i, 3.0) for u in range(6) for i in range(5) if (u + i) % 3]
+    inter = spark.createDataFrame(rows, "user_id string, item_id string, interaction_type string, dwell_seconds int, rating double")
+    monkeypatch.setattr(Q.B, "interactions", lambda spark, sf: inter)
+    monkeypatch.setattr(Q.RC, "fit_ranker", lambda *a, **k: pytest.fail("trained a ranker"))
+    monkeypatch.setattr(Q, "_MODELS", {})
+    got = {r["item"]: r["rank"] for r in Q.fit_factors_q(spark, "own").collect()}
+    assert set(got) == {f"i{i}" for i in range(5)} and len(set(got.values())) == 1
