@@ -111,3 +111,31 @@ def test_topk_inner_equals_brute_force(spark, monkeypatch):
         named = TX.topk_inner(spark.createDataFrame([(f"q{a[0]}", *a[1:]) for a in asks], kind.replace("id long", "id string")),
                               spark.createDataFrame(docs, kind), 20, 5, positive=positive).count()
         assert named > 0
+
+
+def test_topk_inner_keeps_rows_of_equal_vectors(spark):
+    """Equal vectors are compared once; repeated ids and the own id stay right,
+    and vectors without idx hold every place."""
+    from rivulet.operators import text as TX
+    docs = [(k, None, [1.0, 0.0] if k < 30 else [0.6, 0.8]) for k in range(40)] + [(7, None, [0.6, 0.8])] * 2 + [
+        (50, None, None), (None, None, [1.0, 0.0]), (51, None, [None, 1.0]), (52, None, [float("nan"), 1.0])]
+    df = spark.createDataFrame(docs, "id long, idx array<int>, val array<double>")
+    got = {}
+    for r in TX.topk_inner(df, df, 2, 4, exclude_self=True).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.other, r.similarity))
+    assert sorted(got) == list(range(40))
+    assert sorted(got[0]) == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0)]
+    assert sorted(got[35]) == [(1, 7, 1.0), (2, 7, 1.0), (3, 30, 1.0), (4, 31, 1.0)]
+    assert [x[1:] for x in sorted(got[7])][:2] == [(0, 1.0), (0, 1.0)] or sorted(got[7])[0][1:] == (0, 1.0)
+
+
+def test_vectors_are_sent_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    """More vectors make larger blocks, not more of them."""
+    from pyspark.sql import functions as F
+
+    from rivulet.operators import text as TX
+    from rivulet.operators.components import reliable
+    monkeypatch.setattr(TX, "BLOCK_ROWS", 4)
+    rows = spark.range(4000).select("id", F.lit(None).cast("array<int>").alias("idx"), F.array(*[F.rand(k) for k in range(8)]).alias("val"))
+    blocks = TX._blocks(reliable(TX._vectors(reliable(TX._coded(rows)))))
+    assert blocks.count() == 4000 and blocks.select("block").distinct().count() <= TX.BLOCKS
