@@ -76,14 +76,14 @@ def year_guard(l_year, r_year):
     return ly.isNull() | ry.isNull() | (F.abs(ly - ry) <= 1)
 
 
-def similar_items(items: DataFrame, k: int = 10) -> DataFrame:
+def similar_items(items: DataFrame, k: int = 10, of: DataFrame | None = None) -> DataFrame:
     """Per item: other items sharing its category or any tag, best k by
-    (rating desc, views desc, id).
+    (rating desc, views desc, id); given ``of`` (item_id), for those items only.
 
     A category key can hold a third of the catalogue, so the self-join never
     pairs whole groups: each key first keeps only its top k+1 items by the
     global order (exact, since the order does not depend on the reference
-    item), then pairs are formed inside those short lists.
+    item).  Items with the same keys share one list, made once and as an array.
     """
     from .topk import rank_within
 
@@ -94,15 +94,24 @@ def similar_items(items: DataFrame, k: int = 10) -> DataFrame:
                                 F.transform(F.coalesce("tags", F.array().cast("array<string>")),
                                             lambda t: F.concat(F.lit("tag:"), t)))).alias("key"))
     order = [F.col("rating").desc(), F.col("view_count").desc(), F.col("item_id").asc()]
-    leaders = rank_within(keys, ["key"], order, k + 1, "_r").select(
-        "key", F.col("item_id").alias("sim_id"), F.col("rating").alias("sim_rating"),
-        F.col("view_count").alias("sim_views"))
-    pairs = (keys.select("item_id", "key").join(leaders, "key")
-             .filter(F.col("item_id") != F.col("sim_id"))
-             .select("item_id", "sim_id", "sim_rating", "sim_views").distinct())
-    return rank_within(pairs, ["item_id"],
-                       [F.col("sim_rating").desc(), F.col("sim_views").desc(), F.col("sim_id").asc()],
-                       k, "rank")
+    # in the order's direction, nulls last
+    place = F.struct(F.col("rating").isNull().alias("a"), (-F.col("rating")).alias("b"), F.col("view_count").isNull().alias("c"),
+                     (-F.col("view_count")).alias("d"), F.col("item_id").alias("sim_id"))
+    keys = keys.where("item_id is not null")
+    leaders = rank_within(keys, ["key"], order, k + 1, "_r").groupBy("key").agg(F.collect_list(place).alias("near"))
+    own = keys.select("item_id", "key").where("key is not null")
+    if of is not None:
+        own = own.join(of.select("item_id").distinct(), "item_id", "left_semi")
+    sets = own.groupBy("item_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    lists = sets.select("keys").distinct().select("keys", F.explode("keys").alias("key")).join(leaders, "key")
+    lists = lists.groupBy("keys").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+    # an item's own rows, which drop out, are as many as its copies
+    copies = F.array_max(F.transform("near", lambda x: F.size(F.filter("near", lambda y: y["sim_id"] == x["sim_id"]))))
+    lists = lists.select("keys", F.slice("near", F.lit(1), copies + k).alias("near"))
+    others = F.slice(F.filter("near", lambda x: x["sim_id"] != F.col("item_id")), 1, k)
+    out = sets.join(lists, "keys").select("item_id", F.posexplode(others).alias("pos", "s"))
+    return out.select("item_id", F.col("s.sim_id").alias("sim_id"), (-F.col("s.b")).alias("sim_rating"), (-F.col("s.d")).alias("sim_views"),
+                      (F.col("pos") + 1).cast("long").alias("rank"))
 
 
 def title_duplicates(items: DataFrame) -> DataFrame:

@@ -139,3 +139,62 @@ def test_vectors_are_sent_to_a_bounded_number_of_blocks(spark, monkeypatch):
     rows = spark.range(4000).select("id", F.lit(None).cast("array<int>").alias("idx"), F.array(*[F.rand(k) for k in range(8)]).alias("val"))
     blocks = TX._blocks(reliable(TX._vectors(reliable(TX._coded(rows)))))
     assert blocks.count() == 4000 and blocks.select("block").distinct().count() <= TX.BLOCKS
+
+
+def _odd_items(spark, n=60):
+    import random
+    rnd = random.Random(3)
+    rows = [(str(k), rnd.choice("ab"), rnd.sample(["x", "y", "z", None], rnd.randint(0, 3)), rnd.choice([1.0, 2.0, None]), rnd.choice([5, 6, None])) for k in range(n)]
+    rows += [rows[4], ("4", "c", ["w"], 1.0, 5), ("77", "c", None, 2.0, 6), (None, "a", ["x"], 9.0, 9)]
+    return rows, spark.createDataFrame(rows, "item_id string, category string, tags array<string>, rating double, view_count long")
+
+
+def test_similar_items_equals_brute_force_and_takes_some_only(spark):
+    from rivulet.operators.joins import similar_items
+    rows, items = _odd_items(spark)
+    keys = lambda r: {"c" + r[1]} | {"t" + t for t in r[2] or () if t}
+    place = lambda r: (r[3] is None, -(r[3] or 0), r[4] is None, -(r[4] or 0), r[0])
+    want = {}
+    for own in {r[0] for r in rows if r[0]}:
+        mine = set().union(*(keys(r) for r in rows if r[0] == own))
+        want[own] = [x[-1] for x in sorted({place(r) for r in rows if r[0] and r[0] != own and keys(r) & mine})[:5]]
+    got = {}
+    for r in sorted(similar_items(items, 5).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.item_id, []).append(r.sim_id)
+    assert got == {k: v for k, v in want.items() if v}
+    some = similar_items(items, 5, of=items.where("item_id in ('4', '9')").select("item_id")).collect()
+    assert {r.item_id for r in some} == {"4", "9"} and len(some) == 10
+
+
+def test_searches_look_at_each_text_once(spark, monkeypatch):
+    """1,000 items of ten texts: ten texts are indexed, all items are found."""
+    from pyspark.sql import functions as F
+
+    from rivulet.operators import search as SE
+    items = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("item_id"), F.concat(F.lit("alpha beta"), F.col("id") % 10).alias("title"),
+                                     F.when(F.col("id") % 3 != 0, F.concat(F.lit("t"), F.col("id") % 3)).alias("content_type"), F.lit("cat").alias("category"), F.lit("").alias("description"),
+                                     F.lit("").alias("thumbnail_url"), F.lit(1.0).alias("rating"), F.col("id").alias("view_count"), F.array(F.lit("tag")).alias("tags"))
+    seen, plain = [], SE.inverted_index
+    monkeypatch.setattr(SE, "inverted_index", lambda s, i, t=None: (seen.append(i.count()), plain(s, i, t))[1])
+    q = spark.createDataFrame([(1, "beta7 nothing", None), (2, "alpha", "t2"), (3, "be", None), (4, "beta7", "t1")], "query_id long, text string, content_type string")
+    got = {}
+    for r in SE.text_search(spark, q, items, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id))
+    assert seen == [10]
+    assert [i for _, i in sorted(got[1])] == ["0007", "0017", "0027", "0037", "0047"]
+    assert [i for _, i in sorted(got[2])] == ["0002", "0005", "0008", "0011", "0014"]
+    assert [i for _, i in sorted(got[4])] == ["0007", "0037", "0067", "0097", "0127"]
+    hits = SE.literal_hits(spark, q, items)
+    assert {r.query_id: r["count"] for r in hits.groupBy("query_id").count().collect()} == {2: 1000, 3: 1000, 4: 100}
+    best = SE.literal_search(spark, q, items, 3).collect()
+    assert sorted((r.query_id, r["rank"], r.item_id) for r in best if r.query_id == 4) == [(4, 1, "0997"), (4, 2, "0967"), (4, 3, "0937")]
+
+
+def test_routes_read_their_queries_classified(spark):
+    """The patterns run once, not wherever a route reads its queries, and the
+    answers of all routes hold no joins of theirs any more."""
+    from rivulet.plans import q_routes as Q
+    from rivulet.plans.registry import load_all
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan(Q._classified(spark, SF_SMALL, "general"))
+    assert "Join" not in plan(load_all()["answer_routed_queries"].build(spark, SF_SMALL))
