@@ -198,3 +198,21 @@ def test_greedy_keep_of_long_chains(spark, walk):
     edges = spark.range(n - 1).select(F.col("id").cast("string").alias("l_id"), (F.col("id") + 1).cast("string").alias("r_id"))
     kept = {int(r["id"]) for r in greedy_keep(spark, nodes, edges, walk).collect() if r["kept"]}
     assert kept == set(range(0, n, 2))
+
+
+def test_pairs_are_verified_as_arrays_where_they_meet(spark, monkeypatch):
+    """Ratios of many pairs at once, of any width, and blocks that do not
+    multiply with the keys; no table of unverified pairs is made."""
+    import random
+    rnd = random.Random(2)
+    a = ["".join(rnd.choice("abcd é漢😀") for _ in range(n)) for n in (1, 5, 63, 64, 65, 128, 500, 2048, 2100) for _ in range(20)]
+    b = ["".join(c for c in x if rnd.random() < rnd.choice((0.7, 0.9, 0.99))) + "z" for x in a]
+    for t in (0.0, 88.0):
+        for x, y, got in zip(a, b, RS.ratios_reaching(a, b, t)):
+            assert got == RS.ratio(x, y) if RS.ratio(x, y) >= t else got < t
+    monkeypatch.setattr(RS, "BLOCK_KEYS", 2)
+    seen = []
+    monkeypatch.setattr(RS, "_cut", lambda df, real=RS._cut: (seen.append(df.columns), real(df))[1])
+    keys = spark.createDataFrame([(f"{k:03d} same words in a row",) for k in range(200)], "k string")
+    assert RS.similar_keys(keys, 85.0).count() == sum(RS.ratio(f"{i:03d} same words in a row", f"{j:03d} same words in a row") >= 85 for i in range(200) for j in range(i))
+    assert seen == [["k", "side"], ["ka", "kb", "score"]]
