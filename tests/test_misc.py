@@ -198,3 +198,12 @@ def test_routes_read_their_queries_classified(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" not in plan(Q._classified(spark, SF_SMALL, "general"))
     assert "Join" not in plan(load_all()["answer_routed_queries"].build(spark, SF_SMALL))
+
+
+def test_texts_are_split_into_words_once(spark, monkeypatch):
+    """Vocabulary and vectors come from one table of counts."""
+    from rivulet.operators import text as TX
+    from rivulet.plans.registry import load_all
+    times, plain = [], TX.term_counts
+    monkeypatch.setattr(TX, "term_counts", lambda *a: (times.append(1), plain(*a))[1])
+    assert load_all()["tfidf_vectors"].build(spark, SF_SMALL).count() > 0 and len(times) == 1
