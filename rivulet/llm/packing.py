@@ -37,6 +37,10 @@ NOT_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 #: sides of a Python worker (a row is a whole text).
 MEMO_KEY, BATCH_ROWS = 256, 1_000
 
+#: Words and stems that a worker remembers: it costs time, not results, to
+#: remember fewer of them.
+REMEMBERED = (400_000, 200_000)
+
 
 class ShortMemo(Memo):
     """A memo that holds long keys until its next call only."""
@@ -58,14 +62,13 @@ class WordIds:
     """Ids of whole texts by the ``tokenizers`` library.  Its pattern drops
     white space and no token spans it, so repeated words are encoded once."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, remembered: tuple[int, int]):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.alphabet = byte_alphabet()
-        self.stems = ShortMemo(self.encode, 200_000)
-        self.memo = ShortMemo(self.words, 400_000)
+        self.memo, self.stems = ShortMemo(self.words, remembered[0]), ShortMemo(self.encode, remembered[1])
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of words.  Case is ignored and letters never join with a mark
@@ -130,7 +133,7 @@ class WordIds:
                 for k, (o, a, b) in enumerate(zip(odd.to_pylist(), cuts[:-1], cuts[1:]))]
 
 
-def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, remembered: tuple[int, int] = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (packed uint32),
     ids_crc32, and its number among equal lengths in its partition."""
     prepare(docs).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -143,7 +146,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id:
     end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches):
-        encode = worker_state(("packing", hash(raw)), lambda: WordIds(raw))
+        encode = worker_state(("packing", hash(raw), remembered), lambda: WordIds(raw, remembered))
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -265,9 +268,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
                          F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, remembered: tuple[int, int] = REMEMBERED) -> DataFrame:
     """Tokenise once into a written table, then place every piece."""
-    return pack(materialise(token_pieces(docs, vocab_path, capacity, end_id), "pieces"), capacity)
+    return pack(materialise(token_pieces(docs, vocab_path, capacity, end_id, remembered), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
