@@ -116,3 +116,24 @@ def test_popularity_ranking_keeps_all_and_falls_back(spark, data):
     cands = data["items"].limit(120).select(F.lit("a").alias("user_id"), "item_id")
     got = {r[0]: r[1] for r in popularity_ranking(data["items"], cands, users, 50).groupBy("user_id").count().collect()}
     assert got == {"a": 120, "b": 50}
+
+
+def test_candidates_shuffle_lists_not_pairs(spark):
+    """Null ids and repeated user rows keep their rows; a user's ids meet as
+    lists, never as (user, item) rows that are made distinct."""
+    users = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "user_id string")
+    events = spark.createDataFrame([("a", "1", 1), ("b", "2", 1), ("c", "1", 1), (None, "3", 1)], "user_id string, item_id string, t long")
+    events = events.withColumn("timestamp", F.timestamp_seconds("t"))
+    items = spark.createDataFrame([(str(i), f"t{i}", 10 - i) for i in range(1, 5)], "item_id string, title string, view_count long").select(
+        "*", F.lit("video").alias("content_type"), F.lit("c").alias("category"), F.lit("").alias("description"),
+        F.lit("").alias("thumbnail_url"), F.lit(1.0).alias("rating"))
+    covis = spark.createDataFrame([("1", "2", 3), ("1", None, 2), ("1", "9", 1)], "item_a string, item_b string, weight long")
+    out = RC.candidates(spark, users, events, items, covis, None, 5)
+    got = sorted(((r[0], r[1], r[2]) for r in out.collect()), key=str)
+    a = [("a", None, 1), ("a", "2", 2), ("a", "3", 3), ("a", "4", 4), ("a", "9", 5)]
+    b = [("b", "1", 1), ("b", "3", 2), ("b", "4", 3)]
+    c = [("c", None, 1), ("c", "2", 2), ("c", "9", 3)]
+    n = [(None, str(i), i) for i in range(1, 5)]
+    assert got == sorted(a + b + c + n + n, key=str)
+    assert "Aggregate [user_id#" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -38,3 +38,16 @@ def test_similar_items_leaders_exact(spark):
         sims.sort(key=lambda b: (-info[b][0], -info[b][1], b))
         brute |= {(a, b, i + 1) for i, b in enumerate(sims[:5])}
     assert fast == brute
+
+
+def test_lookahead_of_long_sessions_sends_rows_once(spark):
+    """Equal to counting positions where a session spans several runs; no row
+    is multiplied by ``ahead`` and the sessions are not made twice."""
+    sizes = {("a", 1): 150, ("a", 2): 64, ("b", 1): 69, ("c", 1): 1}
+    sess = spark.createDataFrame([(u, s, p, f"{u}{s}-{p}") for (u, s), n in sizes.items() for p in range(n)] + [(None, 1, 0, "x"), (None, 1, 1, "y")],
+                                 "user_id string, session_id long, pos long, item_id string")
+    pairs = W.lookahead_pairs(sess, 5)
+    got = sorted(tuple(r) for r in pairs.collect())
+    assert got == sorted((u, s, p, q, f"{u}{s}-{p}", f"{u}{s}-{q}") for (u, s), n in sizes.items() for p in range(n) for q in range(p + 1, min(p + 6, n)))
+    plan = W.covisitation_edges(B.interactions(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "sequence(" not in plan
