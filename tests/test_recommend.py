@@ -137,3 +137,41 @@ def test_candidates_shuffle_lists_not_pairs(spark):
     assert got == sorted(a + b + c + n + n, key=str)
     assert "Aggregate [user_id#" in out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_training_set_profiles_its_own_users_only(spark, data):
+    """Profiles of the rows' users alone give the rows of everybody's."""
+    args = (spark, data["inter"], data["users"], data["items"])
+    rows = lambda prof: sorted(map(str, RC.training_set(*args, prof, data["as_of"], 42, max_pos=40, max_neg=20).collect()))
+    assert rows(None) == rows(data["prof"])
+
+
+def test_features_meet_one_row_per_user(spark):
+    """Repeated item rows count their tags once per row, null and unknown keys
+    count nothing, and pairs are sent to their users once."""
+    items = spark.createDataFrame([("1", "c", "video", ["x", "x", None]), ("1", "d", "video", ["y"]), ("2", None, "movie", None)],
+                                  "item_id string, category string, content_type string, tags array<string>").select(
+        "*", F.lit(1.0).alias("rating"), F.lit(3).cast("long").alias("view_count"), F.lit(None).cast("timestamp").alias("publish_ts"))
+    inter = spark.createDataFrame([("a", "1", 20, 2.0), ("a", "2", 0, None), (None, "1", 5, 1.0)], "user_id string, item_id string, dwell_seconds int, rating double")
+    users = spark.createDataFrame([("a", "DE", "web", "18-24")], "user_id string, country string, device string, age_group string")
+    pairs = spark.createDataFrame([("a", "1", 1), ("a", "2", 1), ("a", "9", 1), ("b", "1", 1), (None, "1", 1)], "user_id string, item_id string, dwell_seconds int")
+    f = RC.features(pairs, RC.profiles_of(pairs, inter, users, items), items, F.lit("2024-01-01").cast("timestamp"))
+    got = sorted(((r["user_id"], r["item_id"], round(r["category_affinity"] * 3), round(r["type_affinity"] * 3), round(r["tag_overlap"] * 3)) for r in f.collect()), key=str)
+    # a has three joined interactions: item 1 twice, as it has two rows
+    assert got == sorted([("a", "1", 1, 2, 5), ("a", "1", 1, 2, 5), ("a", "2", 0, 1, 0), ("a", "9", 0, 0, 0), ("b", "1", 0, 0, 0), ("b", "1", 0, 0, 0),
+                          (None, "1", 0, 0, 0), (None, "1", 0, 0, 0)], key=str)
+    assert f._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 5
+
+
+def test_factor_scores_meet_in_blocks(spark, monkeypatch):
+    """Repeated ids, vectors that are null, hold nulls or differ in length, and
+    unknown ids, over several blocks; no pair carries a vector."""
+    monkeypatch.setattr(RC, "ITEM_BLOCK", 2)
+    monkeypatch.setattr(RC, "PAIR_BLOCK", 2)
+    u = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None), ("c", [1.0]), ("d", [0.0, float("inf")])], "user_id string, features array<double>")
+    i = spark.createDataFrame([(str(k), [float(k), 1.0]) for k in range(5)] + [("4", [9.0, 1.0]), ("n", [None, 1.0]), (None, [1.0, 1.0])], "item_id string, features array<double>")
+    pairs = spark.createDataFrame([(x, y) for x in "abcdz" for y in ["0", "1", "2", "4", "4", "n", "q", None]], "user_id string, item_id string")
+    got = sorted(((r[0], r[1], None if r[2] is None else round(r[2], 6)) for r in RC.factor_scores(pairs, RC.Factors(u, i, 2, "given")).collect()), key=str)
+    want = [("a", "0", 0.0), ("a", "1", round(1 / 9, 6)), ("a", "2", round(2 / 9, 6)), ("a", "4", round(4 / 9, 6)), ("a", "4", 1.0), ("a", "n", None)]
+    want += [(x, y, 0.0) for x in "bcd" for y in ["0", "1", "2", "4", "4", "n"]]
+    assert got == sorted(want, key=str)
