@@ -33,13 +33,20 @@ from .rank_merge import byte_alphabet
 NOT_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+#: A plain word: Latin letters, perhaps with one mark after them.
+PLAIN = "^[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+[.,;:!?|]?$"
+MARKS = ".,;:!?|"
+
 #: Characters of a key that a memo keeps, and rows of an Arrow batch on both
 #: sides of a Python worker (a row is a whole text).
 MEMO_KEY, BATCH_ROWS = 256, 1_000
 
-#: Words and stems that a worker remembers: it costs time, not results, to
-#: remember fewer of them.
-REMEMBERED = (400_000, 200_000)
+#: Rows and bytes of text whose words are looked up together.
+GROUP_ROWS, GROUP_BYTES = 4_000, 12_000_000
+
+#: Stems that a worker remembers: it costs time, not results, to remember
+#: fewer of them.
+REMEMBERED = 400_000
 
 
 class ShortMemo(Memo):
@@ -62,29 +69,28 @@ class WordIds:
     """Ids of whole texts by the ``tokenizers`` library.  Its pattern drops
     white space and no token spans it, so repeated words are encoded once."""
 
-    def __init__(self, raw: bytes, remembered: tuple[int, int]):
+    def __init__(self, raw: bytes, remembered: int):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.alphabet = byte_alphabet()
-        self.memo, self.stems = ShortMemo(self.words, remembered[0]), ShortMemo(self.encode, remembered[1])
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words.  Case is ignored and letters never join with a mark
-        after them, so plain words are looked up in lower case without it."""
-        stems, tails = [], []
-        for w in words:
-            low, tail = w, ""
-            if w.isascii() or max(w) <= "\xff":
-                if w.isalpha():
-                    low = w.lower()
-                elif w[-1] in ".,;:!?|" and w[:-1].isalpha():
-                    low, tail = w[:-1].lower(), w[-1]
-            stems.append(low)
-            tails.append(tail)
-        known = self.stems.over({*stems, *tails} - {""})
-        return [known[s] + known[t] if t else known[s] for s, t in zip(stems, tails)]
+        self.memo = ShortMemo(self.encode, remembered)
+        self.marks = np.zeros(256, np.int64)  # 0: no mark, else its place in MARKS from 1
+        self.marks[list(MARKS.encode())] = np.arange(1, len(MARKS) + 1)
+        self.mark_ids = self.encode(list(MARKS))
+
+    def stems(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Words without their mark, and the number of the mark.  Case is
+        ignored and letters never join with a mark after them, so plain words
+        are looked up in lower case without it, others as they are."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        ends, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1:words.offset + len(words) + 1], words.buffers()[2]
+        last = np.frombuffer(data, np.uint8)[np.maximum(ends, 1) - 1] if data else np.zeros(len(words), np.uint8)
+        mark = np.where(plain.to_numpy(zero_copy_only=False), self.marks[last], 0)
+        whole = pc.binary_slice(words.cast(pa.binary()), 0, -1).cast(pa.string(), safe=False)
+        cut = pc.if_else(pa.array(mark > 0), whole, words)
+        return pc.if_else(plain, pc.utf8_lower(cut), cut), mark
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids of words; a run of lower-case Latin letters is one pre-token
@@ -113,27 +119,54 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def many(self, texts: pa.Array) -> list[bytes]:
-        """Packed ids of texts: distinct words are encoded, then gathered."""
+        """Packed ids of texts: distinct stems are encoded, then gathered."""
         odd = pc.match_substring_regex(texts, NOT_SPACE)
         split = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        known = self.memo.over(w for w in words if w)
-        pieces = [known[w] if w else b"" for w in words]
-        data = np.frombuffer(b"".join(pieces), np.uint32)
+        stems, mark = self.stems(coded.dictionary)
+        stems = stems.dictionary_encode()
+        names = stems.dictionary.to_pylist()
+        known = self.memo.over(s for s in names if s)
+        pieces = [known[s] if s else b"" for s in names] + [b""] + self.mark_ids
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        first = np.cumsum(size) - size
-        at = coded.indices.to_numpy()
-        n = size[at]
-        ends = np.r_[0, np.cumsum(n)]
-        ids = data[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        # a word is its stem's ids, then its mark's
+        parts = np.stack([stems.indices.to_numpy(), len(names) + mark], 1)
+        data = gather(np.frombuffer(b"".join(pieces), np.uint32), (np.cumsum(size) - size)[parts.ravel()], size[parts.ravel()])
+        size = size[parts].sum(1)
+        first, at = np.cumsum(size) - size, coded.indices.to_numpy()
         offsets = split.offsets.to_numpy()
-        cuts = ends[offsets - offsets[0]].tolist()
-        return [self(texts[k].as_py()) if o else ids[a:b].tobytes()
-                for k, (o, a, b) in enumerate(zip(odd.to_pylist(), cuts[:-1], cuts[1:]))]
+        offsets, out = offsets - offsets[0], []
+        for a in range(0, len(texts), BATCH_ROWS):
+            cuts = offsets[a:a + BATCH_ROWS + 1]
+            some = at[cuts[0]:cuts[-1]]
+            ids, ends = gather(data, first[some], size[some]), np.r_[0, np.cumsum(size[some])][cuts - cuts[0]].tolist()
+            out += [ids[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self(texts[k].as_py())
+        return out
+
+
+def gather(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs data[first:first + n], one after the other."""
+    ends = np.cumsum(n)
+    return data[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def groups(batches, rows: int = GROUP_ROWS, size: int = GROUP_BYTES):
+    """(doc_id, text) arrays of consecutive Arrow batches, joined up to about
+    ``rows`` rows or ``size`` bytes: a word that returns is looked up once."""
+    held, n, used = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, used = n + len(batch), used + batch.nbytes
+        if n >= rows or used >= size:
+            yield [pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text")]
+            held, n, used = [], 0, 0
+    if n:
+        yield [pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text")]
 
 
-def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, remembered: tuple[int, int] = REMEMBERED) -> DataFrame:
+def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (packed uint32),
     ids_crc32, and its number among equal lengths in its partition."""
     prepare(docs).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -149,11 +182,11 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id:
         encode = worker_state(("packing", hash(raw), remembered), lambda: WordIds(raw, remembered))
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                some = batch.slice(at, 1024)
+        for doc_id, text in groups(batches):
+            encoded = encode.many(text)
+            for at in range(0, len(encoded), BATCH_ROWS):
                 index, cols = [], [[] for _ in range(6)]
-                for k, ids in enumerate(encode.many(some.column("text"))):
+                for k, ids in enumerate(encoded[at:at + BATCH_ROWS], at):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[start:start + 4 * capacity]
@@ -162,7 +195,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id:
                         for c, v in zip(cols, (piece, start // 4, n, cut, zlib.crc32(cut), int(seen[n]))):
                             c.append(v)
                         seen[n] += 1
-                ids_of = some.column("doc_id").take(pa.array(index, pa.int64()))
+                ids_of = doc_id.take(pa.array(index, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids_of, pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
                      pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()),
@@ -268,7 +301,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
                          F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, remembered: tuple[int, int] = REMEMBERED) -> DataFrame:
+def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, remembered: int = REMEMBERED) -> DataFrame:
     """Tokenise once into a written table, then place every piece."""
     return pack(materialise(token_pieces(docs, vocab_path, capacity, end_id, remembered), "pieces"), capacity)
 

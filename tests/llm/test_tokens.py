@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -207,3 +208,20 @@ def test_memo_does_not_keep_long_keys():
     for n in range(300, 400):
         got = memo.over(["x" * n, "y"])
         assert got["x" * n] == n and got["y"] == 1 and len(memo.young) <= 2 and not memo.old
+
+
+def test_words_of_a_stem_are_looked_up_once():
+    """Capitals, a mark at the end and a return in a later batch cost no new
+    look-up; the ids are the library's."""
+    lib = Tokenizer.from_file(WORDS)
+    encode = packing.WordIds(raw(WORDS), 1_000)
+    asked = []
+    encode.memo.compute, compute = lambda ks: (asked.extend(ks), compute(ks))[1], encode.memo.compute
+    for texts in (["The the, THE. the", "Été été! 3, a.b x.'"], ["thE| ÉTÉ", "", "3, a.b"]):
+        assert encode.many(pa.array(texts)) == [np.array(lib.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+    assert sorted(asked) == sorted({"the", "été", "3,", "a.b", "x.'"})
+    texts = strings(31)
+    assert encode.many(pa.array(texts).slice(7)) == [encode(t) for t in texts[7:]]
+    batches = [pa.record_batch({"doc_id": [k], "text": [f"t{k}"]}) for k in range(7)]
+    joined = [(d.to_pylist(), t.to_pylist()) for d, t in packing.groups(batches, rows=3)]
+    assert joined == [([0, 1, 2], ["t0", "t1", "t2"]), ([3, 4, 5], ["t3", "t4", "t5"]), ([6], ["t6"])]
