@@ -79,8 +79,7 @@ FROM c WHERE ws + INTERVAL 24 HOUR <= (SELECT max(timestamp) FROM event_interact
 """.replace("\n, w AS", ", w AS", 1))
 def stream_activity_q(spark, sf):
     base = SJ.stream_base(spark, "stream_activity")
-    SJ.stream_activity(_events(spark, sf), base)
-    a = spark.read.parquet(os.path.join(base, "activity"))
+    a = SJ.stream_activity(_events(spark, sf), base).read("activity")
     return a.select(_ts("wt").alias("window_time"), "active_users", "events")
 
 

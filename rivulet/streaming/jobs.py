@@ -15,11 +15,13 @@ deployments use a processing-time trigger with the same builders.
 from __future__ import annotations
 
 import json
+import math
 import os
 import uuid
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -134,17 +136,120 @@ def stream_event_counts(events: DataFrame, base: str) -> None:
     run(c.writeStream.outputMode("complete").foreachBatch(version_sink(events.sparkSession, os.path.join(base, "counts"))), base)
 
 
+class ActivityState:
+    """Events per user and cell (times that lie in the same windows) of a
+    bucket of users, as long as a window that holds the cell is open, and the
+    last window's end that spans were made for.  Times in microseconds;
+    windows begin at multiples of ``slide``."""
+
+    def __init__(self, held: tuple | None, size: int, slide: int):
+        self.size, self.slide, self.cell = size, slide, math.gcd(size, slide)
+        self.until, names, packed = held or (None, "[]", b"")
+        self.names = json.loads(names)
+        self.users, self.cells, self.counts = np.frombuffer(packed, np.int64).reshape(3, -1)
+
+    def held(self) -> tuple:
+        return self.until, json.dumps(self.names), np.stack([self.users, self.cells, self.counts]).tobytes()
+
+    def add(self, users: pd.Series, times: np.ndarray) -> None:
+        codes, names = pd.factorize(users)
+        known = {name: k for k, name in enumerate(self.names)}
+        places = np.array([known.setdefault(name, len(known)) for name in names], np.int64)
+        self.names = list(known)
+        both = pd.DataFrame({"u": np.r_[self.users, places[codes]], "c": np.r_[self.cells, times // self.cell * self.cell],
+                             "n": np.r_[self.counts, np.ones(len(codes), np.int64)]})
+        both = both.groupby(["u", "c"], sort=True)["n"].sum().reset_index()
+        self.users, self.cells, self.counts = (both[c].to_numpy(np.int64) for c in ("u", "c", "n"))
+
+    def _ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first and last end of the windows that hold each cell."""
+        first = self.cells + self.cell
+        return first + (self.size - first) % self.slide, self.cells + self.size - self.cells % self.slide
+
+    def advance(self, now: int) -> pd.DataFrame:
+        """Users and events to add to all windows from a first end to a last
+        one, of those that ``now`` has passed; nothing to add to the newest of
+        these, whether or not it has events, shows how far that was.  In a window a user counts by
+        the newest cell there, up to where the user's next cell begins to."""
+        closed = (now - self.size) // self.slide * self.slide + self.size
+        first, last = self._ends()
+        newest = last.copy()
+        same = self.users[1:] == self.users[:-1]
+        newest[:-1][same] = np.minimum(last[:-1], first[1:] - self.slide)[same]
+        start = first if self.until is None else np.maximum(first, self.until + self.slide)
+        spans = pd.concat([pd.DataFrame({"first_us": start, "last_us": np.minimum(newest, closed), "users": np.int64(1), "events": np.int64(0)}),
+                           pd.DataFrame({"first_us": start, "last_us": np.minimum(last, closed), "users": np.int64(0), "events": self.counts})])
+        spans = spans[spans["first_us"] <= spans["last_us"]]
+        spans = pd.concat([spans, pd.DataFrame({"first_us": [closed], "last_us": [closed], "users": [0], "events": [0]})]).groupby(["first_us", "last_us"], as_index=False).sum()
+        later = last > closed
+        left, self.users = np.unique(self.users[later], return_inverse=True)
+        self.names, self.cells, self.counts = [self.names[k] for k in left], self.cells[later], self.counts[later]
+        self.until = closed if self.until is None else max(closed, self.until)
+        return spans
+
+    def wake(self) -> int | None:
+        """When the watermark next closes a window with events."""
+        if not len(self.cells):
+            return None
+        return max(int(self._ends()[0].min()), self.until + self.slide)
+
+
+def activity_sink(spark: SparkSession, root: str, slide_us: int):
+    """Adds up spans per window.  A window's spans come in the batch that
+    closes it; later ones, of late events, are left out."""
+    store = EpochStore(spark, root)
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        epochs = store.committed(below=epoch)
+        until = store.commit_of(epochs[-1])["note"]["until"] if epochs else None
+        spans = batch.groupBy("first_us", "last_us").agg(F.sum("users").alias("users"), F.sum("events").alias("events"))
+        each = spans.select(F.explode(F.sequence("first_us", "last_us", F.lit(slide_us))).alias("end_us"), "users", "events")
+        rows = each.groupBy("end_us").agg(F.sum("users").alias("active_users"), F.sum("events").alias("events"))
+        seen = Observation()
+        rows = rows.observe(seen, F.max("end_us").alias("until")).where("events > 0")
+        if until is not None:
+            rows = rows.where(F.col("end_us") > until)
+        rows = rows.select(F.timestamp_micros(F.col("end_us") - 1).alias("wt"), "active_users", "events")
+
+        def newest() -> dict:
+            ends = [e for e in (until, seen.get["until"]) if e is not None]
+            return {"until": max(ends, default=None)}
+        store.publish(epoch, {"activity": rows}, newest)
+    return sink
+
+
 def stream_activity(events: DataFrame, base: str, size: str = "24 hours", slide: str = "1 hour",
-                    delay: str = "1 hour") -> None:
-    """Trailing activity per sliding window, exact: distinct (window, user)
-    first, then per window the user count and event count (chained
-    aggregations in append mode; windows are emitted once closed)."""
-    ev = events.filter("valid").withWatermark("ts", delay)
-    per_user = ev.groupBy(F.window("ts", size, slide).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    per_win = (per_user.groupBy(F.window_time("w").alias("wt"))
-               .agg(F.count(F.lit(1)).alias("active_users"), F.sum("n").alias("events")))
-    run(per_win.writeStream.outputMode("append").format("parquet").option("path", os.path.join(base, "activity")),
-        base)
+                    delay: str = "1 hour", buckets: int = 1024) -> EpochStore:
+    """Trailing activity per sliding window, exact: ``activity`` (wt,
+    active_users, events), one row per window with events once it is closed.
+    The state holds users' cells of the open windows, by buckets of users, not
+    a row per user and window; spans of windows are added up per batch."""
+    size_us, slide_us, delay_us = (pd.Timedelta(t) // pd.Timedelta("1us") for t in (size, slide, delay))
+
+    def step(key: tuple, frames, state):
+        now = state.getCurrentWatermarkMs() * 1000
+        own = ActivityState(state.get if state.exists else None, size_us, slide_us)
+        if not state.hasTimedOut:
+            for pdf in frames:
+                own.add(pdf["user_id"], pdf["ts_us"].to_numpy(np.int64))
+        spans = own.advance(now)
+        wake = own.wake()
+        if wake is None:
+            state.remove()
+        else:
+            state.update(own.held())
+            state.setTimeoutTimestamp(-(-wake // 1000) - 1)  # timers fire once the watermark is beyond them
+        yield spans
+
+    # by when an event is of no use: late events still count in windows that are open
+    ev = events.filter("valid").withColumn("gone", F.timestamp_micros(F.unix_micros("ts") + size_us)).withWatermark(
+        "gone", f"{(size_us + delay_us) // 1000} milliseconds").select(
+        "user_id", "gone", F.unix_micros("ts").alias("ts_us"), F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"))
+    rows = ev.groupBy("bucket").applyInPandasWithState(
+        step, "first_us long, last_us long, users long, events long", "until long, names string, cells binary", "append", "EventTimeTimeout")
+    root, spark = os.path.join(base, "activity"), events.sparkSession
+    run(rows.writeStream.outputMode("append").foreachBatch(activity_sink(spark, root, slide_us)), base)
+    return EpochStore(spark, root)
 
 
 def stream_sessions(events: DataFrame, base: str, gap: str = "1 hour", types=None) -> None:

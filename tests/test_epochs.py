@@ -1,7 +1,14 @@
 """Exactly-once sinks: replayed epochs, changed buckets, dirty users."""
 
+import datetime as dt
 import os
+import random
+from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +136,59 @@ def test_pair_state_in_event_order():
         assert got == want and SJ.PairState(text, gap, 3).wake_us() is None
     ends = [r for r in want if r[1] is not None]
     assert len({r[0] for r in ends}) == len(ends)
+
+
+def test_activity_state_is_not_multiplied_by_windows(spark, tmp_path):
+    """Batches with late events: an event counts in the windows that were open
+    when its batch began.  The state has one row per bucket of users, not one
+    per user and window, and the users are counted once per window."""
+    day = dt.datetime(2024, 1, 1)
+    at = lambda d, h, m=0: day + dt.timedelta(days=d, hours=h, minutes=m)
+    files = [[("a", at(0, 10, 30)), ("a", at(0, 10, 40)), ("b", at(2, 5))], [("c", at(2, 1, 10)), ("a", at(4, 0, 20))],
+             [("c", at(2, 1, 10)), ("d", at(2, 1, 20)), ("e", at(8, 0))]]
+    source = tmp_path / "in"
+    source.mkdir()
+    for k, some in enumerate(files):
+        pq.write_table(pa.table({"user_id": [r[0] for r in some], "ts": pa.array([r[1] for r in some], pa.timestamp("us", "UTC")), "valid": [True] * len(some)}), source / f"{k}.parquet")
+        os.utime(source / f"{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+    ev = spark.readStream.schema("user_id string, ts timestamp, valid boolean").option("maxFilesPerTrigger", 1).parquet(str(source))
+    base = str(tmp_path / "out")
+    SJ.stream_activity(ev, base)
+    got = EpochStore(spark, f"{base}/activity").read("activity").select(F.date_format("wt", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "active_users", "events")
+    closed = [None, None, at(2, 4)]  # the last window's end that batches before had closed
+    expected = {}
+    for some, until in zip(files, closed):
+        for user, ts in some:
+            for k in range(24):
+                end = ts.replace(minute=0) + dt.timedelta(hours=k + 1)
+                if (until is None or end > until) and end <= at(7, 23):
+                    expected.setdefault(end, []).append(user)
+    assert rows(got) == sorted(((e - dt.timedelta(microseconds=1)).strftime("%Y-%m-%d %H:%M:%S.%f"), len(set(u)), len(u)) for e, u in expected.items())
+    state = [spark.read.format("statestore").option("operatorId", k).load(f"{base}/_checkpoint").count() for k in os.listdir(f"{base}/_checkpoint/state")]
+    assert sum(state) == 1  # of e; a row for each of 24 windows before
+
+
+def test_activity_state_equals_counting_per_window():
+    rng = random.Random(3)
+    for _ in range(60):
+        size, slide = rng.choice([(24, 1), (6, 2), (5, 2), (7, 3), (4, 4)])
+        events = sorted((rng.randint(0, 150), rng.choice("abé")) for _ in range(rng.randint(1, 30)))
+        held, users, counts, now, k = None, Counter(), Counter(), 0, 0
+        while k < len(events) or now < 400:
+            own, some = SJ.ActivityState(held, size, slide), events[k:k + rng.randint(0, 5)]
+            if some:
+                own.add(pd.Series([u for _, u in some]), np.array([t for t, _ in some]))
+            k += len(some)
+            for first, last, u, n in own.advance(now).itertuples(index=False):
+                for end in range(first, last + 1, slide):
+                    users[end] += u
+                    counts[end] += n
+            held = None if own.wake() is None else own.held()
+            now = max(now, min(events[k][0] if k < len(events) else 1000, now + rng.randint(0, 9)))
+        expected = {}
+        for t, u in events:
+            for start in range((t - size) // slide * slide, t + 1, slide):
+                if start <= t < start + size:
+                    expected.setdefault(start + size, []).append(u)
+        assert {e: n for e, n in counts.items() if n} == {e: len(u) for e, u in expected.items()}
+        assert {e: n for e, n in users.items() if n} == {e: len(set(u)) for e, u in expected.items()}
