@@ -1,5 +1,6 @@
 """Similarity join and greedy dedup against brute force on corpus titles."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,45 @@ def test_pairs_are_verified_as_arrays_where_they_meet(spark, monkeypatch):
     keys = spark.createDataFrame([(f"{k:03d} same words in a row",) for k in range(200)], "k string")
     assert RS.similar_keys(keys, 85.0).count() == sum(RS.ratio(f"{i:03d} same words in a row", f"{j:03d} same words in a row") >= 85 for i in range(200) for j in range(i))
     assert seen == [["k", "side"], ["ka", "kb", "score"]]
+
+
+@pytest.mark.parametrize("together", [1, 256])
+def test_ratios_across_words_of_the_state(monkeypatch, together):
+    """Edits near and beyond the places that a match can reach, keys of one to
+    many words of 63 places, letters outside the basic plane."""
+    monkeypatch.setattr(RS, "TOGETHER", together)
+    rng = np.random.default_rng(5)
+    letters = np.array(list("ab cd\u00e9\U0001d11e"))
+    for t in (60.0, 88.0, 90.0, 100.0):
+        a, b = [], []
+        for n in (1, 2, 62, 63, 64, 126, 127, 200, 700):
+            for part in (0.0, 0.05, 0.1, 0.15, 0.4):
+                x = rng.choice(letters, n)
+                hit = rng.random(n) < part
+                y = [z for c, h in zip(x, hit) for z in ([c] if not h else [] if rng.random() < 0.5 else [c, letters[rng.integers(7)]])] or ["a"]
+                a.append("".join(x))
+                b.append("".join(y))
+                a.append("".join(np.roll(x, n // 8)))  # the best match is far from the same places
+                b.append("".join(x))
+        for x, y, got in zip(a, b, RS.ratios_reaching(a, b, t)):
+            want = RS.ratio(x, y)
+            assert got == want if want >= t else got < t
+
+
+def test_characters_and_grams_drop_no_pair():
+    rng = np.random.default_rng(6)
+    keys = sorted({"".join(rng.choice(list("abcde fgh"), rng.integers(1, 90))) for _ in range(120)})
+    keys += [k[:-1] + chr(0x4E00 + i) for i, k in enumerate(keys) if len(k) > 9]
+    side = RS._Texts(keys)
+    size = RS._coded(side)
+    assert size > RS.BUCKETS[0]  # rare characters share buckets
+    counts, flags = RS._counts(side, size, np.int16), np.full(len(keys), 3)
+    for t in (50.0, 80.0, 90.0):
+        got = {(min(side.keys[x], side.keys[y]), max(side.keys[x], side.keys[y])) for i, j in RS.near_counts(side, counts, side, counts, flags, flags, t, True) for x, y in zip(i, j)}
+        assert {(min(x, y), max(x, y)) for n, x in enumerate(keys) for y in keys[:n] if RS.ratio(x, y) >= t} <= got
+
+
+def test_a_key_is_sent_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(RS, "BLOCK_KEYS", 2)
+    keys = spark.createDataFrame([(f"{i:03d} words of one length", 3) for i in range(300)], "k string, side int")
+    assert RS.similar_pairs(keys, 90.0).rdd.getNumPartitions() <= 64
