@@ -84,3 +84,28 @@ def test_factors_are_fitted_without_a_ranker(spark, monkeypatch):
     monkeypatch.setattr(Q, "_MODELS", {})
     got = {r["item"]: r["rank"] for r in Q.fit_factors_q(spark, "own").collect()}
     assert set(got) == {f"i{i}" for i in range(5)} and len(set(got.values())) == 1
+
+
+def test_svd_in_blocks_leaves_its_result_alone(spark, monkeypatch):
+    """Products in several blocks and passes, of repeated and missing ids; of
+    the tables on the way none is kept."""
+    import os
+
+    from rivulet.session import checkpoint_dir
+    monkeypatch.setattr(factorise, "BLOCK_BYTES", 10 * 8 * 14)
+    monkeypatch.setattr(factorise, "ENTRIES", 7)
+    rng = np.random.default_rng(8)
+    a = np.round(rng.normal(size=(45, 30)) * (rng.random((45, 30)) < 0.3) @ np.diag(0.8 ** np.arange(30)), 3)
+    a[7], a[:, 3] = 0, 0
+    cells = [(int(i), int(j), float(a[i, j]) / 2) for i, j in zip(*np.nonzero(a))] * 2
+    folder = checkpoint_dir(spark).removeprefix("file:") + "/tables"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    left, s, right = factorise.truncated_svd(spark.createDataFrame(cells, "row int, col int, value double").repartition(3), 4)
+    u, v = dense(left, 45, 4), dense(right, 30, 4)
+    np.testing.assert_allclose(s, np.linalg.svd(a, compute_uv=False)[:4], rtol=2e-2)
+    np.testing.assert_allclose(a.T @ u, v * s, atol=1e-8 * s[0])
+    np.testing.assert_allclose(u.T @ u, np.eye(4), atol=1e-8)
+    assert {r["id"] for r in left.collect()} == set(range(45)) - {7} and left.count() == 44
+    left_over = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left_over == {"left", "right"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
