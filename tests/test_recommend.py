@@ -175,3 +175,19 @@ def test_factor_scores_meet_in_blocks(spark, monkeypatch):
     want = [("a", "0", 0.0), ("a", "1", round(1 / 9, 6)), ("a", "2", round(2 / 9, 6)), ("a", "4", round(4 / 9, 6)), ("a", "4", 1.0), ("a", "n", None)]
     want += [(x, y, 0.0) for x in "bcd" for y in ["0", "1", "2", "4", "4", "n"]]
     assert got == sorted(want, key=str)
+
+
+def test_candidates_are_drawn_from_written_pools(spark):
+    """What ranks the neighbours is done before the lists are made, so that
+    its shuffle files are not held beside theirs; null neighbours are kept."""
+    import datetime as dt
+    users = spark.createDataFrame([("u1",), ("u2",)], "user_id string")
+    inter = spark.createDataFrame([("u1", "a", dt.datetime(2020, 1, 1))], "user_id string, item_id string, timestamp timestamp")
+    items = spark.createDataFrame([(x, n) for n, x in enumerate("abcd")], "item_id string, view_count long").select(
+        "*", F.col("item_id").alias("title"), F.lit("video").alias("content_type"), F.lit("c").alias("category"),
+        F.lit("").alias("description"), F.lit("").alias("thumbnail_url"), F.lit(1.0).alias("rating"))
+    covis = spark.createDataFrame([("a", "z", 3), ("a", None, 2), ("b", "y", 9)], "item_a string, item_b string, weight long")
+    got = RC.candidates(spark, users, inter, items, covis, None, 10)
+    assert "weight" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.user_id, r.item_id) for r in got.collect()} == {("u1", x) for x in ("b", "c", "d", "z", None)} | {("u2", x) for x in "abcd"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
